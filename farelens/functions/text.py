@@ -34,7 +34,7 @@ def standard_duration(duration: Column, is_text: bool = False) -> Column:
 
 def parse_dmy(text: Column) -> Column:
     """``dd-mm-yyyy`` text -> date; malformed text -> null."""
-    return F.try_to_date(text, F.lit("dd-MM-yyyy"))
+    return F.try_to_date(text, "dd-MM-yyyy")
 
 
 def parse_price_text(text: Column) -> Column:

@@ -29,3 +29,17 @@ def calendar(spark: SparkSession) -> DataFrame:
 def enriched(spark: SparkSession, d: str) -> DataFrame:
     """Fares + daily index + holiday flags + ``route``."""
     return with_route(enrich_fares(fares(spark, d), series(spark, d), calendar(spark)))
+
+
+def standard_union(spark: SparkSession, d: str) -> DataFrame:
+    """U1 over the three file layouts, each standardised first."""
+    from farelens.operators import clean as P
+    return P.union_fares(P.standardize_clean(tables.clean_file(spark, d)),
+                         P.standardize_business(tables.business_file(spark, d)),
+                         P.standardize_economy(tables.economy_file(spark, d)))
+
+
+def standardized(spark: SparkSession, d: str) -> DataFrame:
+    """Fares with unified time labels and ``time_taken`` text (input of the feature chain)."""
+    from farelens.operators import clean as P
+    return P.add_time_taken(P.clean_time_labels(fares(spark, d)))

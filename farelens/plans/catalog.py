@@ -1,77 +1,13 @@
-"""Registered queries: one per operator of the inventory, each ``(spark, sf_dir) -> DataFrame``.
+"""All registered queries (importing the query modules fills the registry).
 
 Every query reads the driver tables (through the fare views) over whole
-tables. Computed columns carry the same names as in ``plans.oracle_sql``.
+tables; computed columns carry the same names as in the oracle SQL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from farelens.plans import (q_analytics, q_booking, q_clean, q_enrich, q_features,  # noqa: F401
+                            q_matrix, q_models, q_sinks)
+from farelens.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from farelens.operators import analytics as A
-from farelens.operators import enrich as J
-from farelens.plans import base
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(name: str):
-    def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
-        return fn
-    return deco
-
-
-# ---------------------------------------------------------------- sources / joins
-@query("scan_fares")
-def scan_fares(spark, d):
-    return base.fares(spark, d)
-
-
-@query("scan_daily_series")
-def scan_daily_series(spark, d):
-    return base.series(spark, d)
-
-
-@query("join_daily_series")
-def join_daily_series(spark, d):
-    out = J.join_daily_series(base.fares(spark, d), base.series(spark, d))
-    return out.select("fare_key", "date", "fuel_price_usd_per_barrel", "fuel_price_inr_per_liter")
-
-
-@query("holiday_exact")
-def holiday_exact(spark, d):
-    out = J.holiday_exact(base.fares(spark, d), base.calendar(spark))
-    return out.select("fare_key", "date", "is_holiday", "holiday_impact_score", "holiday_name")
-
-
-@query("holiday_window")
-def holiday_window(spark, d):
-    out = J.holiday_window(base.fares(spark, d), base.calendar(spark))
-    return out.select("fare_key", "date", "is_holiday_season", "days_to_holiday", "season_holiday_name",
-                      "holiday_impact", "season_type")
-
-
-@query("nearest_date")
-def nearest_date(spark, d):
-    out = J.nearest_date(base.fares(spark, d), base.series(spark, d))
-    return out.select("fare_key", "date", "nearest_date", "fuel_price_usd_per_barrel")
-
-
-@query("enrich_fares")
-def enrich_fares(spark, d):
-    return base.enriched(spark, d)
-
-
-# ---------------------------------------------------------------- analytics
-@query("monthly_stats")
-def monthly_stats(spark, d):
-    return A.monthly_stats(base.enriched(spark, d))
-
-
-@query("peak_months")
-def peak_months(spark, d):
-    return A.peak_months(A.monthly_stats(base.enriched(spark, d)))
+__all__ = ["QUERIES", "SQL"]

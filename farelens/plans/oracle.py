@@ -65,6 +65,22 @@ CTES: dict[str, str] = {
          CASE WHEN _ln = 6 THEN NULL ELSE duration END AS duration, days_left, date, price_text
   FROM ({FARE_SELECT.replace("{extra}", ", l.l_linenumber AS _ln, concat('\"', format('{:,.2f}', l.l_extendedprice), '\"') AS price_text")}) b
   CROSS JOIN LATERAL (SELECT unnest(CASE WHEN b._ln = 1 THEN [0, 1] ELSE [0] END) AS _copy) c""",
+    "clean_file": """
+  SELECT fare_key, airline, flight, "from" AS source_city, "to" AS destination_city, dep_time AS departure_time,
+         arr_time AS arrival_time, stop AS stops, class, duration, days_left, price FROM fares""",
+    "file_base": FARE_SELECT.replace("{extra}", """, l.l_linenumber AS _ln, l.l_returnflag AS _rf,
+         substring(p.p_brand, 1, 2) AS ch_code, CAST(p.p_size AS VARCHAR) AS num_code,
+         printf('%dh %02dm', CAST(floor(l.l_quantity / 4.0) AS BIGINT),
+                CAST(floor((l.l_quantity / 4.0 - floor(l.l_quantity / 4.0)) * 60) AS BIGINT)) AS time_taken,
+         CASE WHEN l.l_linenumber = 3 THEN '31-02-' || CAST(year(l.l_shipdate) AS VARCHAR)
+              ELSE strftime(CAST(l.l_shipdate AS DATE), '%d-%m-%Y') END AS dmy,
+         format('{:,.2f}', l.l_extendedprice) AS price_commas"""),
+    "business_file": """
+  SELECT fare_key, airline, ch_code, num_code, "from", "to", stop, dep_time, arr_time, time_taken,
+         dmy AS ggldate, '"' || price_commas || '"' AS price FROM file_base WHERE _rf = 'R'""",
+    "economy_file": """
+  SELECT fare_key, airline, ch_code, num_code, "from", "to", stop, dep_time, arr_time, time_taken,
+         dmy AS date, price_commas AS price FROM file_base WHERE _rf <> 'R'""",
     "fuel": """
   SELECT CAST(o_orderdate AS DATE) AS date,
          max(o_totalprice) / 1000.0 AS fuel_price_usd_per_barrel,
@@ -99,6 +115,9 @@ CTES: dict[str, str] = {
 
 DEPENDS = {
     "fares_dirty": [],
+    "clean_file": ["fares"],
+    "business_file": ["file_base"],
+    "economy_file": ["file_base"],
     "hol_day": ["cal"],
     "hol_win": ["cal"],
     "enriched": ["fares", "fuel", "cal", "hol_day", "hol_win"],

@@ -2,44 +2,6 @@
 
 from __future__ import annotations
 
-from farelens.plans.oracle import mean_cents, with_ctes
+from farelens.plans.catalog import SQL
 
-SQL: dict[str, str] = {}
-
-PRICE_STATS = f"""{mean_cents()} AS mean_price, round(stddev_samp(price), 2) AS std_price, count(price) AS n"""
-
-SQL["scan_fares"] = with_ctes("SELECT * FROM fares", "fares")
-SQL["scan_daily_series"] = with_ctes("SELECT * FROM fuel", "fuel")
-SQL["join_daily_series"] = with_ctes("""
-SELECT f.fare_key, f.date, fu.fuel_price_usd_per_barrel, fu.fuel_price_inr_per_liter
-FROM fares f LEFT JOIN fuel fu ON f.date = fu.date""", "fares", "fuel")
-SQL["holiday_exact"] = with_ctes("""
-SELECT f.fare_key, f.date, hd.hd IS NOT NULL AS is_holiday, coalesce(hd.score, 0.0) AS holiday_impact_score,
-       hd.holiday_name
-FROM fares f LEFT JOIN hol_day hd ON f.date = hd.hd""", "fares", "hol_day")
-SQL["holiday_window"] = with_ctes("""
-SELECT f.fare_key, f.date, hw.day IS NOT NULL AS is_holiday_season, hw.days_to_holiday, hw.season_holiday_name,
-       hw.holiday_impact,
-       CASE WHEN hw.day IS NULL THEN NULL WHEN hw.days_to_holiday > 0 THEN 'pre_holiday' ELSE 'post_holiday' END
-         AS season_type
-FROM fares f LEFT JOIN hol_win hw ON f.date = hw.day""", "fares", "hol_win")
-SQL["nearest_date"] = with_ctes("""
-SELECT f.fare_key, f.date, n.nearest_date, n.fuel_price_usd_per_barrel
-FROM fares f LEFT JOIN (
-  SELECT d.date, arg_min(fu.date, (abs(date_diff('day', d.date, fu.date)), fu.date)) AS nearest_date,
-         arg_min(fu.fuel_price_usd_per_barrel, (abs(date_diff('day', d.date, fu.date)), fu.date))
-           AS fuel_price_usd_per_barrel
-  FROM (SELECT DISTINCT date FROM fares) d, fuel fu GROUP BY d.date) n ON f.date = n.date""", "fares", "fuel")
-SQL["enrich_fares"] = with_ctes("SELECT * FROM enriched", "enriched")
-SQL["monthly_stats"] = with_ctes(f"""
-SELECT route, CAST(month(date) AS INTEGER) AS month, {PRICE_STATS}
-FROM enriched GROUP BY route, month(date)""", "enriched")
-SQL["peak_months"] = with_ctes("""
-SELECT route, kind, CAST(rank AS INTEGER) AS rank, month, mean_price FROM (
-  SELECT route, 'peak' AS kind, row_number() OVER (PARTITION BY route ORDER BY mean_price DESC, month) AS rank,
-         month, mean_price FROM m
-  UNION ALL
-  SELECT route, 'off_peak', row_number() OVER (PARTITION BY route ORDER BY mean_price ASC, month), month, mean_price
-  FROM m) WHERE rank <= 3""", "enriched", extra={"m": f"""
-  SELECT route, CAST(month(date) AS INTEGER) AS month, {mean_cents()} AS mean_price FROM enriched
-  GROUP BY route, month(date)"""})
+__all__ = ["SQL"]

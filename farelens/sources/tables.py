@@ -143,3 +143,51 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("pred_forest"),
         (F.col("l_extendedprice") * (F.lit(1) + F.col("l_discount"))).alias("pred_boosted"),
     )
+
+
+def _file_columns(ship):
+    cols = _fare_columns(ship)
+    ln = F.col("l_linenumber")
+    bad = ln == 3  # malformed day-month text (31 February) on one line in eight
+    dmy = F.when(bad, F.concat(F.lit("31-02-"), F.year(ship).cast("string"))).otherwise(
+        F.date_format(ship, "dd-MM-yyyy"))
+    return cols, dmy
+
+
+def clean_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fares in the layout of the clean fare file (city/time names, numeric price)."""
+    cols = _fare_columns(F.to_date("l_shipdate"))
+    return _fare_base(spark, sf_dir).select(
+        cols["fare_key"].alias("fare_key"), cols["airline"].alias("airline"), cols["flight"].alias("flight"),
+        cols["from"].alias("source_city"), cols["to"].alias("destination_city"),
+        cols["dep_time"].alias("departure_time"), cols["arr_time"].alias("arrival_time"),
+        cols["stop"].alias("stops"), cols["class"].alias("class"), cols["duration"].alias("duration"),
+        cols["days_left"].alias("days_left"), cols["price"].alias("price"))
+
+
+def business_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Business-cabin fares in the layout of the business file (text date and price)."""
+    from farelens.functions.text import format_duration
+    ship = F.to_date("l_shipdate")
+    cols, dmy = _file_columns(ship)
+    return _fare_base(spark, sf_dir).where(F.col("l_returnflag") == "R").select(
+        cols["fare_key"].alias("fare_key"), cols["airline"].alias("airline"),
+        F.substring(F.col("p_brand"), 1, 2).alias("ch_code"), F.col("p_size").cast("string").alias("num_code"),
+        cols["from"].alias("from"), cols["to"].alias("to"), cols["stop"].alias("stop"),
+        cols["dep_time"].alias("dep_time"), cols["arr_time"].alias("arr_time"),
+        format_duration(cols["duration"]).alias("time_taken"), dmy.alias("ggldate"),
+        F.concat(F.lit('"'), F.format_number(F.col("l_extendedprice"), 2), F.lit('"')).alias("price"))
+
+
+def economy_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other fares in the layout of the economy file (text ``date`` and price with commas)."""
+    from farelens.functions.text import format_duration
+    ship = F.to_date("l_shipdate")
+    cols, dmy = _file_columns(ship)
+    return _fare_base(spark, sf_dir).where(F.col("l_returnflag") != "R").select(
+        cols["fare_key"].alias("fare_key"), cols["airline"].alias("airline"),
+        F.substring(F.col("p_brand"), 1, 2).alias("ch_code"), F.col("p_size").cast("string").alias("num_code"),
+        cols["from"].alias("from"), cols["to"].alias("to"), cols["stop"].alias("stop"),
+        cols["dep_time"].alias("dep_time"), cols["arr_time"].alias("arr_time"),
+        format_duration(cols["duration"]).alias("time_taken"), dmy.alias("date"),
+        F.format_number(F.col("l_extendedprice"), 2).alias("price"))
