@@ -53,7 +53,7 @@ def holiday_window_table(calendar: DataFrame, days: int = HOLIDAY_WINDOW_DAYS) -
                            F.struct("seq", (-F.col("k")).alias("days_to_holiday"), "holiday_name",
                                     "holiday_impact_score").alias("h"))
     best = spread.groupBy("day").agg(F.min("h").alias("h"))
-    return best.select("day", F.col("h.days_to_holiday").alias("days_to_holiday"),
+    return best.select(F.col("day").alias("_wday"), F.col("h.days_to_holiday").alias("days_to_holiday"),
                        F.col("h.holiday_name").alias("season_holiday_name"),
                        F.col("h.holiday_impact_score").alias("holiday_impact"))
 
@@ -62,11 +62,11 @@ def holiday_window(df: DataFrame, calendar: DataFrame, date_col: str = "date",
                    days: int = HOLIDAY_WINDOW_DAYS) -> DataFrame:
     """Holiday within +-days: flag, signed days to it, name, impact, pre/post."""
     table = holiday_window_table(calendar, days)
-    out = df.join(F.broadcast(table), F.to_date(F.col(date_col)) == F.col("day"), "left")
+    out = df.join(F.broadcast(table), F.to_date(F.col(date_col)) == F.col("_wday"), "left")
     return out.select(*[out[c] for c in df.columns],
-                      F.col("day").isNotNull().alias("is_holiday_season"),
+                      F.col("_wday").isNotNull().alias("is_holiday_season"),
                       F.col("days_to_holiday"), F.col("season_holiday_name"), F.col("holiday_impact"),
-                      F.when(F.col("day").isNull(), F.lit(None))
+                      F.when(F.col("_wday").isNull(), F.lit(None))
                       .when(F.col("days_to_holiday") > 0, "pre_holiday").otherwise("post_holiday")
                       .alias("season_type"))
 

@@ -39,10 +39,12 @@ def group_count(df: DataFrame, keys: list[str], name: str, max_rows: int = 1_000
     Null keys count as their own group (as a group-size lookup would), so the
     join is null-safe.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cnt")
     small = bounded_broadcast(counts, max_rows)
-    cond = [df[k].eqNullSafe(small[k]) for k in keys]
-    return df.join(small, cond, "left").select(df["*"], F.coalesce(small[name], F.lit(0)).alias(name))
+    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    out = df.join(small, cond, "left")
+    return out.select(*[F.col(c) for c in df.columns], F.coalesce(F.col("_cnt"), F.lit(0)).alias(name))
 
 
 def route_features(df: DataFrame, major_cities=None) -> DataFrame:
@@ -101,8 +103,8 @@ def airline_features(df: DataFrame, budget=None, premium=None) -> DataFrame:
     out = df.withColumn("airline_type", F.when(a.isin(premium), "Premium").when(a.isin(budget), "Budget")
                         .otherwise("Other"))
     counts = df.where(a.isNotNull()).groupBy("airline").agg(F.count(F.lit(1)).alias("airline_market_share"))
-    small = bounded_broadcast(counts)
-    return out.join(small, "airline", "left")
+    small = bounded_broadcast(counts.select(F.col("airline").alias("_airline"), "airline_market_share"))
+    return out.join(small, F.col("airline") == F.col("_airline"), "left").drop("_airline")
 
 
 def route_key(df: DataFrame, sep: str = "_", src: str = "source_city", dst: str = "destination_city",

@@ -147,3 +147,76 @@ def with_ctes(body: str, *names: str, extra: dict[str, str] | None = None) -> st
 # SQL macro for an exact money mean (integer cents, one division).
 def mean_cents(col: str = "price") -> str:
     return f"CAST(sum(CAST(round({col} * 100) AS BIGINT)) AS DOUBLE) / CAST(count({col}) * 100 AS DOUBLE)"
+
+
+# ---------------------------------------------------------------- feature views
+def _in(col: str, values) -> str:
+    return f"{col} IN ({', '.join(_q(v) for v in values)})"
+
+
+def _map_case(col: str, mapping: dict, default=None) -> str:
+    whens = " ".join(f"WHEN {_q(k) if isinstance(k, str) else k} THEN {_q(v) if isinstance(v, str) else v}"
+                     for k, v in mapping.items())
+    expr = f"CASE {col} {whens} END"
+    return expr if default is None else f"coalesce({expr}, {default})"
+
+
+def band_case(col: str, bands) -> str:
+    parts = []
+    for lo, hi, label in bands:
+        cond = f"{col} > {lo}" + (f" AND {col} <= {hi}" if hi is not None else "")
+        parts.append(f"WHEN {cond} THEN {_q(label)}")
+    return "CASE " + " ".join(parts) + " END"
+
+
+def _feature_sql() -> dict[str, str]:
+    from farelens.constants import (BUDGET_AIRLINES, DURATION_MINUTE_BANDS, MAJOR_CITIES, PEAK_TIMES,
+                                    PREMIUM_AIRLINES, SEASONS, TIME_LABEL_FIXES, TIME_SLOTS)
+    relabel = lambda c: f"coalesce({_map_case(c, TIME_LABEL_FIXES)}, {c})"
+    pat = "'(\\d+)h\\s*(\\d+)m'"
+    std = f"""
+  SELECT * REPLACE ({relabel('dep_time')} AS dep_time, {relabel('arr_time')} AS arr_time),
+         coalesce(printf('%dh %02dm', CAST(floor(duration) AS BIGINT),
+                         CAST(floor((duration - floor(duration)) * 60) AS BIGINT)), '2h 00m') AS time_taken
+  FROM fares"""
+    temporal = f"""
+  SELECT *, {_map_case('month', SEASONS)} AS season, CAST(day_of_week >= 5 AS INTEGER) AS is_weekend,
+         CAST(day >= 25 AS INTEGER) AS is_month_end
+  FROM (SELECT *, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
+               CAST(quarter(date) AS INTEGER) AS quarter, CAST(day(date) AS INTEGER) AS day,
+               CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(dayofyear(date) AS INTEGER) AS day_of_year,
+               CAST(weekofyear(date) AS INTEGER) AS week_of_year FROM std)"""
+    hours = f"coalesce(TRY_CAST(nullif(regexp_extract(time_taken, {pat}, 1), '') AS DOUBLE), 2.0)"
+    mins = f"coalesce(TRY_CAST(nullif(regexp_extract(time_taken, {pat}, 2), '') AS DOUBLE), 0.0)"
+    rest = f"""
+  SELECT *, {band_case('total_flight_minutes', DURATION_MINUTE_BANDS)} AS duration_category FROM (
+  SELECT *, flight_hours * 60 + flight_minutes AS total_flight_minutes FROM (
+  SELECT *,
+         count(*) OVER (PARTITION BY "from", "to") AS route_popularity,
+         CAST(coalesce({_in('"from"', MAJOR_CITIES)}, FALSE) AS INTEGER) AS from_major_city,
+         CAST(coalesce({_in('"to"', MAJOR_CITIES)}, FALSE) AS INTEGER) AS to_major_city,
+         CAST(coalesce({_in('"from"', MAJOR_CITIES)}, FALSE) AND coalesce({_in('"to"', MAJOR_CITIES)}, FALSE)
+              AS INTEGER) AS major_to_major,
+         'Domestic' AS route_type,
+         {_map_case('dep_time', TIME_SLOTS, 3)} AS dep_time_slot,
+         {_map_case('arr_time', TIME_SLOTS, 3)} AS arr_time_slot,
+         CAST(coalesce({_in('dep_time', PEAK_TIMES)}, FALSE) AS INTEGER) AS is_peak_departure,
+         {hours} AS flight_hours, {mins} AS flight_minutes,
+         CASE WHEN {_in('airline', PREMIUM_AIRLINES)} THEN 'Premium' WHEN {_in('airline', BUDGET_AIRLINES)}
+              THEN 'Budget' ELSE 'Other' END AS airline_type,
+         CASE WHEN airline IS NULL THEN NULL ELSE count(*) OVER (PARTITION BY airline) END AS airline_market_share
+  FROM temporal))"""
+    feat = """
+  SELECT r.*, fu.fuel_price_usd_per_barrel, fu.fuel_price_inr_per_liter,
+         hd.hd IS NOT NULL AS is_holiday, coalesce(hd.score, 0.0) AS holiday_impact_score,
+         hw.day IS NOT NULL AS is_holiday_season
+  FROM rest r
+  LEFT JOIN fuel fu ON r.date = fu.date
+  LEFT JOIN hol_day hd ON r.date = hd.hd
+  LEFT JOIN hol_win hw ON r.date = hw.day"""
+    return {"std": std, "temporal": temporal, "rest": rest, "feat": feat}
+
+
+CTES.update(_feature_sql())
+DEPENDS.update({"std": ["fares"], "temporal": ["std"], "rest": ["temporal"],
+                "feat": ["rest", "fuel", "hol_day", "hol_win"]})
