@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from farelens.functions.money import round_binary
 from farelens.constants import (HOLIDAY_IMPACT_DEFAULT, HOLIDAY_IMPACT_SCORES, LITRE_FACTOR,
                                 SPINE_BASE_PRICE, SPINE_SEASONAL_AMPLITUDE, SPINE_TREND_PER_DAY)
 
@@ -97,6 +98,6 @@ def spine_from_range(bounds: DataFrame, *, base_price: float = SPINE_BASE_PRICE)
     price = F.lit(base_price) * seasonal * (F.lit(1.0) + trend) * regime
     return days.select(
         "date",
-        F.round(price, 2).alias("fuel_price_usd_per_barrel"),
-        F.round(price * F.lit(LITRE_FACTOR), 2).alias("fuel_price_inr_per_liter"),
+        round_binary(price, 2).alias("fuel_price_usd_per_barrel"),
+        round_binary(price * F.lit(LITRE_FACTOR), 2).alias("fuel_price_inr_per_liter"),
     )
