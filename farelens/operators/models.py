@@ -59,7 +59,8 @@ def train_boosted(train: DataFrame, label: str = "price", max_iter: int = 100, m
     if validation is not None:
         data = (train.withColumn("_is_val", F.lit(False))
                 .unionByName(validation.withColumn("_is_val", F.lit(True))))
-        gbt = gbt.setValidationIndicatorCol("_is_val").setValidationTol(0.01)
+        gbt = gbt.setValidationIndicatorCol("_is_val")
+        gbt.set(gbt.validationTol, 0.01)
         return gbt.fit(data)
     return gbt.fit(train)
 

@@ -220,3 +220,22 @@ def _feature_sql() -> dict[str, str]:
 CTES.update(_feature_sql())
 DEPENDS.update({"std": ["fares"], "temporal": ["std"], "rest": ["temporal"],
                 "feat": ["rest", "fuel", "hol_day", "hol_win"]})
+
+
+CTES["quotes"] = FARE_SELECT.replace("{extra}", """, p.p_retailprice * l.l_quantity AS y,
+         l.l_extendedprice AS pred_linear, l.l_extendedprice * (1 - l.l_discount) AS pred_forest,
+         l.l_extendedprice * (1 + l.l_discount) AS pred_boosted""")
+CTES["qlong"] = """
+  SELECT fare_key, CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'val' ELSE 'test' END AS split, model, y, prediction
+  FROM (SELECT fare_key, CAST(('0x' || substr(md5(fare_key), 1, 8)) AS BIGINT) % 100 AS b, y,
+               unnest([{'model': 'linear_regression', 'prediction': pred_linear},
+                       {'model': 'random_forest', 'prediction': pred_forest},
+                       {'model': 'boosted_trees', 'prediction': pred_boosted}], recursive := true)
+        FROM quotes)"""
+CTES["metrics"] = """
+  SELECT model, split, avg(abs(y - prediction)) AS mae, avg((y - prediction) * (y - prediction)) AS mse,
+         sqrt(avg((y - prediction) * (y - prediction))) AS rmse,
+         1.0 - sum((y - prediction) * (y - prediction)) / (var_pop(y) * count(*)) AS r2,
+         avg(abs((y - prediction) / y)) * 100 AS mape
+  FROM qlong GROUP BY model, split"""
+DEPENDS.update({"qlong": ["quotes"], "metrics": ["qlong"]})

@@ -1 +1,237 @@
-"""placeholder"""
+"""Model queries: metrics, comparison, ensembles and residuals over fixed predictions (SQL-checked),
+and distributed training, tuning, importances and persistence (rows-only)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from farelens.operators import analytics as A
+from farelens.operators import booking as B
+from farelens.operators import encode as M
+from farelens.operators import models as ML
+from farelens.plans.oracle import with_ctes
+from farelens.plans.registry import query
+from farelens.sources import tables
+from farelens.session import scratch_path
+
+MODELS = ["linear_regression", "random_forest", "boosted_trees"]
+PRED_COLS = {"linear_regression": "pred_linear", "random_forest": "pred_forest", "boosted_trees": "pred_boosted"}
+
+
+def quotes_long(spark, d) -> DataFrame:
+    q = M.split_rows(tables.quotes(spark, d))
+    preds = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("prediction")) for m, c in PRED_COLS.items()])
+    return q.select("fare_key", "split", "y", F.explode(preds).alias("p")).select(
+        "fare_key", "split", "p.model", "y", "p.prediction")
+
+
+def metrics(spark, d) -> DataFrame:
+    return ML.regression_metrics(quotes_long(spark, d))
+
+
+def _rounded(m: DataFrame) -> DataFrame:
+    return m.select("model", "split", F.round("mae", 4).alias("mae"), F.round("mse", 2).alias("mse"),
+                    F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"), F.round("mape", 6).alias("mape"))
+
+
+@query("regression_metrics", with_ctes("""
+SELECT model, split, round(mae, 4) AS mae, round(mse, 2) AS mse, round(rmse, 4) AS rmse, round(r2, 6) AS r2,
+       round(mape, 6) AS mape FROM metrics""", "metrics"))
+def regression_metrics(spark, d):
+    return _rounded(metrics(spark, d))
+
+
+@query("compare_models", with_ctes("""
+SELECT model, round(mae, 4) AS mae, round(mse, 4) AS mse, round(rmse, 4) AS rmse, round(r2, 4) AS r2,
+       round(mape, 4) AS mape FROM metrics WHERE split = 'val' ORDER BY rmse""", "metrics"))
+def compare_models(spark, d):
+    return ML.compare_models(metrics(spark, d))
+
+
+@query("best_model", with_ctes("""
+SELECT model, round(rmse, 4) AS rmse FROM metrics WHERE split = 'val' ORDER BY rmse, model LIMIT 1""", "metrics"))
+def best_model(spark, d):
+    return ML.best_model(metrics(spark, d)).select("model", F.round("rmse", 4).alias("rmse"))
+
+
+def _val_rmse(spark, d) -> dict:
+    rows = metrics(spark, d).where(F.col("split") == "val").select("model", "rmse").collect()
+    return {PRED_COLS[r["model"]]: r["rmse"] for r in rows}
+
+
+_W = "(1.0 / (rmse + 1e-8))"
+
+
+@query("ensemble", with_ctes(f"""
+SELECT q.fare_key, round((pred_linear + pred_forest + pred_boosted) / 3.0, 4) AS ensemble_average,
+       round(0.0 + pred_linear * (w.wl / w.t) + pred_forest * (w.wf / w.t) + pred_boosted * (w.wb / w.t), 4)
+         AS ensemble_weighted,
+       round(list_sort([pred_linear, pred_forest, pred_boosted])[2], 4) AS ensemble_median
+FROM quotes q, (SELECT max(CASE WHEN model = 'linear_regression' THEN {_W} END) AS wl,
+                       max(CASE WHEN model = 'random_forest' THEN {_W} END) AS wf,
+                       max(CASE WHEN model = 'boosted_trees' THEN {_W} END) AS wb,
+                       sum({_W}) AS t FROM metrics WHERE split = 'val') w""", "metrics"))
+def ensemble(spark, d):
+    q = tables.quotes(spark, d)
+    cols = list(PRED_COLS.values())
+    w = _val_rmse(spark, d)
+    return q.select("fare_key",
+                    F.round(ML.ensemble(q, cols, "average"), 4).alias("ensemble_average"),
+                    F.round(ML.ensemble(q, cols, "weighted", w), 4).alias("ensemble_weighted"),
+                    F.round(ML.ensemble(q, cols, "median"), 4).alias("ensemble_median"))
+
+
+@query("residuals", with_ctes("""
+SELECT fare_key, split, model, y AS actual, prediction AS predicted, y - prediction AS residual FROM qlong""", "qlong"))
+def residuals(spark, d):
+    return ML.residuals(quotes_long(spark, d))
+
+
+QUOTE_SQL = with_ctes("""
+SELECT fare_key, pred_linear, pred_forest, pred_boosted, m AS ensemble_mean,
+       least(pred_linear, pred_forest, pred_boosted) AS ensemble_min,
+       greatest(pred_linear, pred_forest, pred_boosted) AS ensemble_max,
+       (greatest(pred_linear, pred_forest, pred_boosted) - least(pred_linear, pred_forest, pred_boosted)) / 2.0
+         AS uncertainty,
+       conf AS confidence,
+       CASE WHEN conf > 0.8 THEN 'High' WHEN conf > 0.6 THEN 'Medium' ELSE 'Low' END AS confidence_level,
+       CASE WHEN conf > 0.8 THEN 'High confidence prediction. Expected price: ₹' || format('{:,.0f}', round(m, 0))
+            WHEN conf > 0.6 THEN 'Moderate confidence. Price estimate: ₹' || format('{:,.0f}', round(m, 0)) || ' (±10%)'
+            ELSE 'Low confidence. Price range: ₹' || format('{:,.0f}', round(m * 0.85, 0)) || ' - ₹'
+                 || format('{:,.0f}', round(m * 1.15, 0)) END AS advice
+FROM (SELECT *, least(1.0, greatest(0.0, 1.0 - sqrt(v) / m)) AS conf FROM (
+  SELECT *, ((pred_linear - m) * (pred_linear - m) + (pred_forest - m) * (pred_forest - m)
+             + (pred_boosted - m) * (pred_boosted - m)) / 3.0 AS v
+  FROM (SELECT fare_key, pred_linear, pred_forest, pred_boosted, (pred_linear + pred_forest + pred_boosted) / 3.0 AS m
+        FROM quotes)))""", "quotes")
+
+
+def _quote(spark, d) -> DataFrame:
+    q = tables.quotes(spark, d).select("fare_key", *PRED_COLS.values())
+    return B.multi_model_quote(q, list(PRED_COLS.values()))
+
+
+@query("multi_model_quote", QUOTE_SQL)
+def multi_model_quote(spark, d):
+    return _quote(spark, d)
+
+
+@query("ensemble_summary", with_ctes(
+    "SELECT fare_key, ensemble_mean, ensemble_min, ensemble_max, uncertainty FROM (" + QUOTE_SQL + ")", "quotes"))
+def ensemble_summary(spark, d):
+    q = tables.quotes(spark, d).select("fare_key", *PRED_COLS.values())
+    return A.ensemble_summary(q, list(PRED_COLS.values())).select(
+        "fare_key", "ensemble_mean", "ensemble_min", "ensemble_max", "uncertainty")
+
+
+@query("model_spread_confidence", with_ctes(
+    "SELECT fare_key, confidence, confidence_level FROM (" + QUOTE_SQL + ")", "quotes"))
+def model_spread_confidence(spark, d):
+    return _quote(spark, d).select("fare_key", "confidence", "confidence_level")
+
+
+@query("price_advice_text", with_ctes("SELECT fare_key, advice FROM (" + QUOTE_SQL + ")", "quotes"))
+def price_advice_text(spark, d):
+    return _quote(spark, d).select("fare_key", "advice")
+
+
+# ---------------------------------------------------------------- training (rows-only)
+# Model sizes of the registered queries; the library defaults are the
+# reference's (100 trees of depth 20, 100 boosting rounds of depth 6).
+QUERY_PARAMS = {
+    "random_forest": {"num_trees": 20, "max_depth": 8},
+    "boosted_trees": {"max_iter": 20, "max_depth": 5, "use_validation": True},
+}
+
+
+def training_frames(spark, d):
+    """Scaled feature matrix with a stable split, assembled, persisted (cut lineage) for the fits."""
+    from farelens.plans.q_matrix import scaled_matrix
+    x = M.split_rows(scaled_matrix(spark, d))
+    feats = [c for c in x.columns if c not in ("fare_key", "price", "split")]
+    data = ML.assemble(x, feats).select("fare_key", "price", "split", "features").checkpoint(eager=True)
+    train = data.where(F.col("split") == "train")
+    val = data.where(F.col("split") == "val")
+    test = data.where(F.col("split") == "test")
+    return train, val, test, feats
+
+
+@query("ridge")
+def ridge(spark, d):
+    train, val, _, _ = training_frames(spark, d)
+    model = ML.train_ridge(train)
+    return ML.regression_metrics(ML.predict(model, val, "linear_regression"))
+
+
+@query("random_forest")
+def random_forest(spark, d):
+    train, val, _, _ = training_frames(spark, d)
+    model = ML.train_forest(train, **QUERY_PARAMS["random_forest"])
+    return ML.regression_metrics(ML.predict(model, val, "random_forest"))
+
+
+@query("boosted_trees")
+def boosted_trees(spark, d):
+    train, val, _, _ = training_frames(spark, d)
+    kw = {k: v for k, v in QUERY_PARAMS["boosted_trees"].items() if k != "use_validation"}
+    model = ML.train_boosted(train, validation=val, **kw)
+    return ML.regression_metrics(ML.predict(model, val, "boosted_trees"))
+
+
+@query("predict")
+def predict(spark, d):
+    train, _, test, _ = training_frames(spark, d)
+    model = ML.train_ridge(train)
+    return ML.predict(model, test, "linear_regression")
+
+
+@query("train_all")
+def train_all(spark, d):
+    train, val, _, _ = training_frames(spark, d)
+    _, m, errors = ML.train_all(train, val, params=QUERY_PARAMS)
+    return m
+
+
+@query("grid_tune")
+def grid_tune(spark, d):
+    train, val, _, _ = training_frames(spark, d)
+    table, _ = ML.grid_tune(train, val, grid={"maxDepth": [3, 5], "stepSize": [0.1, 0.2], "maxIter": [10]})
+    return table
+
+
+@query("top_features")
+def top_features(spark, d):
+    train, _, _, feats = training_frames(spark, d)
+    model = ML.train_forest(train, **QUERY_PARAMS["random_forest"])
+    return ML.top_features(model, feats, 15)
+
+
+@query("pca_reduce")
+def pca_reduce(spark, d):
+    train, _, _, _ = training_frames(spark, d)
+    _, out = ML.pca_reduce(train, k=4)
+    return out.select("fare_key", "pca_features")
+
+
+@query("phase_regression")
+def phase_regression(spark, d):
+    """The phase features of the first four scaled columns, regressed with ridge."""
+    from farelens.plans.q_matrix import scaled_matrix
+    x = M.split_rows(scaled_matrix(spark, d))
+    cols = [c for c in x.columns if c not in ("fare_key", "price", "split")][:4]
+    ph = M.phase_features(x, cols, keep=("fare_key", "price", "split"))
+    feats = [c for c in ph.columns if c not in ("fare_key", "price", "split")]
+    data = ML.assemble(ph, feats).checkpoint(eager=True)
+    model = ML.train_ridge(data.where(F.col("split") == "train"))
+    return ML.regression_metrics(ML.predict(model, data.where(F.col("split") == "val"), "phase_regression"))
+
+
+@query("save_load_model")
+def save_load_model(spark, d):
+    """Save a fitted model to the shared folder, load it back, score the test rows."""
+    train, _, test, _ = training_frames(spark, d)
+    model = ML.train_ridge(train)
+    path = scratch_path(spark, "model-ridge")
+    ML.save_model(model, path)
+    loaded = ML.load_model(path)
+    return ML.regression_metrics(ML.predict(loaded, test, "linear_regression"))
