@@ -1 +1,121 @@
-"""placeholder"""
+"""Calendar, spine, stored-table and preparation queries."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from farelens.constants import CATEGORICAL_FEATURES
+from farelens.operators import encode as M
+from farelens.plans import base
+from farelens.plans.oracle import with_ctes
+from farelens.plans.registry import query
+from farelens.session import scratch_path
+from farelens.sources import files
+from farelens.sources.calendar import build_calendar, spine_from_range
+
+_TWO_PI = repr(2 * math.pi)
+
+
+@query("date_spine", with_ctes(f"""
+SELECT date, round(p, 2) AS fuel_price_usd_per_barrel, round(p * 0.53, 2) AS fuel_price_inr_per_liter
+FROM (SELECT date, 100.0 * (1.0 + 0.1 * sin({_TWO_PI} * dayofyear(date) / 365.0))
+                   * (1.0 + 0.0001 * date_diff('day', s, date))
+                   * CASE WHEN year(date) = 2020 AND month(date) BETWEEN 3 AND 6 THEN 0.7
+                          WHEN year(date) = 2022 AND month(date) >= 3 THEN 1.3 ELSE 1.0 END AS p
+      FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date, min(date) AS s
+            FROM fares))""", "fares"))
+def date_spine(spark, d):
+    bounds = base.fares(spark, d).agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    return spine_from_range(bounds)
+
+
+def _fare_years(spark, d):
+    return base.fares(spark, d).select(F.year("date").alias("year")).distinct()
+
+
+CAL_COLS = ["seq", "date", "holiday_name", "is_national_holiday", "holiday_type", "year", "holiday_impact_score"]
+
+
+@query("build_calendar", with_ctes("""
+SELECT seq, date, holiday_name, is_national_holiday, holiday_type, year, holiday_impact_score FROM cal
+WHERE year IN (SELECT DISTINCT CAST(year(date) AS INTEGER) FROM fares)""", "fares", "cal"))
+def build_calendar_q(spark, d):
+    return build_calendar(spark).join(_fare_years(spark, d), "year", "left_semi").select(*CAL_COLS)
+
+
+@query("union_calendar", with_ctes("""
+SELECT holiday_type, count(*) AS n FROM cal
+WHERE year IN (SELECT DISTINCT CAST(year(date) AS INTEGER) FROM fares) GROUP BY holiday_type""", "fares", "cal"))
+def union_calendar(spark, d):
+    cal = build_calendar(spark).join(_fare_years(spark, d), "year", "left_semi")
+    national = cal.where(F.col("is_national_holiday"))
+    festival = cal.where(~F.col("is_national_holiday"))
+    return national.unionByName(festival).groupBy("holiday_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("impact_lookup", with_ctes("""
+SELECT DISTINCT holiday_name, holiday_impact_score FROM cal
+WHERE year IN (SELECT DISTINCT CAST(year(date) AS INTEGER) FROM fares)""", "fares", "cal"))
+def impact_lookup(spark, d):
+    cal = build_calendar(spark).join(_fare_years(spark, d), "year", "left_semi")
+    return cal.select("holiday_name", "holiday_impact_score").distinct()
+
+
+@query("read_or_build", with_ctes("SELECT * FROM fuel", "fuel"))
+def read_or_build(spark, d):
+    path = scratch_path(spark, "daily-index")
+    first = files.read_or_build(spark, path, lambda: base.series(spark, d))
+    # a second call finds the stored table and does not rebuild it
+    return files.read_or_build(spark, path, lambda: (_ for _ in ()).throw(RuntimeError("rebuilt"))).select(
+        *first.columns)
+
+
+@query("external_tables", with_ctes("""
+SELECT 'daily_series' AS name, count(*) AS n FROM fuel
+UNION ALL
+SELECT 'holiday_calendar', count(*) FROM cal WHERE year IN (SELECT DISTINCT CAST(year(date) AS INTEGER) FROM fares)""",
+                                    "fares", "fuel", "cal"))
+def external_tables(spark, d):
+    tables = {"daily_series": base.series(spark, d),
+              "holiday_calendar": build_calendar(spark).join(_fare_years(spark, d), "year", "left_semi")}
+    parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k, t in tables.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("write_splits", with_ctes("""
+SELECT CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'val' ELSE 'test' END AS split, count(*) AS n
+FROM (SELECT CAST(('0x' || substr(md5(fare_key), 1, 8)) AS BIGINT) % 100 AS b FROM fares) GROUP BY 1""", "fares"))
+def write_splits(spark, d):
+    out = files.write_splits(M.split_rows(base.fares(spark, d)), scratch_path(spark, "splits"))
+    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+PREP_COLS = ["airline", "from", "to", "class", "stop", "dep_time", "arr_time"]
+
+
+@query("save_load_prep", with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS idx "
+    f"FROM (SELECT DISTINCT coalesce(CAST(\"{c}\" AS VARCHAR), 'nan') AS value FROM fares)" for c in PREP_COLS),
+    "fares"))
+def save_load_prep(spark, d):
+    df = base.fares(spark, d)
+    vocab = M.fit_vocabulary(df, PREP_COLS)
+    path = scratch_path(spark, "prep-state")
+    files.save_prep_state(spark, path, vocab, {"feature_columns": PREP_COLS})
+    loaded, params = files.load_prep_state(spark, path)
+    assert params["feature_columns"] == PREP_COLS
+    return loaded
+
+
+@query("prepare_fares")
+def prepare_fares(spark, d):
+    """M6 over the dirty fare table: the written, split, scaled feature matrix (row counts per split)."""
+    from farelens.plans.prep import prepare
+    out = prepare(spark, base.fares_dirty(spark, d), base.series(spark, d), base.calendar(spark),
+                  price_source="price_text")
+    return out["table"].groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+__all__ = ["CATEGORICAL_FEATURES"]
