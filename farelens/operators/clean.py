@@ -15,7 +15,8 @@ from farelens.constants import CLEAN_RENAMES, DAYS_LEFT_BASE_DATE, TIME_LABEL_FI
 from farelens.functions.lookups import relabel
 from farelens.functions.text import (carrier_code, digits_and_dot, flight_number, parse_dmy,
                                      parse_price_text, standard_duration)
-from farelens.operators.stats import column_modes, exact_quantiles, fit_quantiles
+from farelens.operators.stats import (exact_quantiles, materialize, modes_from_histogram, quantiles_from_histogram,
+                                      value_histogram)
 
 
 def _is_string(df: DataFrame, col: str) -> bool:
@@ -105,19 +106,32 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 def fit_fill_values(df: DataFrame, mode_cols=("airline", "from", "to", "class", "stop"),
                     median_cols=("price", "duration")) -> dict:
-    """Fitted fill values: mode (ties -> smallest, none -> 'Unknown') and median per column."""
+    """Fitted fill values: mode (ties -> smallest, none -> 'Unknown') and median per column.
+
+    A fill value only matters where a column holds nulls, so one aggregate
+    counts the nulls first; a single value histogram of just those columns is
+    then written, and modes and medians are read from it.
+    """
     mode_cols = [c for c in mode_cols if c in df.columns]
     median_cols = [c for c in median_cols if c in df.columns]
+    if not mode_cols and not median_cols:
+        return {}
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in mode_cols + median_cols]).first().asDict()
+    mode_cols = [c for c in mode_cols if counts[c] > 0]
+    median_cols = [c for c in median_cols if counts[c] > 0]
+    if not mode_cols and not median_cols:
+        return {}
+    hist = materialize(value_histogram(df, mode_cols, median_cols), "fill-histogram")
     fills: dict = {}
     if mode_cols:
-        found = {r["column"]: r["mode"] for r in column_modes(df, mode_cols).collect()}
+        found = modes_from_histogram(hist)
         for c in mode_cols:
             fills[c] = found.get(c, "Unknown")
     if median_cols:
-        med = fit_quantiles(df, median_cols, {"median": 0.5})
-        for c in median_cols:
-            if c in med:
-                fills[c] = med[c]["median"]
+        med = quantiles_from_histogram(hist.where(F.col("column").isin(median_cols)), ["column"], "v",
+                                       {"median": 0.5}).collect()
+        for r in med:
+            fills[r["column"]] = r["median"]
     return fills
 
 
@@ -176,16 +190,16 @@ def iqr_filter(df: DataFrame, col: str = "price", k: float = 1.5, bounds=None) -
 def clean_fares(df: DataFrame, price_source: str = "price", persist: bool = True) -> DataFrame:
     """Duplicates -> missing values -> price -> time labels -> price outliers.
 
-    The table is checkpointed after de-duplication and before the outlier
-    fences are fitted, so each fitted statistic and the filters read the same
+    The table is written to the shared checkpoint folder after de-duplication
+    and before the outlier fences are fitted, so each fitted statistic and the filters read the same
     materialised rows (and a lost executor does not re-run the earlier steps).
     """
     out = drop_duplicates(df)
     if persist:
-        out = out.checkpoint(eager=True)
+        out = materialize(out, "deduplicated")
     out = fill_missing(out)
     out = clean_price(out, source=price_source, target="price")
     out = clean_time_labels(out)
     if persist:
-        out = out.checkpoint(eager=True)
+        out = materialize(out, "cleaned")
     return iqr_filter(out, "price")

@@ -162,3 +162,59 @@ def phase_features(df: DataFrame, columns: list[str], keep=("fare_key",)) -> Dat
         ph = F.atan2(F.col(cols[i]), F.col(cols[(i + 1) % k]))
         out += [F.sin(ph).alias(f"phase_sin_{i}"), F.cos(ph).alias(f"phase_cos_{i}")]
     return df.select(*[c for c in keep if c in df.columns], *out)
+
+
+# ---------------------------------------------------------------- fused fit of M1 + M3 + M4
+def fit_matrix_state(feats: DataFrame, numeric=None, categorical=None) -> dict:
+    """Vocabularies, fill medians and scaler statistics from ONE pass over ``feats``.
+
+    A single value histogram of every categorical and numeric feature is
+    written once; then, from that small table only:
+
+    * vocabulary ranks of the categorical values (M1);
+    * null counts and medians of the numeric columns (M3);
+    * quartiles of the *filled, encoded* matrix (M4): encoded columns take the
+      histogram of their labels mapped to indexes, numeric columns take their
+      non-null histogram plus the null count placed at the median.
+
+    The result equals fitting M1, M3 and M4 one after another.
+    """
+    from farelens.operators.stats import (materialize, quantiles_from_histogram, value_histogram)
+    categorical = [c for c in (categorical or CATEGORICAL_FEATURES) if c in feats.columns]
+    numeric = [c for c in (numeric or NUMERIC_FEATURES) if c in feats.columns]
+    hist = materialize(value_histogram(feats, categorical, numeric, null_label=NULL_LABEL), "matrix-histogram")
+    cat_hist = hist.where(F.col("column").isin(categorical)).select("column", F.col("s").alias("value"), "cnt")
+    vocab = materialize(rank_intervals(cat_hist.select("column", "value").withColumn("cnt", F.lit(1)), ["column"],
+                                       "value", groups_bounded=True)
+                        .select("column", "value", F.col("_lo").cast("int").alias("idx")), "vocabulary")
+    num_hist = hist.where(F.col("column").isin(numeric)).select("column", "v", "cnt")
+    nulls = {r["column"]: r["cnt"] for r in num_hist.where(F.col("v").isNull()).collect()}
+    medians = {}
+    if nulls:
+        rows = quantiles_from_histogram(num_hist.where(F.col("column").isin(list(nulls))), ["column"], "v",
+                                        {"median": 0.5}).collect()
+        medians = {r["column"]: r["median"] for r in rows}
+    spark = feats.sparkSession
+    fill_rows = [(c, float(medians[c]), int(n)) for c, n in nulls.items() if medians.get(c) is not None]
+    filled = num_hist.where(F.col("v").isNotNull())
+    if fill_rows:
+        filled = filled.unionByName(spark.createDataFrame(fill_rows, "column string, v double, cnt long"))
+    enc_hist = cat_hist.join(vocab, ["column", "value"]).select(
+        F.concat(F.col("column"), F.lit("_encoded")).alias("column"), F.col("idx").cast("double").alias("v"), "cnt")
+    q = quantiles_from_histogram(filled.unionByName(enc_hist), ["column"], "v",
+                                 {"q1": 0.25, "median": 0.5, "q3": 0.75}).collect()
+    scaler = {}
+    for r in q:
+        iqr = r["q3"] - r["q1"]
+        scaler[r["column"]] = (r["median"], iqr if iqr != 0 else 1.0)
+    features = numeric + [f"{c}_encoded" for c in categorical]
+    return {"vocab": vocab, "medians": medians, "scaler": scaler, "feature_columns": features,
+            "categorical": categorical}
+
+
+def transform_matrix(feats: DataFrame, state: dict, keep=("fare_key", "price")) -> DataFrame:
+    """Encode, select, fill and scale with a fitted ``state`` (one narrow pass + broadcast joins)."""
+    enc = apply_vocabulary(feats, state["vocab"], state["categorical"])
+    x, _, _ = feature_matrix(enc, state["feature_columns"], keep=keep, medians=state["medians"])
+    scaled, _ = robust_scale(x, state["feature_columns"], state["scaler"], fit=False)
+    return scaled

@@ -47,12 +47,33 @@ def group_count(df: DataFrame, keys: list[str], name: str, max_rows: int = 1_000
     return out.select(*[F.col(c) for c in df.columns], F.coalesce(F.col("_cnt"), F.lit(0)).alias(name))
 
 
-def route_features(df: DataFrame, major_cities=None) -> DataFrame:
+def route_and_carrier_counts(df: DataFrame, max_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """Route and carrier row counts from ONE aggregate over ``df`` (both written, size-checked).
+
+    Returns ``(route_counts(_k0, _k1, _cnt), carrier_counts(_airline, airline_market_share))``.
+    """
+    items = F.array(
+        F.struct(F.lit("route").alias("kind"), F.col("from").alias("k0"), F.col("to").alias("k1")),
+        F.struct(F.lit("airline").alias("kind"), F.col("airline").alias("k0"), F.lit(None).cast("string").alias("k1")))
+    counts = (df.select(F.explode(items).alias("g")).select("g.*")
+              .groupBy("kind", "k0", "k1").agg(F.count(F.lit(1)).alias("_cnt")))
+    saved = bounded_broadcast(counts, max_rows)
+    routes = saved.where(F.col("kind") == "route").select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), "_cnt")
+    carriers = saved.where((F.col("kind") == "airline") & F.col("k0").isNotNull()).select(
+        F.col("k0").alias("_airline"), F.col("_cnt").alias("airline_market_share"))
+    return routes, carriers
+
+
+def route_features(df: DataFrame, major_cities=None, counts: DataFrame | None = None) -> DataFrame:
     """F4 + J5: route popularity, major-city flags, route type."""
     if "from" not in df.columns or "to" not in df.columns:
         return df
     cities = list(major_cities or MAJOR_CITIES)
-    out = group_count(df, ["from", "to"], "route_popularity")
+    if counts is None:
+        out = group_count(df, ["from", "to"], "route_popularity")
+    else:
+        j = df.join(counts, F.col("from").eqNullSafe(F.col("_k0")) & F.col("to").eqNullSafe(F.col("_k1")), "left")
+        out = j.select(*[F.col(c) for c in df.columns], F.coalesce(F.col("_cnt"), F.lit(0)).alias("route_popularity"))
     f = F.col("from").isin(cities).cast("int")
     t = F.col("to").isin(cities).cast("int")
     return out.withColumns({
@@ -94,7 +115,7 @@ def duration_features(df: DataFrame) -> DataFrame:
     return out.withColumn("duration_category", right_closed_band(F.col("total_flight_minutes"), DURATION_MINUTE_BANDS))
 
 
-def airline_features(df: DataFrame, budget=None, premium=None) -> DataFrame:
+def airline_features(df: DataFrame, budget=None, premium=None, counts: DataFrame | None = None) -> DataFrame:
     """F7 + J6: carrier type and carrier row count (named market share, a count)."""
     if "airline" not in df.columns:
         return df
@@ -102,8 +123,10 @@ def airline_features(df: DataFrame, budget=None, premium=None) -> DataFrame:
     a = F.col("airline")
     out = df.withColumn("airline_type", F.when(a.isin(premium), "Premium").when(a.isin(budget), "Budget")
                         .otherwise("Other"))
-    counts = df.where(a.isNotNull()).groupBy("airline").agg(F.count(F.lit(1)).alias("airline_market_share"))
-    small = bounded_broadcast(counts.select(F.col("airline").alias("_airline"), "airline_market_share"))
+    if counts is None:
+        counts = df.where(a.isNotNull()).groupBy("airline").agg(F.count(F.lit(1)).alias("airline_market_share"))
+        counts = bounded_broadcast(counts.select(F.col("airline").alias("_airline"), "airline_market_share"))
+    small = counts
     return out.join(small, F.col("airline") == F.col("_airline"), "left").drop("_airline")
 
 
@@ -149,6 +172,7 @@ def notebook_features(df: DataFrame) -> DataFrame:
 
 def feature_engineering(df: DataFrame, enrich=None) -> DataFrame:
     """temporal -> route -> time -> duration -> airline -> external tables."""
-    out = (df.transform(temporal_features).transform(route_features).transform(time_features)
-           .transform(duration_features).transform(airline_features))
+    routes, carriers = route_and_carrier_counts(df) if {"from", "to", "airline"} <= set(df.columns) else (None, None)
+    out = (df.transform(temporal_features).transform(route_features, counts=routes).transform(time_features)
+           .transform(duration_features).transform(airline_features, counts=carriers))
     return enrich(out) if enrich is not None else out

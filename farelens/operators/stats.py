@@ -75,13 +75,17 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float],
     base = df.select(*by, v.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     hist = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("cnt"))
     ranked = rank_intervals(hist, by, "_v", num_partitions=num_partitions, groups_bounded=groups_bounded)
-    aggs, picks = [F.max("_n").alias("_n")], []
+    return _pick_quantiles(ranked, by, probs)
+
+
+def _pick_quantiles(ranked: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
+    """Values at ranks floor/ceil((n-1)q), interpolated; ``ranked`` from ``rank_intervals`` on ``_v``."""
+    aggs = [F.max("_n").alias("_n")]
     for name, q in probs.items():
         rn = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(q))
         frn, crn = F.floor(rn), F.ceil(rn)
         aggs.append(F.max(F.when((F.col("_lo") <= frn) & (frn <= F.col("_hi")), F.col("_v"))).alias(f"_f_{name}"))
         aggs.append(F.max(F.when((F.col("_lo") <= crn) & (crn <= F.col("_hi")), F.col("_v"))).alias(f"_c_{name}"))
-        picks.append(name)
     # Only the rows holding one of the wanted ranks reach the final aggregate.
     wanted = None
     for q in probs.values():
@@ -130,6 +134,19 @@ def column_modes(df: DataFrame, columns: list[str]) -> DataFrame:
     return best.select("column", F.col("b.v").alias("mode"))
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor recomputes from the written files, not
+    from the source tables) and computes ``df`` exactly once; an eager RDD
+    checkpoint of an unpersisted plan would compute it twice.
+    """
+    from farelens.session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bounded_broadcast(small: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast ``small`` only after checking its size; otherwise return it as is.
 
@@ -138,6 +155,46 @@ def bounded_broadcast(small: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     the written files. Beyond ``max_rows`` the join stays a shuffle join and
     AQE's skew handling splits hot keys of the large side.
     """
-    saved = small.checkpoint(eager=True)
+    saved = materialize(small, "small")
     n = saved.count()
     return F.broadcast(saved) if n <= max_rows else saved
+
+
+def value_histogram(df: DataFrame, string_cols=(), numeric_cols=(), null_label: str | None = None) -> DataFrame:
+    """One pass: ``(column, s, v, cnt)`` counts of every value of many columns.
+
+    ``s`` holds string values (``null_label`` stands in for nulls when given,
+    else nulls are dropped), ``v`` numeric values (nulls kept as ``v = null``
+    so null counts come from the same table). Partial aggregation folds
+    repeated values map-side, so the shuffle is bounded by distinct values.
+    """
+    items = []
+    for c in string_cols:
+        sv = F.col(c).cast("string")
+        if null_label is not None:
+            sv = F.coalesce(sv, F.lit(null_label))
+        items.append(F.struct(F.lit(c).alias("column"), sv.alias("s"), F.lit(None).cast("double").alias("v")))
+    for c in numeric_cols:
+        items.append(F.struct(F.lit(c).alias("column"), F.lit(None).cast("string").alias("s"),
+                              F.col(c).cast("double").alias("v")))
+    long = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.column", "kv.s", "kv.v")
+    if null_label is None and string_cols:
+        long = long.where(~(F.col("s").isNull() & F.col("column").isin(list(string_cols))))
+    return long.groupBy("column", "s", "v").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def quantiles_from_histogram(hist: DataFrame, by: list[str], value: str, probs: dict[str, float],
+                             weight: str = "cnt", groups_bounded: bool = True) -> DataFrame:
+    """Continuous quantiles from a weighted histogram ``(by..., value, weight)``."""
+    h = hist.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("_v"),
+                                                                      F.col(weight).alias("cnt"))
+    h = h.groupBy(*by, "_v").agg(F.sum("cnt").alias("cnt"))
+    ranked = rank_intervals(h, list(by), "_v", groups_bounded=groups_bounded)
+    return _pick_quantiles(ranked, list(by), probs)
+
+
+def modes_from_histogram(hist: DataFrame) -> dict:
+    """Most frequent string per column (ties -> smallest) from ``value_histogram``."""
+    best = hist.where(F.col("s").isNotNull()).groupBy("column").agg(
+        F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("s").alias("s"))).alias("b"))
+    return {r["column"]: r["b"]["s"] for r in best.collect()}

@@ -4,10 +4,13 @@ load -> clean (P16) -> features (F13, with the daily series and calendar) ->
 encode (M1) -> matrix (M3) -> robust scale (M4) -> split (M5) -> write by split (S8)
 and save the fitted state (S9).
 
-The cleaned table is checkpointed inside ``clean_fares``; the encoded table
-is checkpointed once more before the statistics, so the fitted statistics,
-the scaling and the final write read materialised rows and a lost executor
-only recomputes from the last checkpoint.
+Passes over the fare rows: the seven-way join and de-duplication (written),
+one histogram for the fill values, the cleaned table (written), one
+aggregate for the route and carrier counts, the feature table (written),
+one histogram for vocabularies + medians + scaler statistics, and the final
+encode/fill/scale/split pass that writes the matrix partitioned by split.
+Every fitted statistic is read from a small written histogram, and a lost
+executor only recomputes from the last written table.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from farelens.operators import clean as P
 from farelens.operators import encode as M
 from farelens.operators.enrich import enrich_fares
 from farelens.operators.features import feature_engineering
+from farelens.operators.stats import materialize
 from farelens.session import scratch_path
 from farelens.sources import files
 
@@ -28,15 +32,14 @@ def prepare(spark: SparkSession, raw: DataFrame, series: DataFrame, calendar: Da
     if "time_taken" not in cleaned.columns and "duration" in cleaned.columns:
         cleaned = P.add_time_taken(cleaned)
     feats = feature_engineering(cleaned, enrich=lambda df: enrich_fares(df, series, calendar))
-    encoded, vocab = M.encode_categories(feats)
-    encoded = encoded.checkpoint(eager=True)
-    x, feature_cols, medians = M.feature_matrix(encoded)
-    scaled, scaler = M.robust_scale(x, feature_cols)
-    split = M.split_rows(scaled)
+    feats = materialize(feats, "features")
+    state = M.fit_matrix_state(feats)
+    split = M.split_rows(M.transform_matrix(feats, state))
     out_path = out_path or scratch_path(spark, "prepared")
     state_path = state_path or scratch_path(spark, "prep-state")
     written = files.write_splits(split, out_path)
-    files.save_prep_state(spark, state_path, vocab, {"scaler": scaler, "medians": medians,
-                                                      "feature_columns": feature_cols})
-    return {"table": written, "feature_columns": feature_cols, "vocab": vocab, "scaler": scaler,
-            "medians": medians, "path": out_path, "state_path": state_path, "encoded": encoded}
+    files.save_prep_state(spark, state_path, state["vocab"], {"scaler": state["scaler"], "medians": state["medians"],
+                                                              "feature_columns": state["feature_columns"]})
+    return {"table": written, "feature_columns": state["feature_columns"], "vocab": state["vocab"],
+            "scaler": state["scaler"], "medians": state["medians"], "path": out_path, "state_path": state_path,
+            "features": feats}

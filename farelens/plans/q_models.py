@@ -12,6 +12,7 @@ from farelens.operators import models as ML
 from farelens.plans.oracle import with_ctes
 from farelens.plans.registry import query
 from farelens.sources import tables
+from farelens.operators.stats import materialize
 from farelens.session import scratch_path
 
 MODELS = ["linear_regression", "random_forest", "boosted_trees"]
@@ -149,7 +150,7 @@ def training_frames(spark, d):
     from farelens.plans.q_matrix import scaled_matrix
     x = M.split_rows(scaled_matrix(spark, d))
     feats = [c for c in x.columns if c not in ("fare_key", "price", "split")]
-    data = ML.assemble(x, feats).select("fare_key", "price", "split", "features").checkpoint(eager=True)
+    data = materialize(ML.assemble(x, feats).select("fare_key", "price", "split", "features"), "training")
     train = data.where(F.col("split") == "train")
     val = data.where(F.col("split") == "val")
     test = data.where(F.col("split") == "test")
@@ -221,7 +222,7 @@ def phase_regression(spark, d):
     cols = [c for c in x.columns if c not in ("fare_key", "price", "split")][:4]
     ph = M.phase_features(x, cols, keep=("fare_key", "price", "split"))
     feats = [c for c in ph.columns if c not in ("fare_key", "price", "split")]
-    data = ML.assemble(ph, feats).checkpoint(eager=True)
+    data = materialize(ML.assemble(ph, feats), "phase-training")
     model = ML.train_ridge(data.where(F.col("split") == "train"))
     return ML.regression_metrics(ML.predict(model, data.where(F.col("split") == "val"), "phase_regression"))
 

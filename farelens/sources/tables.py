@@ -46,9 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows when a scan yields fewer tasks than the cluster has cores.
+
+    A file written as one large row group is read by a single task; the per-row
+    work after it (joins, features) would then run on one core. On large inputs
+    the scan already has more splits than cores and nothing is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _fare_base(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-               "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = spread(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                      "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"))
     od = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     su = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     cu = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
