@@ -19,7 +19,9 @@ def format_duration(hours: Column) -> Column:
     """Decimal hours -> ``'Xh MMm'`` (minutes truncated); null -> ``'2h 00m'``."""
     h = F.floor(hours)
     m = F.floor((hours - h) * F.lit(60))
-    return F.coalesce(F.format_string("%dh %02dm", h.cast("bigint"), m.cast("bigint")), F.lit("2h 00m"))
+    # format_string renders null arguments as the text "null": test for null first
+    return F.when(hours.isNull(), F.lit("2h 00m")).otherwise(
+        F.format_string("%dh %02dm", h.cast("bigint"), m.cast("bigint")))
 
 
 def standard_duration(duration: Column, is_text: bool = False) -> Column:
