@@ -319,3 +319,15 @@ SELECT route, round(regr_slope(predicted_price, fuel_price), 6) AS slope,
 FROM imp GROUP BY route""", "enriched", extra=FUEL_CTES))
 def trend_line(spark, d):
     return A.trend_line(fuel_impact_table(spark, d), "fuel_price", "predicted_price", by=["route"])
+
+
+@query("sensitivity_level", with_ctes("SELECT route, sensitivity_level FROM (" + SUMMARY_SQL[SUMMARY_SQL.index("SELECT route, round(min"):] + ")",
+                                      "enriched", extra=FUEL_CTES))
+def sensitivity_level(spark, d):
+    return B.scenario_summary(fuel_impact_table(spark, d)).select("route", "sensitivity_level")
+
+
+@query("elasticity_level", with_ctes("SELECT route, elasticity_level FROM (" + SUMMARY_SQL[SUMMARY_SQL.index("SELECT route, round(min"):] + ")",
+                                     "enriched", extra=FUEL_CTES))
+def elasticity_level(spark, d):
+    return B.scenario_summary(fuel_impact_table(spark, d)).select("route", "elasticity_level")
