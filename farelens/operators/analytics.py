@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from farelens.constants import BOOKING_WINDOW_BANDS, WEEKDAY_NAMES
 from farelens.functions.bands import equal_width_bin, right_closed_band
 from farelens.functions.money import cents, mean_from_cents, mean_price
-from farelens.operators.stats import bounded_broadcast, exact_quantiles, rank_intervals
+from farelens.operators.stats import bounded_broadcast, exact_quantiles, materialize, rank_intervals
 
 
 def with_route(df: DataFrame, sep: str = "-") -> DataFrame:
@@ -46,25 +46,31 @@ def seasonal_variation(monthly: DataFrame, by=("route",)) -> DataFrame:
 
 
 def top_k(stats: DataFrame, by, key: str, k: int, order_col: str = "mean_price", tiebreak: str | None = None,
-          kinds=(("high", True), ("low", False))) -> DataFrame:
+          kinds=(("high", True), ("low", False)), keep=()) -> DataFrame:
     """K1/K2: the ``k`` highest and lowest rows by ``order_col`` per group, ties -> ``tiebreak`` order.
 
-    Runs over an aggregated table (a few rows per group).
+    Runs over an aggregated table (a few rows per group). Both orders are
+    ranked in one pass (one shuffle by group, one sort per order), and a row
+    that is in both lists comes out once per list. ``keep`` carries further
+    columns of ``stats`` along, so callers need no join back to the table.
     """
     tiebreak = tiebreak or key
-    parts = []
-    for kind, desc in kinds:
+    ranked = stats.where(F.col(order_col).isNotNull())
+    for i, (_, desc) in enumerate(kinds):
         o = F.col(order_col).desc() if desc else F.col(order_col).asc()
-        w = Window.partitionBy(*by).orderBy(o, F.col(tiebreak).asc())
-        parts.append(stats.where(F.col(order_col).isNotNull())
-                     .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                     .select(*by, F.lit(kind).alias("kind"), "rank", key, order_col))
-    return parts[0].unionByName(parts[1])
+        ranked = ranked.withColumn(f"_r{i}", F.row_number().over(
+            Window.partitionBy(*by).orderBy(o, F.col(tiebreak).asc())))
+    picks = F.filter(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"_r{i}").alias("rank"))
+                               for i, (kind, _) in enumerate(kinds)]), lambda p: p["rank"] <= k)
+    near_top = [F.col(f"_r{i}") <= k for i in range(len(kinds))]
+    return (ranked.where(near_top[0] | near_top[1] if len(near_top) > 1 else near_top[0])
+            .select(*by, F.explode(picks).alias("_p"), key, order_col, *keep)
+            .select(*by, "_p.kind", "_p.rank", key, order_col, *keep))
 
 
-def peak_months(monthly: DataFrame, by=("route",), k: int = 3) -> DataFrame:
+def peak_months(monthly: DataFrame, by=("route",), k: int = 3, keep=()) -> DataFrame:
     """K1: three highest (``peak``) and lowest (``off_peak``) months; ties -> earlier month."""
-    return top_k(monthly, by, "month", k, kinds=(("peak", True), ("off_peak", False)))
+    return top_k(monthly, by, "month", k, kinds=(("peak", True), ("off_peak", False)), keep=keep)
 
 
 # ---------------------------------------------------------------- A3, K2
@@ -181,13 +187,19 @@ def range_elasticity(df: DataFrame, by=("route",), fuel: str = FUEL, min_rows: i
 
 
 # ---------------------------------------------------------------- A9
-def route_patterns(df: DataFrame) -> DataFrame:
+def route_patterns(df: DataFrame, persist: bool = True) -> DataFrame:
     """One row per route with every pattern report (lists as ordered arrays).
 
     Each report is a grouped aggregate keyed by route; they meet in joins on
-    ``route`` between tables of one row per route (no skew possible).
+    ``route`` between tables of one row per route (no skew possible). The six
+    reports read the same fare rows, so with ``persist`` the seven columns they
+    use are written once to the shared checkpoint folder: the fare join and
+    enrichment run once instead of once per report, and a lost executor
+    recomputes from the written table.
     """
-    df = with_route(df)
+    df = with_route(df).select("route", "date", "days_left", "price", "is_holiday", "is_holiday_season", FUEL)
+    if persist:
+        df = materialize(df, "route-pattern-input")
     monthly = monthly_stats(df)
     peaks = peak_months(monthly)
     weekly = weekday_stats(df)

@@ -2,11 +2,15 @@
 
 fares -> daily index (left join) -> calendar parts -> monthly mean / std /
 count per route -> the three highest and lowest months per route.
+
+One pass over the fare rows: the monthly aggregate (partial aggregation on
+the map side) is ranked both ways in one window pass and carries its
+standard deviation and count along, so the fare join is never re-run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from farelens.operators.analytics import monthly_stats, peak_months, with_route
 from farelens.operators.enrich import join_daily_series
@@ -19,5 +23,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = tables.fuel_series(spark, sf_dir)
     enriched = with_route(temporal_features(join_daily_series(fares, series)))
     monthly = monthly_stats(enriched)
-    peaks = peak_months(monthly)
-    return peaks.join(monthly.select("route", "month", "std_price", "n"), ["route", "month"])
+    return peak_months(monthly, keep=("std_price", "n")).select(
+        "route", "month", "kind", "rank", "mean_price", "std_price", "n")

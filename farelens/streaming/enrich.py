@@ -11,11 +11,12 @@ scaler come from the fitted preparation state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from farelens.operators import clean as P
 from farelens.operators import encode as M
 from farelens.operators.enrich import enrich_fares
+from farelens.operators.stats import bounded_broadcast
 from farelens.operators.features import (airline_features, duration_features, route_features, temporal_features,
                                          time_features)
 
@@ -26,14 +27,16 @@ def enrich_stream(stream: DataFrame, series: DataFrame, calendar: DataFrame, rou
 
     ``route_counts`` is ``(_k0, _k1, _cnt)`` and ``carrier_counts`` is
     ``(_airline, airline_market_share)``, as returned by
-    ``features.route_and_carrier_counts`` on the batch table.
+    ``features.route_and_carrier_counts`` on the batch table. Both are
+    broadcast only after their written size is checked; a larger table stays
+    a stream-static shuffle join.
     """
     out = P.add_time_taken(P.clean_time_labels(stream))
     out = temporal_features(out)
-    out = route_features(out, counts=F.broadcast(route_counts))
+    out = route_features(out, counts=bounded_broadcast(route_counts))
     out = time_features(out)
     out = duration_features(out)
-    out = airline_features(out, counts=F.broadcast(carrier_counts))
+    out = airline_features(out, counts=bounded_broadcast(carrier_counts))
     return enrich_fares(out, series, calendar)
 
 
