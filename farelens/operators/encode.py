@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from farelens.constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from farelens.operators.stats import bounded_broadcast, fit_quantiles, rank_intervals
+from farelens.operators.stats import bounded_broadcast, fit_quantiles, materialize, rank_intervals
 
 NULL_LABEL = "nan"
 
@@ -30,11 +30,17 @@ def _long_labels(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_vocabulary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``idx`` = rank of the value among the sorted distinct values of its column."""
+    """``idx`` = rank of the value among the sorted distinct values of its column.
+
+    The distinct labels (one pass over ``df``, combined map-side) and the
+    fitted vocabulary are written to the shared checkpoint folder: ranking
+    reads the labels three times and callers read the vocabulary several
+    times, and neither may re-scan the fare rows.
+    """
     columns = [c for c in (columns or CATEGORICAL_FEATURES) if c in df.columns]
-    distinct = _long_labels(df, columns).distinct().withColumn("cnt", F.lit(1))
+    distinct = materialize(_long_labels(df, columns).distinct(), "labels").withColumn("cnt", F.lit(1))
     ranked = rank_intervals(distinct, ["column"], "value", groups_bounded=True)
-    return ranked.select("column", "value", F.col("_lo").cast("int").alias("idx"))
+    return materialize(ranked.select("column", "value", F.col("_lo").cast("int").alias("idx")), "vocabulary")
 
 
 def extend_vocabulary(vocab: DataFrame, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -44,7 +50,7 @@ def extend_vocabulary(vocab: DataFrame, df: DataFrame, columns: list[str] | None
     not exist in a distributed table).
     """
     columns = [c for c in (columns or CATEGORICAL_FEATURES) if c in df.columns]
-    seen = _long_labels(df, columns).distinct()
+    seen = materialize(_long_labels(df, columns).distinct(), "labels")
     unseen = seen.join(vocab.select("column", "value"), ["column", "value"], "left_anti").withColumn("cnt", F.lit(1))
     ranked = rank_intervals(unseen, ["column"], "value", groups_bounded=True)
     top = vocab.groupBy("column").agg(F.max("idx").alias("_top"))

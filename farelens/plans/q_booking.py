@@ -8,6 +8,7 @@ from farelens.constants import LITRE_FACTOR, MAJOR_CITIES, SCENARIO_DEFAULTS, SE
 from farelens.functions.money import round_binary
 from farelens.operators import analytics as A
 from farelens.operators import booking as B
+from farelens.operators.stats import materialize
 from farelens.plans import base
 from farelens.plans.oracle import _in, _map_case, mean_cents, with_ctes
 from farelens.plans.registry import query
@@ -200,10 +201,25 @@ def fuel_base(spark, d) -> DataFrame:
         F.col("base_fuel_price").isNotNull())
 
 
-def fuel_impact_table(spark, d) -> DataFrame:
+def route_fuel_table(spark, d) -> DataFrame:
+    """Per route, in one pass over the fares: base fuel price and the price-on-fuel line.
+
+    One row per route, written once to the shared checkpoint folder: the
+    scenario scoring reads it several times (scenarios, base rows, baseline)
+    and must not re-run the fare join for each read.
+    """
     e = base.enriched(spark, d)
-    scorer = B.trend_scorer(B.route_trend_model(e))
-    return B.fuel_impact(B.fuel_scenarios(fuel_base(spark, d), scenario_range=SCENARIO_RANGE), scorer)
+    t = e.groupBy("route").agg(round_binary(F.avg(FUEL), 2).alias("base_fuel_price"),
+                               F.regr_slope("price", FUEL).alias("slope"),
+                               F.regr_intercept("price", FUEL).alias("intercept"))
+    return materialize(t, "route-fuel")
+
+
+def fuel_impact_table(spark, d) -> DataFrame:
+    t = route_fuel_table(spark, d)
+    scorer = B.trend_scorer(t.select("route", "slope", "intercept"))
+    fb = t.select("route", "base_fuel_price").where(F.col("base_fuel_price").isNotNull())
+    return B.fuel_impact(B.fuel_scenarios(fb, scenario_range=SCENARIO_RANGE), scorer)
 
 
 _N = int(2 * SCENARIO_RANGE / 0.1 + 1e-9)
