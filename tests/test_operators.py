@@ -106,3 +106,18 @@ def test_sequence_windows_split_hot_group_exactly(spark):
     for (g, t), seq in got.items():
         base = 0 if g == "hot" else 100
         assert seq == [float(base + t - 3), float(base + t - 2), float(base + t - 1)]
+
+
+def test_peak_months_ranks_both_ways_in_one_pass(spark):
+    # route a has two months: each is in both lists; ties -> earlier month; extra columns carried along
+    monthly = spark.createDataFrame(
+        [("a", 1, 10.0, 1.0, 3), ("a", 2, 20.0, 2.0, 4),
+         ("b", 1, 5.0, 0.0, 1), ("b", 2, 5.0, 0.0, 1), ("b", 3, 7.0, 0.0, 1), ("b", 4, 1.0, 0.0, 1),
+         ("b", 5, None, None, 0)],
+        "route string, month int, mean_price double, std_price double, n long")
+    got = sorted(tuple(r) for r in A.peak_months(monthly, keep=("n",)).collect())
+    assert got == sorted([
+        ("a", "peak", 1, 2, 20.0, 4), ("a", "peak", 2, 1, 10.0, 3),
+        ("a", "off_peak", 1, 1, 10.0, 3), ("a", "off_peak", 2, 2, 20.0, 4),
+        ("b", "peak", 1, 3, 7.0, 1), ("b", "peak", 2, 1, 5.0, 1), ("b", "peak", 3, 2, 5.0, 1),
+        ("b", "off_peak", 1, 4, 1.0, 1), ("b", "off_peak", 2, 1, 5.0, 1), ("b", "off_peak", 3, 2, 5.0, 1)])
