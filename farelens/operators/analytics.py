@@ -303,7 +303,7 @@ def first_last_trend(df: DataFrame, by, order_col: str, value: str) -> DataFrame
 
 # ---------------------------------------------------------------- W4
 def sequence_windows(df: DataFrame, by: list[str], order: list[str], feature_cols: list[str], label: str,
-                     length: int = 30, bucket_rows: int = 100_000) -> DataFrame:
+                     length: int = 30, bucket_rows: int = 100_000, persist: bool = True) -> DataFrame:
     """The previous ``length`` rows' features as one example; the label is the current row.
 
     Rows get their exact position inside the group from ``rank_intervals``
@@ -311,10 +311,14 @@ def sequence_windows(df: DataFrame, by: list[str], order: list[str], feature_col
     of ``bucket_rows``; the last ``length`` rows of each bucket are copied into
     the next bucket as a halo, so the sliding window runs per (group, bucket)
     and a hot group is spread over many tasks. Rows with fewer than
-    ``length`` predecessors are dropped.
+    ``length`` predecessors are dropped. With ``persist`` the input is written
+    once to the shared checkpoint folder, because the ranking and the position
+    join read it several times and must not re-run its plan.
     """
     key = "_okey"
     base = df.withColumn(key, F.struct(*[F.col(c) for c in order]))
+    if persist:
+        base = materialize(base, "sequence-input")
     hist = base.select(*by, key).groupBy(*by, key).agg(F.count(F.lit(1)).alias("cnt"))
     ranks = rank_intervals(hist, list(by), key, groups_bounded=False).select(*by, key, F.col("_lo").alias("_pos"))
     # order keys are unique within a group, so _lo is the row's position

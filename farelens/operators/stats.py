@@ -68,12 +68,15 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float],
                     num_partitions: int | None = None, groups_bounded: bool = True) -> DataFrame:
     """One row per group with a column per named probability (continuous quantile).
 
-    Nulls and NaNs are ignored; a group without values yields no row.
+    Nulls and NaNs are ignored; a group without values yields no row. The
+    histogram is written once to the shared checkpoint folder: ranking reads
+    it three times (range sample, in-partition sums, partition offsets), and
+    none of those reads may re-run the plan of ``df``.
     """
     by = list(by or [])
     v = value if isinstance(value, Column) else F.col(value)
     base = df.select(*by, v.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    hist = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("cnt"))
+    hist = materialize(base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("cnt")), "value-histogram")
     ranked = rank_intervals(hist, by, "_v", num_partitions=num_partitions, groups_bounded=groups_bounded)
     return _pick_quantiles(ranked, by, probs)
 
