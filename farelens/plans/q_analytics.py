@@ -269,7 +269,9 @@ FROM (SELECT fare_key, route, price,
       WINDOW w AS (PARTITION BY route ORDER BY date, fare_key ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
 WHERE n = 30""", "enriched"))
 def sequence_windows(spark, d):
-    seq = A.sequence_windows(base.enriched(spark, d), ["route"], ["date", "fare_key"], SEQ_FEATURES, "price")
+    # only the columns the windows use reach the operator (it writes its input once)
+    rows = base.enriched(spark, d).select(*dict.fromkeys(["fare_key", "route", "date", "price", *SEQ_FEATURES]))
+    seq = A.sequence_windows(rows, ["route"], ["date", "fare_key"], SEQ_FEATURES, "price")
     s = F.col("sequence")
     return seq.select(
         "fare_key", "route", F.col("price").alias("label"), F.size(s).alias("seq_len"),
