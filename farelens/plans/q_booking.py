@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from farelens.constants import LITRE_FACTOR, MAJOR_CITIES, SCENARIO_DEFAULTS, SEASONS, SEASON_CODES
-from farelens.functions.money import round_binary
+from farelens.functions.money import cents, mean_from_cents, round_binary
 from farelens.operators import analytics as A
 from farelens.operators import booking as B
 from farelens.operators.stats import materialize
@@ -19,19 +19,33 @@ AS_OF = "2001-11-20"
 SCENARIO_RANGE = 0.3
 
 
-def requests(spark, d) -> DataFrame:
-    """Every route of the fare table x the fixed departure dates."""
-    routes = base.fares(spark, d).select("from", "to").distinct()
+def _requests_of(routes: DataFrame) -> DataFrame:
     dates = F.array(*[F.to_date(F.lit(x)) for x in DEPARTURES])
     return A.with_route(routes).withColumn("departure_date", F.explode(dates))
 
 
+def requests(spark, d) -> DataFrame:
+    """Every route of the fare table x the fixed departure dates."""
+    return _requests_of(base.fares(spark, d).select("from", "to").distinct())
+
+
 def scenarios(spark, d) -> DataFrame:
     return B.booking_scenarios(requests(spark, d), AS_OF)
 
 
 def priced_scenarios(spark, d) -> DataFrame:
-    return B.pattern_price(scenarios(spark, d), A.monthly_stats(base.enriched(spark, d)))
+    """Scenarios priced from the route's month means.
+
+    One pass over the fares sums integer cents by (from, to, route, month),
+    at most twelve rows per route, written once. The request list and the
+    (route, month) means are both read from it, so the fare join runs once.
+    Cent sums re-aggregate exactly.
+    """
+    agg = materialize(base.enriched(spark, d).groupBy("from", "to", "route", F.month("date").alias("month")).agg(
+        F.sum(cents(F.col("price"))).alias("_s"), F.count("price").alias("_n")), "route-months")
+    monthly = agg.groupBy("route", "month").agg(mean_from_cents(F.sum("_s"), F.sum("_n")).alias("mean_price"))
+    scen = B.booking_scenarios(_requests_of(agg.select("from", "to").distinct()), AS_OF)
+    return B.pattern_price(scen, monthly)
 
 
 _DEP_VALUES = ", ".join(f"(DATE '{x}')" for x in DEPARTURES)
