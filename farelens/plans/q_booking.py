@@ -25,8 +25,12 @@ def _requests_of(routes: DataFrame) -> DataFrame:
 
 
 def requests(spark, d) -> DataFrame:
-    """Every route of the fare table x the fixed departure dates."""
-    return _requests_of(base.fares(spark, d).select("from", "to").distinct())
+    """Every route of the fare table x the fixed departure dates.
+
+    The distinct route list (one row per route pair) is written once: the
+    scenario features read it twice (nearest-date lookup and join back).
+    """
+    return _requests_of(materialize(base.fares(spark, d).select("from", "to").distinct(), "routes"))
 
 
 def scenarios(spark, d) -> DataFrame:
