@@ -31,8 +31,8 @@ _RANGE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructFie
                               T.StructField("ranges", T.BinaryType())])
 _ARROW_BUCKET = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
 _ARROW_RANGE = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("ranges", pa.binary())])
-FLUSH_BYTES = 24 << 20
-PIECE_BYTES = 1 << 20
+FLUSH_BYTES = 8 << 20     # packed text that a map task holds
+BUCKET_BYTES = 16 << 20   # packed text aimed at per bucket
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -125,7 +125,7 @@ class _Packer:
 
 
 def _unpack(blobs: list[bytes]):
-    """(texts, text number, doc id, fingerprint, start) of the blobs of one bucket."""
+    """(texts joined by line feeds, text number, doc id, fingerprint, start) of a bucket."""
     texts, number, rest, base = [], [], [], 0
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -136,22 +136,39 @@ def _unpack(blobs: list[bytes]):
         rest.append(where[1:])
         base += n_texts
     doc, fp, start = np.concatenate(rest, axis=1)
-    return b"\n".join(texts).split(b"\n"), np.concatenate(number), doc, fp, start
+    return b"\n".join(texts), np.concatenate(number), doc, fp, start
+
+
+def _windows(data: bytes, window: int):
+    """Per window of the joined texts: fingerprint, text number, offset in words, byte span."""
+    texts = pa.array(data.split(b"\n"), pa.large_binary()).cast(pa.large_string())
+    batch = pa.record_batch([texts], ["text"])
+    key, text, within, lo, hi = [], [], [], [], []
+    n_texts = base = 0
+    for block in blocks(batch, "text"):
+        words = find_words(block.column("text"))
+        n = np.diff(words.first) - window + 1
+        of = np.repeat(np.arange(len(n)), n)
+        off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        at = words.first[of] + off
+        key.append(run_hashes(words.hashes(), window)[at])
+        text.append((of + n_texts).astype(np.int32))
+        within.append(off.astype(np.int32))
+        lo.append(words.starts[at] + base)
+        hi.append(words.ends[at + window - 1] + base)
+        n_texts += len(n)
+        base += len(words.data)
+    return [np.concatenate(x) for x in (key, text, within, lo, hi)]
 
 
 def _repeats(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
     """Word ranges covered by windows of the bucket that also start earlier."""
-    texts, number, doc, fp, start = _unpack(blobs)
+    data, number, doc, fp, start = _unpack(blobs)
     order = np.lexsort((start, fp, doc, number))
     number, doc, fp, start = number[order], doc[order], fp[order], start[order]
     leads = np.flatnonzero(np.diff(number, prepend=-1))
-    words = find_words(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
-    n_windows = np.diff(words.first) - window + 1
-    hashes = run_hashes(words.hashes(), window)
-    text_of = np.repeat(np.arange(len(texts)), n_windows)
-    within = np.arange(len(text_of)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    at = words.first[text_of] + within
-    key = hashes[at]
+    key, text_of, within, lo, hi = _windows(data, window)
+    n_windows = np.bincount(text_of, minlength=len(leads))
     by = np.argsort(key, kind="stable")
     same = key[by][1:] == key[by][:-1]
     repeated = np.zeros(len(by), bool)
@@ -159,9 +176,8 @@ def _repeats(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
     repeated[:-1] |= same
     by = by[repeated]
     lead = leads[text_of[by]]
-    # Equal fingerprints only propose: windows are sorted by their bytes as well where those differ.
-    lo, hi = words.starts[at[by]], words.ends[at[by] + window - 1]
-    data = words.data.tobytes()
+    # Equal fingerprints only propose; groups are told apart by the bytes of the windows.
+    spans = list(map(slice, lo[by].tolist(), hi[by].tolist()))
     group = np.cumsum(np.diff(key[by], prepend=0) != 0) if len(by) else np.zeros(0, np.int64)
     spans = list(map(slice, lo.tolist(), hi.tolist()))
     differs = [i for i in range(1, len(by)) if group[i] == group[i - 1] and data[spans[i]] != data[spans[i - 1]]]
@@ -212,12 +228,12 @@ def repeated_ranges(docs: DataFrame, window: int = 20, seed: int = 4, buckets: i
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "fp", "text")
     if buckets is None:
         held = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-        buckets = max(shuffle_partitions(spark), int(held * 3 // (48 << 20)) + 1)
+        buckets = max(shuffle_partitions(spark), int(held * 3 // BUCKET_BYTES) + 1)
 
     def pack(batches):
         packer = _Packer()
         for batch in batches:
-            for block in blocks(batch, "text", PIECE_BYTES):
+            for block in blocks(batch, "text"):
                 words = find_words(block.column("text"))
                 packer.add(words, *_super_kmers(words, window, seed, buckets),
                            block.column("doc_id").to_numpy(), block.column("fp").to_numpy())
@@ -289,7 +305,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def apply(batches):
         for batch in batches:
-            for block in blocks(batch, "text", PIECE_BYTES):
+            for block in blocks(batch, "text"):
                 words = find_words(block.column("text"))
                 removed = _merge_ranges(words.first, block.column("ranges").to_pylist())
                 texts, kept = _keep_words(words, removed)

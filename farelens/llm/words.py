@@ -139,6 +139,4 @@ def find_words(texts: pa.Array, lower: bool = False) -> Words:
     if len(ends):
         starts[0] = 0
         starts[1:] = ends[:-1] + 1
-    words_before = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(after_word, out=words_before[1:])
-    return Words(data, starts, ends, words_before[off])
+    return Words(data, starts, ends, np.searchsorted(np.flatnonzero(after_word), off))
