@@ -178,8 +178,8 @@ def _repeats(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
     lead = leads[text_of[by]]
     # Equal fingerprints only propose; groups are told apart by the bytes of the windows.
     spans = list(map(slice, lo[by].tolist(), hi[by].tolist()))
-    group = np.cumsum(np.diff(key[by], prepend=0) != 0) if len(by) else np.zeros(0, np.int64)
-    spans = list(map(slice, lo.tolist(), hi.tolist()))
+    key = key[by]
+    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(by) else np.zeros(0, np.int64)
     differs = [i for i in range(1, len(by)) if group[i] == group[i - 1] and data[spans[i]] != data[spans[i - 1]]]
     if differs:
         exact = {}
