@@ -24,3 +24,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 20-word windows of ``documents`` removed; one row per document."""
     from farelens.llm.substring_dedup import substring_dedup
     return substring_dedup(_table(spark, sf_dir, "documents"), window=20, rewrite=False)
+
+
+@_query
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` under 3-word shingle similarity of 0.9 or more."""
+    from farelens.llm.ngram_join import ngram_jaccard_join
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), words=3, threshold=(90, 100))
