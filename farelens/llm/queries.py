@@ -31,3 +31,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` under 3-word shingle similarity of 0.9 or more."""
     from farelens.llm.ngram_join import ngram_jaccard_join
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), words=3, threshold=(90, 100))
+
+
+@_query
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of ``documents`` under the public 49k word vocabulary, and their decoding."""
+    import public_tokenizers
+    from farelens.llm.bpe import bpe_round_trip
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), rewrite=False)
