@@ -50,3 +50,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
                          F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text of ``documents``, learnt outside the held-out quarter."""
+    from farelens.llm.language_id import fit_language, identify_language
+    docs = _table(spark, sf_dir, "documents")
+    found = identify_language(docs.select("doc_id", "text"), fit_language(docs))
+    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
+                        "lang_pred", F.col("lang_score").alias("score"))
