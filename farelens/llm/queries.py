@@ -60,3 +60,32 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify_language(docs.select("doc_id", "text"), fit_language(docs))
     return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
                         "lang_pred", F.col("lang_score").alias("score"))
+
+
+@_query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs of two or more lines of ``documents`` removed; one row per document."""
+    from farelens.llm.line_dedup import line_dedup
+    return line_dedup(_table(spark, sf_dir, "documents"), min_lines=2, rewrite=False)
+
+
+_TRIM = "chr(32)||chr(9)||chr(11)||chr(12)||chr(13)"
+SQL["op8_line_dedup"] = f"""
+WITH d AS (SELECT doc_id, CASE WHEN text = '' THEN NULL ELSE text END AS text FROM documents),
+l AS (SELECT doc_id, u.line AS line, u.pos AS pos
+      FROM d, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1))) AS t(u0),
+      LATERAL (SELECT u0[1] AS line, u0[2] AS pos) AS u),
+f AS (SELECT doc_id, pos, trim(line, {_TRIM}) AS line,
+             row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
+      FROM l WHERE trim(line, {_TRIM}) <> ''),
+r AS (SELECT a.doc_id, a.k, a.line AS x, b.line AS y
+      FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
+s AS (SELECT doc_id, k, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, k) AS seen FROM r),
+g AS (SELECT DISTINCT f.doc_id, f.pos FROM s JOIN f ON s.doc_id = f.doc_id AND f.k IN (s.k, s.k + 1) WHERE s.seen > 1),
+p AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+             coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '') AS kept
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(p.n_lines, 0) AS n_lines, coalesce(p.n_removed, 0) AS n_removed,
+       sha256(coalesce(p.kept, '')) AS kept_sha256
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id
+"""
