@@ -89,3 +89,10 @@ SELECT d.doc_id, coalesce(p.n_lines, 0) AS n_lines, coalesce(p.n_removed, 0) AS
        sha256(coalesce(p.kept, '')) AS kept_sha256
 FROM d LEFT JOIN p ON d.doc_id = p.doc_id
 """
+
+
+@_query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of ``documents`` placed in sequences of 512 to 4096 words."""
+    from farelens.llm.packing import best_fit_packing
+    return best_fit_packing(_table(spark, sf_dir, "documents"))
