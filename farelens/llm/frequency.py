@@ -1,9 +1,14 @@
-"""A fixed-size count sketch over 64-bit fingerprints, gathered from the whole input.
+"""Fixed-size summaries of the whole input: a count sketch and an id filter.
+
+The count sketch counts 64-bit fingerprints.
 
 Each map task adds its fingerprints to ``2**bits`` counters; the counters are summed block by
 block on the executors and the one summed table (4 bytes a counter, whatever the input) is sent
 to all tasks. It only orders fingerprints from rare to frequent: a shared counter can make a
 rare one look more frequent, which costs time and never changes a result.
+
+The id filter is a bit table of ids. It lets a scan drop most rows before a join by id; it never
+drops a listed id, and the join that follows decides.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from farelens.llm.words import mix
+
 SKETCH_BLOCKS = 64
 SKETCH_SCHEMA = "block int, counts binary"
 _ARROW = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
@@ -72,3 +79,65 @@ def sum_sketch(partials: DataFrame, bits: int) -> np.ndarray:
         out[row["block"] * width:(row["block"] + 1) * width] = np.frombuffer(
             zstandard.decompress(bytes(row["counts"])), np.uint32)
     return out
+
+
+FILTER_BITS = 26
+
+
+def _filter_slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return ((h >> np.uint64(64 - FILTER_BITS)).astype(np.int64),
+            (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64))
+
+
+def _set_bits(table: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(table, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bit table (``2**FILTER_BITS`` bits, two per id) of a one-column table of long ids."""
+
+    def mark(batches):
+        table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for batch in batches:
+            for at in _filter_slots(batch.column(0).to_numpy()):
+                _set_bits(table, at)
+        for i, part in enumerate(np.split(table, SKETCH_BLOCKS)):
+            if part.any():
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())],
+                                      _ARROW)
+
+    def unite(batches):
+        tables: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(zstandard.decompress(c), np.uint8)
+                tables[b] = tables[b] | part if b in tables else part
+        for b, t in tables.items():
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([zstandard.compress(t.tobytes(), 1)], pa.binary())], _ARROW)
+
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    width = len(out) // SKETCH_BLOCKS
+    parts = ids.mapInArrow(mark, SKETCH_SCHEMA).repartition(SKETCH_BLOCKS, "block").mapInArrow(unite, SKETCH_SCHEMA)
+    for row in parts.collect():      # SKETCH_BLOCKS rows of fixed size
+        out[row["block"] * width:(row["block"] + 1) * width] = np.frombuffer(
+            zstandard.decompress(bytes(row["counts"])), np.uint8)
+    return out
+
+
+def maybe_listed(rows: DataFrame, id_col: str, table: np.ndarray, keep: bool = True) -> DataFrame:
+    """Rows whose id may be listed in the filter, or with ``keep=False`` the others (null ids too)."""
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+    at = rows.columns.index(id_col)
+
+    def choose(batches):
+        bits = sent.value
+        for batch in batches:
+            ids = batch.column(at)
+            ok = np.ones(len(ids), bool)
+            for slot in _filter_slots(ids.fill_null(0).to_numpy()):
+                ok &= (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            ok &= ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(ok == keep))
+
+    return rows.mapInArrow(choose, rows.schema)

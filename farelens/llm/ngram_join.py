@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from farelens.llm.components import connected_components
-from farelens.llm.frequency import SKETCH_SCHEMA, CountSketch, sum_sketch
+from farelens.llm.frequency import SKETCH_SCHEMA, CountSketch, id_filter, maybe_listed, sum_sketch
 from farelens.llm.scratch import shuffle_partitions, write_once
 from farelens.llm.shingles import set_signature, shingle_sets
 from farelens.llm.words import blocks
@@ -324,9 +324,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = write_once(known.select("doc_id", "n").join(heads, "doc_id", "left_semi").groupBy("doc_id")
                          .agg(F.sum("n").alias("n")).join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
                          .select("doc_id", F.col("component").alias("cluster"), "n"), "clusters")
-    wanted = (pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b"))
-              .unionAll(members.select("doc_id")).distinct())
-    texts = write_once(base.join(wanted, "doc_id", "left_semi"), "candidate-texts")
+    wanted = write_once(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b"))
+                        .unionAll(members.select("doc_id")).distinct(), "candidate-ids")
+    texts = write_once(maybe_listed(base, "doc_id", id_filter(wanted)).join(wanted, "doc_id", "left_semi"),
+                       "candidate-texts")
     links = _check_pairs(pairs, texts, words, num, den).unionAll(_search_clusters(members, texts, words, num, den))
     same_id = nodes.join(known, "sig").where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     found = connected_components(links.unionAll(same_id))
