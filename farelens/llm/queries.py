@@ -96,3 +96,21 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of ``documents`` placed in sequences of 512 to 4096 words."""
     from farelens.llm.packing import best_fit_packing
     return best_fit_packing(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, indexed, and read back through the index."""
+    from farelens.llm.warc import warc_round_trip
+    return warc_round_trip(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+SQL["op1_warc_round_trip"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+           FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND head < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND head < page_id THEN head END AS refers_to
+FROM f
+"""
