@@ -114,3 +114,33 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND head < page_id THEN head END AS refers_to
 FROM f
 """
+
+
+@_query
+def op2_vp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth row of ``embeddings``."""
+    from farelens.llm.vp_tree import vp_nearest
+    return vp_nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@_query
+def op3_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links (cosine of 0.98 or more within a label) over ``embeddings``."""
+    from farelens.llm.cover_tree import cover_tree_dedup
+    return cover_tree_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.98).withColumnRenamed("id", "vec_id")
+
+
+SQL["op3_cover_tree_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, e, list_dot_product(e, e) AS sq
+  FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT * FROM v WHERE sq > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) / (sqrt(a.sq) * sqrt(b.sq)) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS reached FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON e.vec_id = c.id LEFT JOIN n ON e.vec_id = n.a
+"""
