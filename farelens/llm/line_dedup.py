@@ -19,10 +19,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from farelens.llm.scratch import shuffle_partitions, write_once
-from farelens.llm.words import _SPACE, blocks, mix, run_hashes, span_hashes, text_buffer
+from farelens.llm.words import _SPACE, blocks, mix, replace_text, run_hashes, span_hashes, text_buffer, with_text
 
 FLUSH_WINDOWS = 500_000
 _PLACES = pa.schema([("context", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("line", pa.int32()),
@@ -130,56 +130,68 @@ def _later(places: DataFrame) -> DataFrame:
             .mapInArrow(run, "doc_id long, fp long, line int"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
-               rewrite: bool = True) -> DataFrame:
-    """Delete every line covered by a run of ``min_lines`` lines that also starts earlier.
-
-    Earlier means a smaller id, or the same document and an earlier line; runs are judged on the
-    input, on lines without their outer white space, and skip blank lines, which are kept. Adds
-    ``n_lines``, ``n_removed`` (long), ``kept_sha256`` (of the kept lines joined by line feeds)
-    to the id, and ``kept_text`` with ``rewrite``. Lines are compared by 64-bit hashes, runs by
-    their fingerprint and both sides of it.
-
-    Defined cases: a null or empty text has no lines (null stays null in ``kept_text``); a row
-    with a null id is kept whole; rows equal in id and text count as one document; rows that share
-    an id but not the text are ordered by a hash of the text; an empty table gives an empty
-    result; other columns are not read.
-    """
+def _rewrite(docs: DataFrame, id_col: str, text_col: str, min_lines: int, report: bool) -> DataFrame:
     if min_lines < 1:
         raise ValueError("min_lines must be positive")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                       F.xxhash64(F.col(text_col)).alias("fp"))
-    places = write_once(_places(base.where("doc_id is not null and text is not null"), min_lines), "line-contexts")
+    row = F.struct(F.col(text_col).alias("text")) if report else F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    at_text = 0 if report else docs.columns.index(text_col)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("fp"),
+                       F.col(text_col).alias("text"), row.alias("row"))
+    judged = base.where("doc_id is not null and text is not null").select("doc_id", "fp", "text")
+    places = write_once(_places(judged, min_lines), "line-contexts")
     known = places.where("repeat").select("doc_id", "fp", "line")
     found = known.unionAll(_later(places.where("not repeat").select("context", "doc_id", "fp", "line")))
     per_doc = found.groupBy("doc_id", "fp").agg(F.collect_list("line").alias("starts"))
-    joined = base.join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "text", "starts")
-    names = ["doc_id", "n_lines", "n_removed", "kept_sha256"] + ["kept_text"] * rewrite
-    schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * rewrite
+    joined = base.select("doc_id", "fp", "row").join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "starts", "row")
 
     def apply(batches):
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(with_text(batch, 2, at_text), "text"):
                 lines = Lines(block.column("text"))
                 n = np.diff(lines.first)
-                size = pc.fill_null(pc.binary_length(block.column("text")), 0).to_numpy(zero_copy_only=False)
-                removed = np.zeros(len(lines.ends), bool)
                 step = np.zeros(len(lines.filled) + 1, np.int64)
                 lists = block.column("starts")
                 doc = np.repeat(np.arange(block.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
                 at = lists.flatten().to_numpy() + lines.filled_first[doc]
                 np.add.at(step, at, 1)
                 np.add.at(step, at + min_lines, -1)
+                removed = np.zeros(len(lines.ends), bool)
                 removed[lines.filled[np.cumsum(step[:-1]) > 0]] = True
-                gone = np.add.reduceat(np.append(removed, False), lines.first[:-1]) * (n > 0)
-                kept = lines.data[np.repeat(~removed, lines.ends - lines.starts + 1)].tobytes()
-                edge = np.concatenate([[0], np.cumsum(np.where(removed, 0, lines.ends - lines.starts + 1))])[lines.first].tolist()
+                gone = np.add.reduceat(np.append(removed, False).astype(np.int64), lines.first[:-1])
+                length = lines.ends - lines.starts + 1
+                kept = lines.data[np.repeat(~removed, length)].tobytes()
+                edge = np.concatenate([[0], np.cumsum(np.where(removed, 0, length))])[lines.first].tolist()
                 texts = [kept[a:max(a, b - 1)] for a, b in zip(edge[:-1], edge[1:])]
-                cols = [block.column("doc_id"), pa.array(np.where(size > 0, n, 0)), pa.array(gone.astype(np.int64)),
-                        pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
-                if rewrite:
-                    cols.append(pc.if_else(pa.array(gone > 0), pa.array(texts, pa.binary()).cast(pa.string()),
-                                           block.column("text").cast(pa.string())))
-                yield pa.record_batch(cols, names)
-
-    return joined.mapInArrow(apply, schema)
+                if report:
+                    size = pc.fill_null(pc.binary_length(block.column("text")), 0).to_numpy(zero_copy_only=False)
+                    yield pa.record_batch([block.column("doc_id"), pa.array(np.where(size > 0, n, 0)), pa.array(gone),
+                                           pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
+                                          ["doc_id", "n_lines", "n_removed", "kept_sha256"])
+                else:
+                    yield pa.record_batch([replace_text(block.column("row"), at_text, gone > 0, texts)], ["row"])
+
+    if report:
+        return joined.mapInArrow(apply, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(apply, T.StructType([T.StructField("row", base.schema["row"].dataType)])).select("row.*")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+    """``docs`` without the lines covered by a run of ``min_lines`` lines that also starts earlier.
+
+    Earlier means a smaller id, or the same document and an earlier line; runs are judged on the
+    input, on lines without their outer white space, and skip blank lines, which are kept. A text
+    that loses lines holds the others joined by line feeds; rows and other columns stay. Lines are
+    compared by 64-bit hashes, runs by their fingerprint and both sides of it.
+
+    Defined cases: a null or empty text has no lines and stays; a row with a null id is kept whole;
+    rows equal in id and text count as one document; rows that share an id but not the text are
+    ordered by a hash of the text; an empty table gives an empty result; other columns may have any
+    name.
+    """
+    return _rewrite(docs, id_col, text_col, min_lines, report=False)
+
+
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+    """What ``line_dedup`` keeps, per row: ``doc_id``, ``n_lines``, ``n_removed`` and
+    ``kept_sha256`` (of the kept lines joined by line feeds, in UTF-8)."""
+    return _rewrite(docs, id_col, text_col, min_lines, report=True)

@@ -22,8 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 20-word windows of ``documents`` removed; one row per document."""
-    from farelens.llm.substring_dedup import substring_dedup
-    return substring_dedup(_table(spark, sf_dir, "documents"), window=20, rewrite=False)
+    from farelens.llm.substring_dedup import substring_report
+    return substring_report(_table(spark, sf_dir, "documents"), window=20)
 
 
 @_query
@@ -65,8 +65,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated runs of two or more lines of ``documents`` removed; one row per document."""
-    from farelens.llm.line_dedup import line_dedup
-    return line_dedup(_table(spark, sf_dir, "documents"), min_lines=2, rewrite=False)
+    from farelens.llm.line_dedup import line_report
+    return line_report(_table(spark, sf_dir, "documents"), min_lines=2)
 
 
 _TRIM = "chr(32)||chr(9)||chr(11)||chr(12)||chr(13)"
@@ -144,3 +144,34 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN c ON e.vec_id = c.id LEFT JOIN n ON e.vec_id = n.a
 """
+
+
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+SQL["op6_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS k FROM w WHERE len(ws) >= 20),
+x AS (SELECT doc_id, k, row_number() OVER (PARTITION BY array_to_string(ws[k:k + 19], ' ') ORDER BY doc_id, k) AS seen FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS pos FROM x WHERE seen > 1),
+f AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+p AS (SELECT f.doc_id, count(*) AS n_words, count(g.pos) AS n_removed,
+             string_agg(CASE WHEN g.pos IS NULL THEN f.word END, ' ' ORDER BY f.pos) AS kept
+      FROM f LEFT JOIN g ON f.doc_id = g.doc_id AND f.pos = g.pos GROUP BY f.doc_id)
+SELECT w.doc_id, coalesce(p.n_words, 0) AS n_words, coalesce(p.n_removed, 0) AS n_removed,
+       sha256(coalesce(p.kept, '')) AS kept_sha256
+FROM w LEFT JOIN p ON w.doc_id = p.doc_id
+"""
+
+SQL["op10_ngram_jaccard_join"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    {_WORDS}) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 2], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS k FROM w WHERE len(ws) >= 1)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, u.b FROM r JOIN u ON r.reached = u.a)
+SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reached) AS component_id
+FROM r LEFT JOIN n ON r.id = n.doc_id GROUP BY r.id
+"""

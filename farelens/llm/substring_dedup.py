@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from farelens.llm.scratch import shuffle_partitions, write_once
-from farelens.llm.words import Words, blocks, find_words, mix, run_hashes, span_hashes
+from farelens.llm.words import Words, blocks, find_words, mix, replace_text, run_hashes, with_text
 
 _BUCKET_SCHEMA = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("packed", T.BinaryType())])
 _RANGE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()),
@@ -277,45 +276,53 @@ def _keep_words(words: Words, removed: np.ndarray) -> tuple[pa.LargeBinaryArray,
     return [kept_bytes[a:max(a, b - 1)] for a, b in zip(bounds[:-1], bounds[1:])], np.diff(count)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
-                    seed: int = 4, buckets: int | None = None, rewrite: bool = True) -> DataFrame:
-    """Remove every word covered by a window whose word sequence also starts earlier.
-
-    Earlier means a smaller id, or the same document and an earlier start; windows are judged on
-    the input. Adds ``n_words``, ``n_removed`` (long) and ``kept_sha256`` (of the kept words joined
-    by one space) to the id, and ``kept_text`` with ``rewrite``. A document that loses no word
-    keeps its text unchanged in ``kept_text``.
-
-    Defined cases: a null or empty text has no words (null stays null in ``kept_text``); a text
-    shorter than the window is kept; a row with a null id is never judged and kept whole; rows
-    equal in id and text count as one document (neither removes the other); rows that share an id
-    but not the text are ordered by a hash of the text; an empty table gives an empty result;
-    other columns are not read and may have any name.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                       F.xxhash64(F.col(text_col)).alias("fp"))
+def _rewrite(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, buckets: int | None,
+             report: bool) -> DataFrame:
+    row = F.struct(F.col(text_col).alias("text")) if report else F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    at = 0 if report else docs.columns.index(text_col)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("fp"),
+                       F.col(text_col).alias("text"), row.alias("row"))
     found = write_once(repeated_ranges(base, window, seed, buckets), "repeated-windows")
     per_doc = found.groupBy("doc_id", "fp").agg(F.collect_list("ranges").alias("ranges"))
-    joined = base.join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "text", "ranges")
-    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    if rewrite:
-        fields.append(("kept_text", pa.string()))
-        schema += ", kept_text string"
+    joined = base.select("doc_id", "fp", "row").join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "ranges", "row")
 
     def apply(batches):
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(with_text(batch, 2, at), "text"):
                 words = find_words(block.column("text"))
                 removed = _merge_ranges(words.first, block.column("ranges").to_pylist())
                 texts, kept = _keep_words(words, removed)
                 n = np.diff(words.first)
-                cols = [block.column("doc_id"), pa.array(n), pa.array(n - kept),
-                        pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
-                if rewrite:
-                    changed = pa.array(n != kept)
-                    cols.append(pc.if_else(changed, pa.array(texts, pa.binary()).cast(pa.string()),
-                                           block.column("text").cast(pa.string())))
-                yield pa.record_batch(cols, pa.schema(fields))
-
-    return joined.mapInArrow(apply, schema)
+                if report:
+                    yield pa.record_batch([block.column("doc_id"), pa.array(n), pa.array(n - kept),
+                                           pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
+                                          ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                else:
+                    yield pa.record_batch([replace_text(block.column("row"), at, n != kept, texts)], ["row"])
+
+    if report:
+        return joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(apply, T.StructType([T.StructField("row", base.schema["row"].dataType)])).select("row.*")
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
+                    seed: int = 4, buckets: int | None = None) -> DataFrame:
+    """``docs`` without the words covered by a window whose word sequence also starts earlier.
+
+    Earlier means a smaller id, or the same document and an earlier start; windows are judged on
+    the input. A document that loses words holds its other words joined by one space; any other
+    keeps its text unchanged. Columns and rows stay as they are.
+
+    Defined cases: a null or empty text has no words and stays; a text shorter than the window is
+    kept; a row with a null id is never judged and kept whole; rows equal in id and text count as
+    one document (neither removes the other); rows that share an id but not the text are ordered by
+    a hash of the text; an empty table gives an empty result; other columns may have any name.
+    """
+    return _rewrite(docs, id_col, text_col, window, seed, buckets, report=False)
+
+
+def substring_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
+                     seed: int = 4, buckets: int | None = None) -> DataFrame:
+    """What ``substring_dedup`` keeps, per row: ``doc_id``, ``n_words``, ``n_removed`` and
+    ``kept_sha256`` (of the kept words joined by one space, in UTF-8)."""
+    return _rewrite(docs, id_col, text_col, window, seed, buckets, report=True)

@@ -140,3 +140,17 @@ def find_words(texts: pa.Array, lower: bool = False) -> Words:
         starts[0] = 0
         starts[1:] = ends[:-1] + 1
     return Words(data, starts, ends, np.searchsorted(np.flatnonzero(after_word), off))
+
+
+def with_text(batch: pa.RecordBatch, row: int, text: int) -> pa.RecordBatch:
+    """The batch plus a column ``text``: field ``text`` of its struct column ``row`` (not nested nulls)."""
+    return batch.append_column("text", batch.column(row).field(text))
+
+
+def replace_text(rows: pa.StructArray, text: int, changed: np.ndarray, texts: list[bytes]) -> pa.StructArray:
+    """Struct rows whose field ``text`` is replaced where ``changed``."""
+    fields = [rows.type.field(i) for i in range(rows.type.num_fields)]
+    values = [rows.field(i) for i in range(len(fields))]
+    new = pa.array(texts, pa.large_binary() if pa.types.is_large_string(fields[text].type) else pa.binary())
+    values[text] = pc.if_else(pa.array(changed), new.cast(fields[text].type), values[text])
+    return pa.StructArray.from_arrays(values, fields=fields)
