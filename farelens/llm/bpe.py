@@ -183,21 +183,21 @@ class BpeModel:
     def encode_block(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(little-endian uint32 ids, decoded text) of each text."""
         split = [self.words(t) for t in texts]
-        while True:
-            new = set().union(*split).difference(self.ids)
-            if not new:
-                break
+        wanted = set().union(*split)
+        if len(wanted) + len(self.special) > CACHED_WORDS:      # more than the memory holds: text by text, part by part
+            return [x for t in texts for x in self.encode_block([t])] if len(texts) > 1 else self._in_parts(split[0])
+        while new := wanted.difference(self.ids):               # once more if learning has made room
             self.learn(new)
-            if len(new) > CACHED_WORDS:      # more distinct words than the memory holds: text by text
-                return [x for t in texts for x in (self.encode_block([t]) if len(texts) > 1 else self._direct(split[0]))]
         ids, text = self.ids.__getitem__, self.text.__getitem__
         return [(b"".join(map(ids, w)), " ".join(map(text, w))) for w in split]
 
-    def _direct(self, words: list[str]) -> list[tuple[bytes, str]]:
+    def _in_parts(self, words: list[str]) -> list[tuple[bytes, str]]:
         ids, text = [], []
-        for k in range(0, len(words), CACHED_WORDS // 2):
-            part = words[k:k + CACHED_WORDS // 2]
-            self.learn(set(part).difference(self.ids))
+        step = max(1, (CACHED_WORDS - len(self.special)) // 2)
+        for k in range(0, len(words), step):
+            part = words[k:k + step]
+            while new := set(part).difference(self.ids):
+                self.learn(new)
             ids += map(self.ids.__getitem__, part)
             text += map(self.text.__getitem__, part)
         return [(b"".join(ids), " ".join(text))]

@@ -1,14 +1,14 @@
 """Toxicity scores from class-conditional Kneser-Ney models over character n-grams.
 
-Two interpolated Kneser-Ney models of order ``ORDER`` over lower-cased UTF-8 bytes, one for toxic
+Two interpolated modified Kneser-Ney models of order ``ORDER`` over lower-cased UTF-8 bytes, one for toxic
 and one for ordinary documents, share their backoff distribution: the lower orders are built from
 the continuation counts of both classes together. A rare expression is thus judged by its class
 only as far as its class counts, less the discount, carry it; an n-gram that neither class has
 seen backs off to the same shared probability in both and says nothing.
 
 The log-likelihood ratio is normalised by length over every window of ``WINDOW`` n-grams, and a
-document is as toxic as its worst window; a logistic curve fitted on labelled documents that the
-counts leave out turns that into a probability.
+document is as toxic as its worst window; a logistic curve turns that into a probability. It is
+fitted on a quarter of the sample with counts of the other three; the final counts use all of it.
 
 Fitting reads a bounded sample: at most ``MAX_DOCS`` labelled documents of each class (an expected
 number, chosen by a hash of the id), counted as Spark jobs; the table of their n-grams is the
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from farelens.llm.words import blocks, find_words
 
-ORDER = 6
+ORDER = 5
 WINDOW = 16
 MAX_DOCS = 8_000
 TABLE_BITS = 22
@@ -65,9 +65,13 @@ def grams(texts: pa.Array) -> Grams:
     return Grams(keys, edge[:-1], np.where(sizes > 0, np.maximum(sizes + 2 - ORDER, 0), 0))
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return once / (once + 2 * twice) if once else 0.5
+def _discounts(counts: np.ndarray) -> np.ndarray:
+    """Discount of each count: estimated for counts of one, two, and three or more."""
+    n = [max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+    d = [min(max(x, 0.1 * k), 0.95 * k) for k, x in zip((1, 2, 3), d)]
+    return np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
 
 
 def _sums(keys: np.ndarray, *weights: np.ndarray):
@@ -84,11 +88,11 @@ def _shared_backoff(keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarra
     grams_, _, (seen,) = _sums(keys >> np.uint64(8), np.ones(len(keys)))
     if order == 1:
         return grams_, (seen + 0.5) / (seen.sum() + 128.0)
-    _, at, (total, kinds) = _sums(grams_ & _masked(order - 1), seen, np.ones(len(seen)))
+    taken = _discounts(seen)
+    _, at, (total, freed) = _sums(grams_ & _masked(order - 1), seen, taken)
     shorter, p = _shared_backoff(grams_, order - 1)
     lower = p[np.searchsorted(shorter, grams_ >> np.uint64(8))]
-    d = _discount(seen)
-    return grams_, np.maximum(seen - d, 0) / total[at] + d * (kinds / total)[at] * lower
+    return grams_, (seen - taken) / total[at] + (freed / total)[at] * lower
 
 
 def kneser_ney_ratios(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -97,11 +101,10 @@ def kneser_ney_ratios(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray)
     lower = p[np.searchsorted(shorter, keys >> np.uint64(8))]
     logs = []
     for counts in (toxic, ordinary):
-        _, at, (total, kinds) = _sums(keys & _masked(ORDER - 1), counts, counts > 0)
-        d = _discount(counts)
-        total = np.maximum(total, 1.0)
-        backoff = np.where(kinds > 0, d * kinds / total, 1.0)
-        logs.append(np.log(np.maximum(counts - d, 0) / total[at] + backoff[at] * lower))
+        taken = _discounts(counts)
+        _, at, (total, freed) = _sums(keys & _masked(ORDER - 1), counts, taken)
+        backoff = np.where(total > 0, freed / np.maximum(total, 1.0), 1.0)
+        logs.append(np.log((counts - taken) / np.maximum(total, 1.0)[at] + backoff[at] * lower))
     return logs[0] - logs[1]
 
 
@@ -182,39 +185,43 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(
         F.broadcast(sample), "doc_id")
 
-    schema = pa.schema([("gram", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
+    names = ["n0", "n1", "m0", "m1"]      # ordinary and toxic, counted and calibrating documents
+    schema = pa.schema([("gram", pa.int64()), *((c, pa.int64()) for c in names)])
 
     def count(batches):
-        held: list[list[np.ndarray]] = [[], []]
+        held: list[np.ndarray] = []
+        kinds: list[np.ndarray] = []
 
         def flush():
-            keys = np.concatenate([*held[0], *held[1]])
-            toxic = np.arange(len(keys)) >= sum(map(len, held[0]))
-            distinct, _, (a, b) = _sums(keys, ~toxic, toxic)
-            held[0].clear(), held[1].clear()
-            return pa.record_batch([pa.array(distinct.view(np.int64)), pa.array(a.astype(np.int64)),
-                                    pa.array(b.astype(np.int64))], schema)
+            kind = np.concatenate(kinds)
+            distinct, _, sums = _sums(np.concatenate(held), *(kind == k for k in range(4)))
+            held.clear(), kinds.clear()
+            return pa.record_batch([pa.array(distinct.view(np.int64)), *(pa.array(n.astype(np.int64)) for n in sums)],
+                                   schema=schema)
 
         for batch in batches:
             for block in blocks(batch, "text"):
                 g = grams(block.column("text"))
-                keys = g.keys[g.inside()]
-                toxic = np.repeat(block.column("toxic").to_numpy() == 1, g.counts)
-                held[0].append(keys[~toxic]), held[1].append(keys[toxic])
-                if sum(map(len, held[0])) + sum(map(len, held[1])) > 2_000_000:
+                held.append(g.keys[g.inside()])
+                kinds.append(np.repeat(block.column("kind").to_numpy().astype(np.int8), g.counts))
+                if sum(map(len, held)) > 2_000_000:
                     yield flush()
-        if held[0]:
+        if held:
             yield flush()
 
-    counted = (texts.where(~F.col("check")).select("text", "toxic").mapInArrow(count, "gram long, n0 long, n1 long")
-               .groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    kind = (F.col("toxic") + 2 * F.col("check").cast("int")).alias("kind")
+    counted = (texts.select("text", kind).mapInArrow(count, "gram long, " + ", ".join(f"{c} long" for c in names))
+               .groupBy("gram").agg(*(F.sum(c).alias(c) for c in names)))
     table = counted.toArrow()                    # the n-grams of the bounded sample
-    keys, n0, n1 = (table.column(i).to_numpy() for i in range(3))
-    order = np.argsort(keys.view(np.uint64))
-    keys, n0, n1 = keys.view(np.uint64)[order], n0[order].astype(float), n1[order].astype(float)
-    if not len(keys) or not n0.any() or not n1.any():
+    keys = table.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    n0, n1, m0, m1 = (table.column(i).to_numpy()[order].astype(float) for i in range(1, 5))
+    if not (n0 + m0).any() or not (n1 + m1).any():
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 0.0, float(np.log(n[1] / n[0])))
-    model = ToxicityModel(keys, kneser_ney_ratios(keys, n0, n1))
+    final = ToxicityModel(keys, kneser_ney_ratios(keys, n0 + m0, n1 + m1))
+    part_keys = (n0 + n1) > 0
+    model = ToxicityModel(keys[part_keys], kneser_ney_ratios(keys[part_keys], n0[part_keys], n1[part_keys]))
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -227,8 +234,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     seen = texts.where("check").select("text", "toxic").mapInArrow(measure, "x double, toxic int").toArrow()
     x, y = seen.column(0).to_numpy(), seen.column(1).to_numpy().astype(float)
     if len(set(y.tolist())) == 2:
-        model.slope, model.offset = _logistic(x, y, np.where(y == 1, 1 / part[1], 1 / part[0]))
-    return model
+        final.slope, final.offset = _logistic(x, y, np.where(y == 1, 1 / part[1], 1 / part[0]))
+    return final
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",

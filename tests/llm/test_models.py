@@ -1,0 +1,120 @@
+"""Toxicity and language models: held-out accuracy, gradients and awkward rows."""
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from farelens.llm.language_id import LanguageModel, fit_language, identify_language, windows
+from farelens.llm.queries import QUERIES
+from farelens.llm.toxicity import ORDER, fit_toxicity, grams, kneser_ney_ratios, score_toxicity
+
+SF = "/root/testdata/sf0.1"
+
+
+def _held_out(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_toxicity_held_out(spark):
+    got = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, SF).collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").collect()
+    tp = fp = fn = 0
+    for i, toxic in labels:
+        r = got[i]
+        assert r.held_out == _held_out(i) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
+        if r.held_out:
+            tp += toxic and r.predicted
+            fp += r.predicted and not toxic
+            fn += toxic and not r.predicted
+    assert tp / (tp + fn) > 0.6 and tp / (tp + fp) > 0.6       # about 300 toxic documents to learn from
+
+
+def test_toxicity_does_not_read_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic").collect()
+    flipped = [(i, 1 - t if _held_out(i) else t) for i, t in labels]
+    a = fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    b = fit_toxicity(docs, spark.createDataFrame(flipped, "doc_id long, toxic int"))
+    assert (a.table == b.table).all() and (a.slope, a.offset) == (b.slope, b.offset)
+
+
+def test_kneser_ney_ratio_signs():
+    texts = pa.array(["you idiot you idiot fool", "a calm and kind word here"])
+    g = grams(texts)
+    keys, at = np.unique(g.keys[g.inside()], return_inverse=True)
+    toxic = np.bincount(at[:g.counts[0]], minlength=len(keys)).astype(float)
+    calm = np.bincount(at[g.counts[0]:], minlength=len(keys)).astype(float)
+    ratio = kneser_ney_ratios(keys, calm, toxic)
+    assert (ratio[toxic > calm] > 0).mean() > 0.8 and (ratio[toxic < calm] < 0).mean() > 0.8
+    decoded = [int(k).to_bytes(8, "little")[:ORDER] for k in keys]
+    assert b" idio" in decoded
+
+
+def test_toxicity_awkward_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None), (2, 1), (2, 0)], "doc_id long, toxic int")
+    model = fit_toxicity(odd_docs, labels)
+    out = score_toxicity(odd_docs.withColumnRenamed("fp", "toxic_score"), model)
+    rows = out.collect()
+    assert len(rows) == odd_docs.count() and all(0 <= r.toxic_score <= 1 for r in rows)
+    assert score_toxicity(no_docs, model).collect() == []
+    for table in (labels.where("toxic = 1"), labels.limit(0)):
+        assert all(0 <= r.toxic_score <= 1 for r in score_toxicity(odd_docs, fit_toxicity(odd_docs, table)).collect())
+    assert fit_toxicity(no_docs, labels.limit(0)).slope == 0
+
+
+def test_language_held_out(spark):
+    got = {r.doc_id: r for r in QUERIES["op9_language_id"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()
+    held = [(got[i], lang) for i, lang in docs if _held_out(i) and lang]
+    assert all(r.held_out and 0 <= r.score <= 1 for r, _ in held)
+    assert np.mean([r.lang_pred == lang for r, lang in held]) > 0.97
+
+
+def test_gradient_through_time():
+    model = LanguageModel(["a", "b", "c"], hidden=3, seed=1)
+    for d in (model.ahead, model.back):
+        d.byte, d.gates, d.state = (p.astype(np.float64) for p in d.params())
+    x = np.random.default_rng(2).integers(97, 123, (7, 5))
+    target = np.random.default_rng(3).standard_normal((7, 3, 5))
+    d = model.ahead
+    grads = d.backward(d.forward(x), target)
+    for p, g in zip(d.params(), grads):
+        for at in [(0, 0), (p.shape[0] - 1, p.shape[1] - 1), (1, 100 % p.shape[1])]:
+            old, eps = p[at], 1e-5
+            p[at] = old + eps
+            up = (np.stack(d.forward(x)["h"]) * target).sum()
+            p[at] = old - eps
+            down = (np.stack(d.forward(x)["h"]) * target).sum()
+            p[at] = old
+            assert (up - down) / (2 * eps) == pytest.approx(g[at], rel=1e-3, abs=1e-4)
+
+
+def test_scoring_sums_equal_stepwise_states():
+    model = LanguageModel(["a", "b"], seed=4)
+    texts = pa.array(["abc", "", None, "x" * 200, "hello wörld " * 30])
+    x, size, doc = windows(texts)
+    mean = np.zeros((len(texts), 2 * len(model.ahead.state)))
+    f, b = model.ahead.forward(x.T.astype(int)), model.back.forward(x.T[::-1].astype(int))
+    states = np.concatenate([np.stack(f["h"]), np.stack(b["h"])[::-1]], axis=1)
+    for w in range(len(x)):
+        mean[doc[w]] += states[:size[w], :, w].sum(axis=0)
+    mean /= np.maximum(np.bincount(doc, size, len(texts)), 1)[:, None]
+    logits = mean @ model.out.T + model.bias.T
+    want = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    got = model.probabilities(texts)
+    assert np.allclose(got[[0, 3, 4]], want[[0, 3, 4]], atol=1e-4) and np.allclose(got[[1, 2]], 0.5)
+
+
+def test_language_awkward_rows(odd_docs, no_docs):
+    model = fit_language(odd_docs, rounds=3)
+    rows = identify_language(odd_docs.withColumnRenamed("fp", "lang_score"), model).collect()
+    assert len(rows) == odd_docs.count()
+    for r in rows:
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.lang_score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == "en" and 0 < r.lang_score <= 1
+    assert fit_language(no_docs) is None
+    assert identify_language(no_docs, None).collect() == []
+    assert {r.lang_pred for r in identify_language(odd_docs, None).collect()} == {"und"}
