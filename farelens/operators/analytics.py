@@ -315,6 +315,8 @@ def sequence_windows(df: DataFrame, by: list[str], order: list[str], feature_col
     once to the shared checkpoint folder, because the ranking and the position
     join read it several times and must not re-run its plan.
     """
+    if not 0 < length <= bucket_rows:
+        raise ValueError("length must lie between 1 and bucket_rows: the halo reaches one bucket back")
     key = "_okey"
     base = df.withColumn(key, F.struct(*[F.col(c) for c in order]))
     if persist:

@@ -60,19 +60,27 @@ def extend_vocabulary(vocab: DataFrame, df: DataFrame, columns: list[str] | None
 
 
 def apply_vocabulary(df: DataFrame, vocab: DataFrame, columns: list[str] | None = None,
-                     max_rows: int = 1_000_000) -> DataFrame:
+                     max_bytes: int = 64 << 20, unknown: str = "next") -> DataFrame:
     """Add ``<column>_encoded`` for every column of the vocabulary present in ``df``.
 
-    The vocabulary is checked for size once and broadcast (bounded by distinct
-    labels); past ``max_rows`` the joins fall back to shuffle joins.
+    The vocabulary is checked for size once and broadcast; past ``max_bytes``
+    the joins fall back to shuffle joins. A label that the vocabulary does not
+    hold gets the column's next free index (one index for all unseen labels:
+    the row-local form of M2, which also works on a stream), or null with
+    ``unknown="null"``.
     """
+    if unknown not in ("next", "null"):
+        raise ValueError("unknown must be 'next' or 'null'")
     columns = [c for c in (columns or CATEGORICAL_FEATURES) if c in df.columns]
-    small = bounded_broadcast(vocab, max_rows)
+    small = bounded_broadcast(vocab, max_bytes)
+    free = {r["column"]: r["n"] + 1 for r in vocab.groupBy("column").agg(F.max("idx").alias("n")).collect()}
     out = df
     for c in columns:
         v = small.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"),
                                                      F.col("idx").alias(f"{c}_encoded"))
         out = out.join(v, _label(c) == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+        if unknown == "next":
+            out = out.withColumn(f"{c}_encoded", F.coalesce(F.col(f"{c}_encoded"), F.lit(free.get(c, 0))))
     return out
 
 
@@ -93,16 +101,14 @@ def feature_matrix(df: DataFrame, features: list[str] | None = None, keep=("fare
                    medians: dict | None = None):
     """M3: feature columns as doubles, nulls filled with the column median.
 
-    Medians are fitted only for columns that hold nulls (a cheap null count
-    first), in one job. Returns ``(matrix, features, medians)``.
+    Medians are fitted for every column in one job, because rows scored later may hold nulls
+    where the fitting data had none. Returns ``(matrix, features, medians)``.
     """
     features = features or feature_columns(df)
     cols = [F.col(c).cast("double").alias(c) for c in features]
     x = df.select(*[k for k in keep if k in df.columns], *cols)
     if medians is None:
-        nulls = x.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first().asDict()
-        need = [c for c in features if nulls[c] > 0]
-        medians = {c: v["median"] for c, v in fit_quantiles(x, need, {"median": 0.5}).items()} if need else {}
+        medians = {c: v["median"] for c, v in fit_quantiles(x, features, {"median": 0.5}).items()} if features else {}
     fills = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in medians.items() if v is not None}
     return (x.withColumns(fills) if fills else x), features, medians
 
@@ -123,7 +129,7 @@ def robust_scale(df: DataFrame, columns: list[str], params: dict | None = None,
     """M4: ``(x - median) / IQR``; ``fit=False`` needs previously fitted ``params``."""
     if params is None:
         if not fit:
-            raise ValueError("Scaler not fitted. Call with fit=True first.")
+            raise ValueError("robust_scale needs params when fit is off")
         params = fit_robust_scaler(df, columns)
     scaled = {c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in params.items() if c in df.columns}
     return df.withColumns(scaled), params
@@ -195,11 +201,8 @@ def fit_matrix_state(feats: DataFrame, numeric=None, categorical=None) -> dict:
                         .select("column", "value", F.col("_lo").cast("int").alias("idx")), "vocabulary")
     num_hist = hist.where(F.col("column").isin(numeric)).select("column", "v", "cnt")
     nulls = {r["column"]: r["cnt"] for r in num_hist.where(F.col("v").isNull()).collect()}
-    medians = {}
-    if nulls:
-        rows = quantiles_from_histogram(num_hist.where(F.col("column").isin(list(nulls))), ["column"], "v",
-                                        {"median": 0.5}).collect()
-        medians = {r["column"]: r["median"] for r in rows}
+    medians = {r["column"]: r["median"] for r in quantiles_from_histogram(
+        num_hist, ["column"], "v", {"median": 0.5}, groups_bounded=True).collect()}
     spark = feats.sparkSession
     fill_rows = [(c, float(medians[c]), int(n)) for c, n in nulls.items() if medians.get(c) is not None]
     filled = num_hist.where(F.col("v").isNotNull())
@@ -208,7 +211,9 @@ def fit_matrix_state(feats: DataFrame, numeric=None, categorical=None) -> dict:
     enc_hist = cat_hist.join(vocab, ["column", "value"]).select(
         F.concat(F.col("column"), F.lit("_encoded")).alias("column"), F.col("idx").cast("double").alias("v"), "cnt")
     q = quantiles_from_histogram(filled.unionByName(enc_hist), ["column"], "v",
-                                 {"q1": 0.25, "median": 0.5, "q3": 0.75}).collect()
+                                 {"q1": 0.25, "median": 0.5, "q3": 0.75}, groups_bounded=True).collect()
+    # an encoded column has no nulls in the fit; its median is the scaler's
+    medians |= {r["column"]: r["median"] for r in q if r["column"] not in numeric}
     scaler = {}
     for r in q:
         iqr = r["q3"] - r["q1"]

@@ -21,8 +21,14 @@ from farelens.constants import HOLIDAY_WINDOW_DAYS
 
 def join_daily_series(df: DataFrame, series: DataFrame, date_col: str = "date",
                       value_cols=("fuel_price_usd_per_barrel", "fuel_price_inr_per_liter")) -> DataFrame:
-    """Left join on the day; days without a value get nulls."""
-    right = series.select(F.col("date").alias("_sd"), *value_cols)
+    """Left join on the day; days without a value get nulls.
+
+    A day listed more than once keeps its smallest row, so no fare is ever repeated and the
+    broadcast side holds one row per calendar day.
+    """
+    values = F.struct(*[F.col(c) for c in value_cols])
+    right = (series.where(F.col("date").isNotNull()).groupBy(F.col("date").alias("_sd")).agg(F.min(values).alias("_v"))
+             .select("_sd", *[F.col(f"_v.{c}").alias(c) for c in value_cols]))
     return (df.join(F.broadcast(right), F.to_date(F.col(date_col)) == F.col("_sd"), "left").drop("_sd"))
 
 

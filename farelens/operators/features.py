@@ -33,7 +33,7 @@ def temporal_features(df: DataFrame, date_col: str = "date") -> DataFrame:
     })
 
 
-def group_count(df: DataFrame, keys: list[str], name: str, max_rows: int = 1_000_000) -> DataFrame:
+def group_count(df: DataFrame, keys: list[str], name: str, max_bytes: int = 64 << 20) -> DataFrame:
     """Number of rows sharing ``keys``, attached to every row.
 
     Null keys count as their own group (as a group-size lookup would), so the
@@ -41,13 +41,13 @@ def group_count(df: DataFrame, keys: list[str], name: str, max_rows: int = 1_000
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
     counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cnt")
-    small = bounded_broadcast(counts, max_rows)
+    small = bounded_broadcast(counts, max_bytes)
     cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     out = df.join(small, cond, "left")
     return out.select(*[F.col(c) for c in df.columns], F.coalesce(F.col("_cnt"), F.lit(0)).alias(name))
 
 
-def route_and_carrier_counts(df: DataFrame, max_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def route_and_carrier_counts(df: DataFrame, max_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
     """Route and carrier row counts from ONE aggregate over ``df`` (both written, size-checked).
 
     Returns ``(route_counts(_k0, _k1, _cnt), carrier_counts(_airline, airline_market_share))``.
@@ -57,7 +57,7 @@ def route_and_carrier_counts(df: DataFrame, max_rows: int = 1_000_000) -> tuple[
         F.struct(F.lit("airline").alias("kind"), F.col("airline").alias("k0"), F.lit(None).cast("string").alias("k1")))
     counts = (df.select(F.explode(items).alias("g")).select("g.*")
               .groupBy("kind", "k0", "k1").agg(F.count(F.lit(1)).alias("_cnt")))
-    saved = bounded_broadcast(counts, max_rows)
+    saved = bounded_broadcast(counts, max_bytes)
     routes = saved.where(F.col("kind") == "route").select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), "_cnt")
     carriers = saved.where((F.col("kind") == "airline") & F.col("k0").isNotNull()).select(
         F.col("k0").alias("_airline"), F.col("_cnt").alias("airline_market_share"))

@@ -8,8 +8,10 @@ quantile is found from ranks instead:
 
 1. aggregate to a value histogram ``(group, value, cnt)`` (partial
    aggregation folds repeated values before the shuffle);
-2. range-partition the histogram by ``(group, value)``: a large group is
-   spread over many partitions;
+2. range-partition the histogram by ``(group, value)`` and write it with the
+   partition number: a large group is spread over many partitions, and all
+   later reads see the same partitions (range bounds come from a sample that
+   may differ from run to run);
 3. cumulative counts inside each partition (window over ``(pid, group)``)
    plus the counts of the group in earlier partitions (a table of at most
    ``partitions + groups`` rows) give every value its rank interval;
@@ -34,44 +36,46 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 
 
 def rank_intervals(hist: DataFrame, by: list[str], value: str, weight: str = "cnt",
-                   num_partitions: int | None = None, groups_bounded: bool = True) -> DataFrame:
+                   num_partitions: int | None = None, groups_bounded: bool = False) -> DataFrame:
     """Add ``_lo``/``_hi`` (0-based rank interval of each histogram row) and ``_n``.
 
-    ``hist`` has one row per ``(by..., value)`` with a positive ``weight``.
+    ``hist`` has one row per ``(by..., value)`` with a positive ``weight``. Its plan runs once:
+    the range-partitioned rows are written with their partition number. ``groups_bounded``
+    says that the number of groups does not grow with the data; only then are the offsets
+    (``partitions + groups`` rows at most) broadcast by hint.
     """
     n = _partitions(hist, num_partitions)
     keys = [*by, value]
-    ranged = hist.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys]).withColumn(
-        _PID, F.spark_partition_id())
+    ranged = materialize(
+        hist.select(*keys, weight).repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys])
+        .withColumn(_PID, F.spark_partition_id()), "ranged-histogram")
     w_in = Window.partitionBy(_PID, *by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = ranged.withColumn("_cum", F.sum(weight).over(w_in))
     per_part = ranged.groupBy(_PID, *by).agg(F.sum(weight).alias("_tot"))
     w_prev = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*by)
     offsets = per_part.select(
-        _PID, *by,
+        F.col(_PID).alias("_opid"), *[F.col(k).alias(f"_o_{k}") for k in by],
         F.coalesce(F.sum("_tot").over(w_prev), F.lit(0)).alias("_off"),
         F.sum("_tot").over(w_all).alias("_n"),
     )
-    # offsets has at most partitions + groups rows: safe to broadcast when the
-    # number of groups is bounded by the caller (e.g. one group per column).
     if groups_bounded:
         offsets = F.broadcast(offsets)
-    cond = [inside[_PID] == offsets[_PID]] + [inside[k].eqNullSafe(offsets[k]) for k in by]
-    joined = inside.join(offsets, cond).select(
-        *[inside[k] for k in by], inside[value], inside[weight], offsets["_off"], offsets["_n"], inside["_cum"])
+    cond = F.col(_PID) == F.col("_opid")
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    joined = inside.join(offsets, cond).select(*keys, weight, "_off", "_n", "_cum")
     hi = F.col("_off") + F.col("_cum") - F.lit(1)
     return joined.select(*by, value, weight, (hi - F.col(weight) + F.lit(1)).alias("_lo"), hi.alias("_hi"), "_n")
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float], by: list[str] | None = None,
-                    num_partitions: int | None = None, groups_bounded: bool = True) -> DataFrame:
+                    num_partitions: int | None = None, groups_bounded: bool = False) -> DataFrame:
     """One row per group with a column per named probability (continuous quantile).
 
     Nulls and NaNs are ignored; a group without values yields no row. The
-    histogram is written once to the shared checkpoint folder: ranking reads
-    it three times (range sample, in-partition sums, partition offsets), and
-    none of those reads may re-run the plan of ``df``.
+    histogram is written once to the shared checkpoint folder before ranking,
+    because the range sample and the partitioning both read it.
     """
     by = list(by or [])
     v = value if isinstance(value, Column) else F.col(value)
@@ -150,17 +154,27 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``small`` only after checking its size; otherwise return it as is.
+def bounded_broadcast(small: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast ``small`` only when its written files are small; otherwise return it as is.
 
     The table is written to the shared checkpoint folder first (one job, cuts
-    its lineage so a lost executor does not recompute it), then counted from
-    the written files. Beyond ``max_rows`` the join stays a shuffle join and
+    its lineage so a lost executor does not recompute it) and the size of the
+    files decides. Beyond ``max_bytes`` the join stays a shuffle join and
     AQE's skew handling splits hot keys of the large side.
     """
     saved = materialize(small, "small")
-    n = saved.count()
-    return F.broadcast(saved) if n <= max_rows else saved
+    return F.broadcast(saved) if written_bytes(saved) <= max_bytes else saved
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Total size of the files behind a DataFrame that was read from files."""
+    sc = df.sparkSession.sparkContext
+    conf = sc._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        path = sc._jvm.org.apache.hadoop.fs.Path(f)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
 
 
 def value_histogram(df: DataFrame, string_cols=(), numeric_cols=(), null_label: str | None = None) -> DataFrame:
@@ -187,7 +201,7 @@ def value_histogram(df: DataFrame, string_cols=(), numeric_cols=(), null_label:
 
 
 def quantiles_from_histogram(hist: DataFrame, by: list[str], value: str, probs: dict[str, float],
-                             weight: str = "cnt", groups_bounded: bool = True) -> DataFrame:
+                             weight: str = "cnt", groups_bounded: bool = False) -> DataFrame:
     """Continuous quantiles from a weighted histogram ``(by..., value, weight)``."""
     h = hist.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("_v"),
                                                                       F.col(weight).alias("cnt"))

@@ -38,8 +38,7 @@ def prepare(spark: SparkSession, raw: DataFrame, series: DataFrame, calendar: Da
     out_path = out_path or scratch_path(spark, "prepared")
     state_path = state_path or scratch_path(spark, "prep-state")
     written = files.write_splits(split, out_path)
-    files.save_prep_state(spark, state_path, state["vocab"], {"scaler": state["scaler"], "medians": state["medians"],
-                                                              "feature_columns": state["feature_columns"]})
+    files.save_matrix_state(spark, state_path, state)
     return {"table": written, "feature_columns": state["feature_columns"], "vocab": state["vocab"],
             "scaler": state["scaler"], "medians": state["medians"], "path": out_path, "state_path": state_path,
             "features": feats}

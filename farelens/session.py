@@ -7,7 +7,10 @@ fills in settings that are unset, so cluster-provided values always win.
 from __future__ import annotations
 
 import os
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -53,8 +56,8 @@ def _apply_defaults(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set one only when it is unset.
 
-    The fallback (a folder under the system temp dir) is meant for local tests:
-    on a cluster the setting names a shared, fault-tolerant folder.
+    The fallback (a folder under the system temp dir) exists for local masters only. On a
+    cluster every executor would write to a disk of its own, so an unset folder is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -62,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = os.path.join(os.environ.get("TMPDIR", "/tmp"), "farelens-checkpoints")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -77,6 +82,36 @@ def checkpoint_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for one written table."""
-    return f"{checkpoint_root(spark)}/farelens/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_root(spark)}/farelens/{name}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, keep: tuple[str, ...] = ()) -> Iterator[list[str]]:
+    """Delete the written tables of the block when it ends, also after an error.
+
+    A lazy DataFrame over such a table must not outlive the block: write what is needed to a
+    path of its own first. Folders named in ``keep`` (or removed from the yielded list) stay.
+    """
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            if path not in keep:
+                delete_folder(spark, path)

@@ -85,9 +85,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Use the stored table if present, else build it, write it once and read it back."""
-    if not path_exists(spark, path):
-        build().write.mode("errorifexists").parquet(path)
+    """Use the stored table if it is complete, else build it, write it and read it back.
+
+    A folder counts as complete only with the committer's ``_SUCCESS`` marker; what an
+    interrupted build left is replaced.
+    """
+    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -97,13 +101,18 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split") -> DataFram
     return df.sparkSession.read.parquet(path)
 
 
+LISTS = ("feature_columns", "categorical")      # ordered lists of the fitted state
+
+
 def save_prep_state(spark: SparkSession, path: str, vocab: DataFrame | None, params: dict) -> None:
     """Fitted state as tables: the vocabulary and one row per (kind, column, values)."""
     if vocab is not None:
         vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     rows = []
     for kind, per_col in params.items():
-        if isinstance(per_col, dict):
+        if not per_col:
+            rows.append((kind, None, None, "list" if isinstance(per_col, (list, tuple)) else "dict"))
+        elif isinstance(per_col, dict):
             for col, v in per_col.items():
                 vals = [float(x) for x in (v if isinstance(v, (tuple, list)) else [v])] if not isinstance(v, str) else []
                 rows.append((kind, col, vals, v if isinstance(v, str) else None))
@@ -119,11 +128,26 @@ def load_prep_state(spark: SparkSession, path: str) -> tuple[DataFrame | None, d
     vocab = spark.read.parquet(f"{path}/vocab") if path_exists(spark, f"{path}/vocab") else None
     params: dict = {}
     for r in spark.read.parquet(f"{path}/params").collect():
-        if r["kind"] == "feature_columns":
-            params.setdefault("feature_columns", []).append((int(r["values"][0]), r["column"]))
+        if r["column"] is None:
+            params[r["kind"]] = [] if r["text"] == "list" else {}
+            continue
+        if r["kind"] in LISTS:
+            params.setdefault(r["kind"], []).append((int(r["values"][0]), r["column"]))
             continue
         v = r["text"] if r["text"] is not None else (tuple(r["values"]) if len(r["values"]) > 1 else r["values"][0])
         params.setdefault(r["kind"], {})[r["column"]] = v
-    if "feature_columns" in params:
-        params["feature_columns"] = [c for _, c in sorted(params["feature_columns"])]
+    for kind in LISTS:
+        if params.get(kind):
+            params[kind] = [c for _, c in sorted(params[kind])]
     return vocab, params
+
+
+def save_matrix_state(spark: SparkSession, path: str, state: dict) -> None:
+    """Everything that ``encode.transform_matrix`` needs, as tables."""
+    save_prep_state(spark, path, state["vocab"], {k: state[k] for k in ("scaler", "medians", *LISTS)})
+
+
+def load_matrix_state(spark: SparkSession, path: str) -> dict:
+    """A state for ``encode.transform_matrix``."""
+    vocab, params = load_prep_state(spark, path)
+    return {"vocab": vocab, **{k: params.get(k, [] if k in LISTS else {}) for k in ("scaler", "medians", *LISTS)}}

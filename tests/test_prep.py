@@ -33,3 +33,35 @@ def test_prepare_writes_disjoint_complete_splits(spark):
     assert n > 0 and t.select("fare_key").distinct().count() == n
     assert {r.split for r in t.select("split").distinct().collect()} <= {"train", "val", "test"}
     assert t.where(F.col("split") == "train").count() > 0
+
+
+def test_loaded_state_scores_unseen_labels_and_new_nulls(spark):
+    """Fit on all columns, save, load, and score rows with a new carrier and a null elsewhere."""
+    from farelens.operators.models import assemble
+    from farelens.session import scratch_path
+    from farelens.sources import files
+    feats = feature_table(spark, SF)
+    state = M.fit_matrix_state(feats)
+    assert set(state["medians"]) == set(state["feature_columns"])
+    path = scratch_path(spark, "state")
+    files.save_matrix_state(spark, path, state)
+    loaded = files.load_matrix_state(spark, path)
+    assert {k: loaded[k] for k in ("medians", "scaler", "feature_columns", "categorical")} == \
+        {k: state[k] for k in ("medians", "scaler", "feature_columns", "categorical")}
+    old = M.transform_matrix(feats, state).orderBy("fare_key").limit(50).collect()
+    assert old == M.transform_matrix(feats, loaded).orderBy("fare_key").limit(50).collect()
+    odd = feats.limit(20).withColumns({"airline": F.lit("NewAir"), "month": F.lit(None).cast("int"),
+                                       "flight_hours": F.lit(None).cast("double")})
+    x = assemble(M.transform_matrix(odd, loaded), loaded["feature_columns"])
+    assert x.where("features is not null").count() == 20
+    top = loaded["vocab"].where("column = 'airline'").agg(F.max("idx")).first()[0]
+    enc = M.apply_vocabulary(odd, loaded["vocab"], ["airline"])
+    assert {r.airline_encoded for r in enc.collect()} == {top + 1}
+
+
+def test_empty_parts_of_a_state_survive(spark):
+    from farelens.session import scratch_path
+    from farelens.sources import files
+    path = scratch_path(spark, "state")
+    files.save_prep_state(spark, path, None, {"scaler": {}, "medians": {"a": 1.0}, "feature_columns": ["b", "a"], "categorical": []})
+    assert files.load_prep_state(spark, path) == (None, {"scaler": {}, "medians": {"a": 1.0}, "feature_columns": ["b", "a"], "categorical": []})

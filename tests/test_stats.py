@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from farelens.operators.stats import (column_modes, exact_quantiles, quantiles_from_histogram, rank_intervals,
+from farelens.operators.stats import (bounded_broadcast, column_modes, exact_quantiles, quantiles_from_histogram, rank_intervals,
                                       value_histogram)
 
 
@@ -56,3 +56,27 @@ def test_histogram_quantiles_equal_row_quantiles(spark):
 def test_modes_break_ties_by_smallest_value(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), ("c",)], "s string")
     assert column_modes(df, ["s"]).collect()[0]["mode"] == "a"
+
+
+def test_ranks_do_not_depend_on_exchange_reuse(spark):
+    """Half a million distinct values in three groups, with reuse of shuffles switched off."""
+    before = spark.conf.get("spark.sql.exchange.reuse", "true")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        n = 510_000
+        hist = spark.range(n).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("v"),
+                                     F.lit(1).alias("cnt")).dropDuplicates(["g", "v"])
+        got = rank_intervals(hist, ["g"], "v", num_partitions=16).toPandas().sort_values(["g", "v"])
+        for _, sub in got.groupby("g"):
+            assert (sub["_lo"].to_numpy() == np.arange(len(sub))).all()
+            assert (sub["_hi"] == sub["_lo"]).all() and (sub["_n"] == len(sub)).all()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+
+
+def test_broadcast_is_decided_by_written_bytes(spark):
+    df = spark.range(5000)
+    small, large = bounded_broadcast(df), bounded_broadcast(df, max_bytes=10)
+    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
+    assert small.count() == large.count() == 5000
