@@ -232,26 +232,25 @@ def overview(df: DataFrame) -> DataFrame:
 def price_histogram(df: DataFrame, n_bins: int = 50, price: str = "price") -> DataFrame:
     """Counts in ``n_bins`` equal-width bins (the maximum falls in the last bin).
 
-    The range is fitted first (one aggregate, two scalars) and applied as literals.
+    The distinct prices are counted and written once; the range (two scalars) and the bins are
+    both read from that table.
     """
+    df = materialize(df.where(F.col(price).isNotNull()).groupBy(price).agg(F.count(F.lit(1)).alias("cnt")), "price-counts")
     r = df.agg(F.min(price).alias("lo"), F.max(price).alias("hi")).first()
     if r is None or r["lo"] is None:
         return df.sparkSession.createDataFrame([], "bin int, n long, bin_start double")
     lo, hi = float(r["lo"]), float(r["hi"])
     w = (hi - lo) / n_bins
     idx = F.lit(0) if w == 0 else F.least(F.floor((F.col(price) - F.lit(lo)) / F.lit(w)), F.lit(n_bins - 1))
-    return (df.where(F.col(price).isNotNull()).groupBy(idx.cast("int").alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"))
+    return (df.groupBy(idx.cast("int").alias("bin")).agg(F.sum("cnt").alias("n"))
             .withColumn("bin_start", F.round(F.lit(lo) + F.col("bin") * F.lit(w), 4)))
 
 
 def price_quartiles(df: DataFrame, by=("airline",), price: str = "price") -> DataFrame:
-    """Box summary per group: min, quartiles (exact), max."""
-    q = exact_quantiles(df, price, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=list(by), groups_bounded=False)
-    mm = df.groupBy(*by).agg(F.min(price).alias("min_price"), F.max(price).alias("max_price"))
-    return mm.join(q, list(by)).select(*by, "min_price", F.round("q1", 4).alias("q1"),
-                                       F.round("median", 4).alias("median"), F.round("q3", 4).alias("q3"),
-                                       "max_price")
+    """Box summary per group: min, quartiles (exact), max, all from one value histogram."""
+    q = exact_quantiles(df, price, {"min_price": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max_price": 1.0}, by=list(by))
+    return q.select(*by, "min_price", F.round("q1", 4).alias("q1"), F.round("median", 4).alias("median"),
+                    F.round("q3", 4).alias("q3"), "max_price")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -108,17 +108,12 @@ def fit_fill_values(df: DataFrame, mode_cols=("airline", "from", "to", "class",
                     median_cols=("price", "duration")) -> dict:
     """Fitted fill values: mode (ties -> smallest, none -> 'Unknown') and median per column.
 
-    A fill value only matters where a column holds nulls, so one aggregate
-    counts the nulls first; a single value histogram of just those columns is
-    then written, and modes and medians are read from it.
+    One value histogram of the columns is written in a single pass; modes and
+    medians are read from it. Every column gets a value, because rows cleaned
+    later may hold nulls where the fitting rows had none.
     """
     mode_cols = [c for c in mode_cols if c in df.columns]
     median_cols = [c for c in median_cols if c in df.columns]
-    if not mode_cols and not median_cols:
-        return {}
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in mode_cols + median_cols]).first().asDict()
-    mode_cols = [c for c in mode_cols if counts[c] > 0]
-    median_cols = [c for c in median_cols if counts[c] > 0]
     if not mode_cols and not median_cols:
         return {}
     hist = materialize(value_histogram(df, mode_cols, median_cols), "fill-histogram")
@@ -129,7 +124,7 @@ def fit_fill_values(df: DataFrame, mode_cols=("airline", "from", "to", "class",
             fills[c] = found.get(c, "Unknown")
     if median_cols:
         med = quantiles_from_histogram(hist.where(F.col("column").isin(median_cols)), ["column"], "v",
-                                       {"median": 0.5}).collect()
+                                       {"median": 0.5}, groups_bounded=True).collect()
         for r in med:
             fills[r["column"]] = r["median"]
     return fills

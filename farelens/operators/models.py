@@ -11,12 +11,16 @@ matrix; predictions, metrics and ensembles are DataFrames:
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import json
+from importlib import import_module
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LOWER_IS_BETTER = ("rmse", "mae", "mse", "mape")
 
@@ -31,38 +35,71 @@ def train_ridge(train: DataFrame, label: str = "price", alpha: float = 1.0, feat
     """M7: L2 least squares equal to ``||y - Xw - b||^2 + alpha ||w||^2``.
 
     Spark's objective is ``1/(2n) ||.||^2 + regParam/2 ||w||^2`` with the label
-    scaled by its deviation, so ``regParam = alpha / n * std_pop(y)``.
+    scaled by its deviation, so ``regParam = alpha / n * std_pop(y)``. Where constant or dependent
+    columns make the normal equations singular, Spark solves them by iteration; ``tol`` is set
+    so that it ends at the closed form as well.
     """
     r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
     reg = alpha / r["n"] * (r["sd"] or 1.0)
     lr = LinearRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0, regParam=reg,
-                          standardization=False, solver="normal", fitIntercept=True)
+                          standardization=False, solver="normal", fitIntercept=True, tol=1e-14, maxIter=2000)
     return lr.fit(train)
 
 
 def train_forest(train: DataFrame, label: str = "price", num_trees: int = 100, max_depth: int = 20,
                  min_instances: int = 1, seed: int = 42, features: str = "features"):
-    """M8: random forest regressor (depth is capped at Spark's maximum of 30)."""
+    """M8: random forest regressor; Spark grows trees of depth 30 at most.
+
+    Deep levels are split in few passes (``maxMemoryInMB``) over cached node numbers
+    (``cacheNodeIds``), whose lineage is cut every ten levels.
+    """
+    if not 0 <= max_depth <= 30:
+        raise ValueError("max_depth must lie between 0 and 30")
     rf = RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=num_trees,
-                               maxDepth=min(max_depth, 30), minInstancesPerNode=min_instances, seed=seed,
-                               subsamplingRate=1.0, featureSubsetStrategy="onethird")
+                               maxDepth=max_depth, minInstancesPerNode=min_instances, seed=seed,
+                               subsamplingRate=1.0, featureSubsetStrategy="onethird", maxMemoryInMB=1024,
+                               cacheNodeIds=True, checkpointInterval=10)
     return rf.fit(train)
 
 
 def train_boosted(train: DataFrame, label: str = "price", max_iter: int = 100, max_depth: int = 6,
                   step_size: float = 0.1, subsample: float = 0.8, col_sample: float = 0.8,
-                  validation: DataFrame | None = None, seed: int = 42, features: str = "features"):
-    """M9: gradient-boosted trees; with ``validation`` rows, training stops when it stops improving."""
+                  validation: DataFrame | None = None, seed: int = 42, features: str = "features",
+                  patience: int = 10):
+    """M9: gradient-boosted trees.
+
+    With ``validation`` rows every round is scored on them, and the rounds up to the best one are
+    kept: the search for it ends after ``patience`` rounds without improvement. ``rounds_of``
+    tells the rounds fitted and kept.
+    """
     gbt = GBTRegressor(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                        stepSize=step_size, subsamplingRate=subsample, featureSubsetStrategy=str(col_sample),
-                       seed=seed)
+                       seed=seed, maxMemoryInMB=512, checkpointInterval=10)
+    model = gbt.fit(train)
+    kept = max_iter
     if validation is not None:
-        data = (train.withColumn("_is_val", F.lit(False))
-                .unionByName(validation.withColumn("_is_val", F.lit(True))))
-        gbt = gbt.setValidationIndicatorCol("_is_val")
-        gbt.set(gbt.validationTol, 0.01)
-        return gbt.fit(data)
-    return gbt.fit(train)
+        kept = best_round(model.evaluateEachIteration(validation, "squared"), patience)
+        if kept < model.getNumTrees:
+            # the rounds of a shorter fit with the same seed are the first rounds of this one
+            model = gbt.setMaxIter(kept).fit(train)
+    model.rounds = {"fitted": max_iter, "kept": kept}
+    return model
+
+
+def best_round(losses: list[float], patience: int = 10) -> int:
+    """Number of rounds up to the smallest loss met before ``patience`` rounds without a smaller one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def rounds_of(model) -> dict:
+    """Boosting rounds fitted and kept (of a loaded model: as kept)."""
+    return getattr(model, "rounds", {"fitted": model.getNumTrees, "kept": model.getNumTrees})
 
 
 TRAINERS = {"linear_regression": train_ridge, "random_forest": train_forest, "boosted_trees": train_boosted}
@@ -72,7 +109,7 @@ TRAINERS = {"linear_regression": train_ridge, "random_forest": train_forest, "bo
 def predict(model, df: DataFrame, name: str, key: str = "fare_key", label: str = "price") -> DataFrame:
     """Long-form predictions ``(key, model, y, prediction)``."""
     if model is None:
-        raise ValueError(f"Model {name} is not trained yet.")
+        raise ValueError(f"no fitted model for {name}")
     out = model.transform(df)
     keep = [c for c in (key, "split") if c in out.columns]
     return out.select(*keep, F.lit(name).alias("model"), F.col(label).alias("y"), F.col("prediction"))
@@ -145,10 +182,11 @@ def grid_tune(train: DataFrame, val: DataFrame, label: str = "price", grid: dict
               parallelism: int = 4, seed: int = 42) -> tuple[DataFrame, dict]:
     """Every grid point of boosted trees fitted on train, scored on val; all results returned.
 
-    Uses ``Estimator.fitMultiple`` (models trained concurrently) on the fixed
-    split, since the reference tunes on its validation rows.
+    ``parallelism`` models are trained at a time (threads over ``fitMultiple``, whose fits run
+    inside ``next``) on the cached training rows of the fixed split; the winner is fitted again
+    and returned. Ties go to the earlier grid point.
     """
-    grid = grid or {"maxDepth": [3, 6, 9], "stepSize": [0.01, 0.1, 0.2], "maxIter": [100, 200, 300],
+    grid = grid or {"maxDepth": [3, 6, 9], "stepSize": [0.01, 0.1, 0.2], "maxIter": [50, 100, 200],
                     "subsamplingRate": [0.8, 0.9, 1.0], "featureSubsetStrategy": ["0.8", "0.9", "1.0"]}
     gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed)
     builder = ParamGridBuilder()
@@ -156,17 +194,24 @@ def grid_tune(train: DataFrame, val: DataFrame, label: str = "price", grid: dict
         builder = builder.addGrid(gbt.getParam(k), vals)
     maps = builder.build()
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    results = []
-    best = None
-    for idx, model in gbt.fitMultiple(train, maps):
-        rmse = ev.evaluate(model.transform(val))
-        params = {p.name: v for p, v in maps[idx].items()}
-        results.append((idx, rmse, str(params)))
-        if best is None or rmse < best[1]:
-            best = (idx, rmse, params)
-    spark = train.sparkSession
-    table = spark.createDataFrame(results, "grid_index int, rmse double, params string")
-    return table, {"best_params": best[2], "best_rmse": best[1]}
+    train, val = train.cache(), val.cache()
+    models = gbt.fitMultiple(train, maps)
+
+    def one(_) -> tuple[int, float]:
+        idx, model = next(models)
+        return idx, ev.evaluate(model.transform(val))
+
+    try:
+        with ThreadPool(min(parallelism, len(maps))) as pool:
+            results = sorted(pool.imap_unordered(one, range(len(maps))))
+        idx, rmse = min(results, key=lambda r: (r[1], r[0]))
+        best = {p.name: v for p, v in maps[idx].items()}
+        model = gbt.copy(maps[idx]).fit(train)
+    finally:
+        train.unpersist(), val.unpersist()
+    rows = [(i, e, json.dumps({p.name: v for p, v in maps[i].items()}, sort_keys=True), i == idx) for i, e in results]
+    table = train.sparkSession.createDataFrame(rows, "grid_index int, rmse double, params string, best boolean")
+    return table, {"best_params": best, "best_rmse": rmse, "model": model}
 
 
 def train_all(train: DataFrame, val: DataFrame, label: str = "price", params: dict | None = None,
@@ -182,8 +227,10 @@ def train_all(train: DataFrame, val: DataFrame, label: str = "price", params: di
             models[name] = trainer(train, label=label, **kw)
             preds.append(predict(models[name], train, name, key, label).withColumn("split", F.lit("train")))
             preds.append(predict(models[name], val, name, key, label).withColumn("split", F.lit("val")))
-        except Exception as e:  # noqa: BLE001 - recorded per model, as in the reference manager
+        except Exception as e:  # noqa: BLE001 - recorded per model and returned
             errors[name] = str(e)
+    if not preds:
+        raise RuntimeError(f"no model could be fitted: {errors}")
     long = preds[0]
     for p in preds[1:]:
         long = long.unionByName(p)
@@ -193,7 +240,7 @@ def train_all(train: DataFrame, val: DataFrame, label: str = "price", params: di
 # ---------------------------------------------------------------- K8, M14
 def top_features(model, feature_cols: list[str], n: int = 15) -> DataFrame:
     """K8: feature importances (tree models) or absolute coefficients, largest first."""
-    spark = __import__("pyspark").sql.SparkSession.getActiveSession()
+    spark = SparkSession.active()
     if hasattr(model, "featureImportances"):
         vals = model.featureImportances.toArray().tolist()
     else:
@@ -210,20 +257,31 @@ def pca_reduce(df: DataFrame, k: int = 4, features: str = "features", out: str =
 
 
 # ---------------------------------------------------------------- S10
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model, path: str, metrics: DataFrame | None = None, params: dict | None = None) -> None:
+    """Save a fitted model with its metric table and training parameters."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    if metrics is not None:
+        metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    rows = [(k, json.dumps(v)) for k, v in sorted((params or {}).items())]
+    spark.createDataFrame(rows, "name string, value string").write.mode("overwrite").parquet(f"{path}/params")
 
 
 def load_model(path: str):
-    """Load any saved ``pyspark.ml`` model (the class is read from its metadata)."""
-    from pyspark.ml.util import DefaultParamsReader
-    meta = DefaultParamsReader.loadMetadata(path, __import__("pyspark").SparkContext.getOrCreate())
-    cls_name = meta["class"].replace("org.apache.spark", "pyspark")
-    module, _, name = cls_name.rpartition(".")
-    mod = __import__(module, fromlist=[name])
-    return getattr(mod, name).load(path)
+    """Load any model written by ``save_model`` (its class is read from its metadata)."""
+    spark = SparkSession.active()
+    meta = DefaultParamsReader.loadMetadata(f"{path}/model", spark)
+    module, _, name = meta["class"].replace("org.apache.spark", "pyspark").rpartition(".")
+    return getattr(import_module(module), name).load(f"{path}/model")
+
+
+def load_training(path: str) -> tuple[DataFrame, dict]:
+    """Metric table and parameters saved with a model."""
+    spark = SparkSession.active()
+    params = {r["name"]: json.loads(r["value"]) for r in spark.read.parquet(f"{path}/params").collect()}
+    return spark.read.parquet(f"{path}/metrics"), params
 
 
 __all__ = ["assemble", "train_ridge", "train_forest", "train_boosted", "predict", "residuals", "regression_metrics",
            "best_model", "compare_models", "ensemble", "wide_predictions", "grid_tune", "train_all", "top_features",
-           "pca_reduce", "save_model", "load_model", "Pipeline", "PipelineModel"]
+           "pca_reduce", "best_round", "rounds_of", "save_model", "load_model", "load_training"]

@@ -10,8 +10,8 @@ from farelens.sources import tables
 from farelens.sources.calendar import build_calendar
 
 
-def fares(spark: SparkSession, d: str) -> DataFrame:
-    return tables.fares(spark, d)
+def fares(spark: SparkSession, d: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    return tables.fares(spark, d, extra)
 
 
 def fares_dirty(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +39,7 @@ def standard_union(spark: SparkSession, d: str) -> DataFrame:
                          P.standardize_economy(tables.economy_file(spark, d)))
 
 
-def standardized(spark: SparkSession, d: str) -> DataFrame:
+def standardized(spark: SparkSession, d: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Fares with unified time labels and ``time_taken`` text (input of the feature chain)."""
     from farelens.operators import clean as P
-    return P.add_time_taken(P.clean_time_labels(fares(spark, d)))
+    return P.add_time_taken(P.clean_time_labels(fares(spark, d, extra)))

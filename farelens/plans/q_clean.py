@@ -8,6 +8,7 @@ from farelens.constants import TIME_LABEL_FIXES
 from farelens.operators import clean as P
 from farelens.plans import base
 from farelens.plans.oracle import with_ctes
+from farelens.operators.stats import materialize
 from farelens.plans.registry import query
 from farelens.sources import tables
 
@@ -152,7 +153,7 @@ MODE_COLS = ["airline", "from", "to", "class", "stop"]
     f'coalesce("{c}", {_mode_sql(chr(34) + c + chr(34), "fares_dirty")}) AS "{c}"' for c in MODE_COLS)
     + " FROM fares_dirty", "fares_dirty"))
 def fill_mode(spark, d):
-    df = base.fares_dirty(spark, d)
+    df = materialize(base.fares_dirty(spark, d).select("fare_key", *MODE_COLS), "dirty")
     fills = P.fit_fill_values(df, mode_cols=MODE_COLS, median_cols=())
     return P.fill_missing(df, fills, constant_cols=()).select("fare_key", *MODE_COLS)
 
@@ -162,7 +163,7 @@ SELECT fare_key, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM fares_di
        coalesce(duration, (SELECT quantile_cont(duration, 0.5) FROM fares_dirty)) AS duration
 FROM fares_dirty""", "fares_dirty"))
 def fill_median(spark, d):
-    df = base.fares_dirty(spark, d)
+    df = materialize(base.fares_dirty(spark, d).select("fare_key", "price", "duration"), "dirty")
     fills = P.fit_fill_values(df, mode_cols=(), median_cols=("price", "duration"))
     return P.fill_missing(df, fills, constant_cols=()).select("fare_key", "price", "duration")
 

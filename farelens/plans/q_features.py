@@ -11,6 +11,7 @@ from farelens.operators import features as Fe
 from farelens.operators.enrich import enrich_fares
 from farelens.plans import base
 from farelens.plans.oracle import _in, _map_case, band_case, with_ctes
+from farelens.operators.stats import materialize
 from farelens.plans.registry import query
 from farelens.sources import tables
 
@@ -48,7 +49,8 @@ def major_city_flags(spark, d):
 
 @query("route_popularity", with_ctes('SELECT fare_key, "from", "to", route_popularity FROM rest', "rest"))
 def route_popularity(spark, d):
-    return Fe.group_count(base.fares(spark, d), ["from", "to"], "route_popularity").select(
+    fares = materialize(base.fares(spark, d).select("fare_key", "from", "to"), "routes")
+    return Fe.group_count(fares, ["from", "to"], "route_popularity").select(
         "fare_key", "from", "to", "route_popularity")
 
 
@@ -128,10 +130,11 @@ def duration_band_hours(spark, d):
     return Fe.duration_band_hours(tables.clean_file(spark, d)).select("fare_key", "duration", "duration_category")
 
 
-def feature_table(spark, d):
-    """F13 over the standardised fares, with the external tables."""
+def feature_table(spark, d, extra=()):
+    """F13 over the standardised fares (written once: the counts and the rows read them), with the external tables."""
     series, cal = base.series(spark, d), base.calendar(spark)
-    return Fe.feature_engineering(base.standardized(spark, d), enrich=lambda df: enrich_fares(df, series, cal))
+    fares = materialize(base.standardized(spark, d, extra), "standardized")
+    return Fe.feature_engineering(fares, enrich=lambda df: enrich_fares(df, series, cal))
 
 
 @query("feature_chain", with_ctes("SELECT * FROM feat", "feat"))

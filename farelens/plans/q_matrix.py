@@ -9,6 +9,7 @@ from farelens.operators import encode as M
 from farelens.plans import base
 from farelens.plans.oracle import with_ctes
 from farelens.plans.q_features import feature_table
+from farelens.operators.stats import materialize
 from farelens.plans.registry import query
 
 CATS = CATEGORICAL_FEATURES
@@ -40,21 +41,25 @@ SCALED_CTE = "SELECT fare_key, price, " + ", ".join(
 MATRIX_CTES = {"enc": ENC_CTE, "x": X_CTE, "filled": FILLED_CTE, "st": STATS_CTE, "scaled": SCALED_CTE}
 
 
+def fitted(spark, d, extra=()):
+    """The written feature table and the state fitted on it in one pass."""
+    feats = materialize(feature_table(spark, d, extra), "features")
+    return feats, M.fit_matrix_state(feats)
+
+
 def encoded_table(spark, d):
-    enc, _ = M.encode_categories(feature_table(spark, d))
-    return enc
+    feats, state = fitted(spark, d)
+    return M.apply_vocabulary(feats, state["vocab"], state["categorical"])
 
 
 def filled_matrix(spark, d):
-    x, _, _ = M.feature_matrix(encoded_table(spark, d))
-    return x
+    feats, state = fitted(spark, d)
+    enc = M.apply_vocabulary(feats, state["vocab"], state["categorical"])
+    return M.feature_matrix(enc, state["feature_columns"], medians=state["medians"])[0]
 
 
 def scaled_matrix(spark, d):
-    x = filled_matrix(spark, d)
-    cols = [c for c in x.columns if c not in ("fare_key", "price")]
-    scaled, _ = M.robust_scale(x, cols)
-    return scaled
+    return M.transform_matrix(*fitted(spark, d))
 
 
 @query("encode_categories", with_ctes("SELECT fare_key, " + ", ".join(ENCODED) + " FROM enc", "feat",

@@ -1,15 +1,16 @@
-"""Model queries: metrics, comparison, ensembles and residuals over fixed predictions (SQL-checked),
-and distributed training, tuning, importances and persistence (rows-only)."""
+"""Model queries: metrics, comparison, ensembles and residuals over fixed predictions, and distributed
+training, tuning, importances and persistence (checked by statements that must hold)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from farelens.operators import analytics as A
 from farelens.operators import booking as B
 from farelens.operators import encode as M
 from farelens.operators import models as ML
 from farelens.plans.oracle import with_ctes
+from farelens.plans.q_matrix import MATRIX, fitted
 from farelens.plans.registry import query
 from farelens.sources import tables
 from farelens.operators.stats import materialize
@@ -19,15 +20,15 @@ MODELS = ["linear_regression", "random_forest", "boosted_trees"]
 PRED_COLS = {"linear_regression": "pred_linear", "random_forest": "pred_forest", "boosted_trees": "pred_boosted"}
 
 
-def quotes_long(spark, d) -> DataFrame:
-    q = M.split_rows(tables.quotes(spark, d))
+def quotes_long(quotes: DataFrame) -> DataFrame:
+    q = M.split_rows(quotes)
     preds = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("prediction")) for m, c in PRED_COLS.items()])
     return q.select("fare_key", "split", "y", F.explode(preds).alias("p")).select(
         "fare_key", "split", "p.model", "y", "p.prediction")
 
 
 def metrics(spark, d) -> DataFrame:
-    return ML.regression_metrics(quotes_long(spark, d))
+    return ML.regression_metrics(quotes_long(tables.quotes(spark, d)))
 
 
 def _rounded(m: DataFrame) -> DataFrame:
@@ -55,8 +56,8 @@ def best_model(spark, d):
     return ML.best_model(metrics(spark, d)).select("model", F.round("rmse", 4).alias("rmse"))
 
 
-def _val_rmse(spark, d) -> dict:
-    rows = metrics(spark, d).where(F.col("split") == "val").select("model", "rmse").collect()
+def _val_rmse(quotes: DataFrame) -> dict:
+    rows = ML.regression_metrics(quotes_long(quotes)).where(F.col("split") == "val").select("model", "rmse").collect()
     return {PRED_COLS[r["model"]]: r["rmse"] for r in rows}
 
 
@@ -73,9 +74,9 @@ FROM quotes q, (SELECT max(CASE WHEN model = 'linear_regression' THEN {_W} END)
                        max(CASE WHEN model = 'boosted_trees' THEN {_W} END) AS wb,
                        sum({_W}) AS t FROM metrics WHERE split = 'val') w""", "metrics"))
 def ensemble(spark, d):
-    q = tables.quotes(spark, d)
     cols = list(PRED_COLS.values())
-    w = _val_rmse(spark, d)
+    q = materialize(tables.quotes(spark, d).select("fare_key", "y", *cols), "quotes")
+    w = _val_rmse(q)
     return q.select("fare_key",
                     F.round(ML.ensemble(q, cols, "average"), 4).alias("ensemble_average"),
                     F.round(ML.ensemble(q, cols, "weighted", w), 4).alias("ensemble_weighted"),
@@ -85,7 +86,7 @@ def ensemble(spark, d):
 @query("residuals", with_ctes("""
 SELECT fare_key, split, model, y AS actual, prediction AS predicted, y - prediction AS residual FROM qlong""", "qlong"))
 def residuals(spark, d):
-    return ML.residuals(quotes_long(spark, d))
+    return ML.residuals(quotes_long(tables.quotes(spark, d)))
 
 
 QUOTE_SQL = with_ctes("""
@@ -136,103 +137,187 @@ def price_advice_text(spark, d):
     return _quote(spark, d).select("fare_key", "advice")
 
 
-# ---------------------------------------------------------------- training (rows-only)
-# Model sizes of the registered queries; the library defaults are the
-# reference's (100 trees of depth 20, 100 boosting rounds of depth 6).
-QUERY_PARAMS = {
-    "random_forest": {"num_trees": 20, "max_depth": 8},
-    "boosted_trees": {"max_iter": 20, "max_depth": 5, "use_validation": True},
-}
+# ---------------------------------------------------------------- training
+# The queries train at the library's default sizes (100 trees of depth 20, 100 boosting rounds of
+# depth 6) on a label that the features can explain (``fare_value``, as ``price`` of the training
+# table). A fit has no SQL twin, so each query returns statements about it that must hold: keys
+# and labels from SQL, optimality conditions, ranges, counts.
+LABEL = "fare_value"
+GRID = {"maxDepth": [3, 5], "stepSize": [0.1, 0.2], "maxIter": [10]}
+
+
+def _all_true(names) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS \"check\", TRUE AS ok" for n in names)
+
+
+def _statements(spark, checks: dict[str, bool]) -> DataFrame:
+    return spark.createDataFrame([(k, bool(v)) for k, v in checks.items()], "check string, ok boolean")
 
 
 def training_frames(spark, d):
-    """Scaled feature matrix with a stable split, assembled, persisted (cut lineage) for the fits."""
-    from farelens.plans.q_matrix import scaled_matrix
-    x = M.split_rows(scaled_matrix(spark, d))
-    feats = [c for c in x.columns if c not in ("fare_key", "price", "split")]
-    data = materialize(ML.assemble(x, feats).select("fare_key", "price", "split", "features"), "training")
-    train = data.where(F.col("split") == "train")
-    val = data.where(F.col("split") == "val")
-    test = data.where(F.col("split") == "test")
-    return train, val, test, feats
-
-
-@query("ridge")
+    """Scaled feature matrix with a stable split, assembled and written for the fits (one pass over the fares)."""
+    feats, state = fitted(spark, d, (LABEL,))
+    x = M.split_rows(M.transform_matrix(feats, state, keep=("fare_key", LABEL)).withColumnRenamed(LABEL, "price"))
+    cols = state["feature_columns"]
+    data = materialize(ML.assemble(x, cols).select("fare_key", "price", "split", "features"), "training")
+    train, val, test = (data.where(F.col("split") == s) for s in ("train", "val", "test"))
+    return train, val, test, cols
+
+
+def _normal_equations(train: DataFrame, model, feats: list[str], alpha: float) -> DataFrame:
+    """Per feature: does ``sum(x * (prediction - y)) + alpha * w`` vanish, against the size of its terms?"""
+    from pyspark.ml.functions import vector_to_array
+    err = F.col("prediction") - F.col("price")
+    x = model.transform(train).select(vector_to_array("features").alias("x"), err.alias("e"), "price")
+    sums = x.agg(*[F.sum(F.col("x")[i] * F.col("e")).alias(f"g{i}") for i in range(len(feats))],
+                 *[F.sum(F.abs(F.col("x")[i] * F.col("price"))).alias(f"s{i}") for i in range(len(feats))],
+                 F.sum("e").alias("total"), F.sum("price").alias("size")).first()
+    w = model.coefficients.toArray().tolist()
+    checks = {c: abs(sums[f"g{i}"] + alpha * w[i]) <= 1e-6 * max(sums[f"s{i}"], 1.0) for i, c in enumerate(feats)}
+    checks["(intercept)"] = abs(sums["total"]) <= 1e-6 * sums["size"]
+    return _statements(train.sparkSession, checks)
+
+
+def _explains(long: DataFrame) -> bool:
+    return ML.regression_metrics(long).first()["r2"] > 0.1
+
+
+@query("ridge", _all_true([*MATRIX, "(intercept)"]))
 def ridge(spark, d):
-    train, val, _, _ = training_frames(spark, d)
-    model = ML.train_ridge(train)
-    return ML.regression_metrics(ML.predict(model, val, "linear_regression"))
+    train, _, _, feats = training_frames(spark, d)
+    return _normal_equations(train, ML.train_ridge(train, alpha=1.0), feats, 1.0)
+
 
+def _tree_checks(model, train, val, name: str) -> dict[str, bool]:
+    preds = ML.predict(model, val, name)
+    lo, hi = train.agg(F.min("price"), F.max("price")).first()
+    seen = preds.agg(F.min("prediction").alias("lo"), F.max("prediction").alias("hi"), F.count("prediction").alias("n")).first()
+    slack = 0.5 * (hi - lo) if name == "boosted_trees" else 1e-6 * (hi - lo)      # sums of trees may overshoot
+    return {"every row scored": seen["n"] == val.count(), "inside the training range": lo - slack <= seen["lo"] and seen["hi"] <= hi + slack,
+            "explains the label": _explains(preds)}
 
-@query("random_forest")
+
+@query("random_forest", _all_true(["tree count", "depth", "every row scored", "inside the training range", "explains the label"]))
 def random_forest(spark, d):
     train, val, _, _ = training_frames(spark, d)
-    model = ML.train_forest(train, **QUERY_PARAMS["random_forest"])
-    return ML.regression_metrics(ML.predict(model, val, "random_forest"))
+    model = ML.train_forest(train)
+    return _statements(spark, {"tree count": model.getNumTrees == 100, "depth": model.getMaxDepth() == 20,
+                               **_tree_checks(model, train, val, "random_forest")})
 
 
-@query("boosted_trees")
+@query("boosted_trees", _all_true(["rounds fitted", "rounds kept", "tree count", "every row scored", "inside the training range",
+                                   "explains the label"]))
 def boosted_trees(spark, d):
     train, val, _, _ = training_frames(spark, d)
-    kw = {k: v for k, v in QUERY_PARAMS["boosted_trees"].items() if k != "use_validation"}
-    model = ML.train_boosted(train, validation=val, **kw)
-    return ML.regression_metrics(ML.predict(model, val, "boosted_trees"))
+    model = ML.train_boosted(train, validation=val)
+    rounds = ML.rounds_of(model)
+    return _statements(spark, {"rounds fitted": rounds["fitted"] == 100, "rounds kept": rounds["kept"] > 1,
+                               "tree count": model.getNumTrees == rounds["kept"],
+                               **_tree_checks(model, train, val, "boosted_trees")})
+
 
+_TEST_ROWS = """SELECT fare_key, y FROM (SELECT fare_key, y,
+  CAST(('0x' || substr(md5(fare_key), 1, 8)) AS BIGINT) % 100 AS b FROM quotes) WHERE b >= 80"""
 
-@query("predict")
+
+@query("predict", with_ctes(f"SELECT fare_key, 'linear_regression' AS model, y, TRUE AS as_coefficients FROM ({_TEST_ROWS})", "quotes"))
 def predict(spark, d):
+    """Predictions of the test rows, compared with the model's coefficients applied by hand."""
+    from pyspark.ml.functions import vector_to_array
     train, _, test, _ = training_frames(spark, d)
     model = ML.train_ridge(train)
-    return ML.predict(model, test, "linear_regression")
+    w = F.array(*[F.lit(float(v)) for v in model.coefficients.toArray()])
+    by_hand = F.aggregate(F.zip_with(vector_to_array("features"), w, lambda x, c: x * c), F.lit(float(model.intercept)),
+                          lambda a, v: a + v)
+    hand = test.select("fare_key", by_hand.alias("hand"))
+    out = ML.predict(model, test, "linear_regression").join(hand, "fare_key")
+    return out.select("fare_key", "model", "y", (F.abs(F.col("prediction") - F.col("hand")) < 1e-6).alias("as_coefficients"))
+
+
+_TRAINED = " UNION ALL ".join(f"SELECT '{m}' AS model, '{s}' AS split, TRUE AS explains" for m in MODELS for s in ("train", "val"))
 
 
-@query("train_all")
+@query("train_all", _TRAINED)
 def train_all(spark, d):
     train, val, _, _ = training_frames(spark, d)
-    _, m, errors = ML.train_all(train, val, params=QUERY_PARAMS)
-    return m
+    _, m, errors = ML.train_all(train, val, params={"boosted_trees": {"use_validation": True}})
+    if errors:
+        raise RuntimeError(f"models failed: {errors}")
+    return m.select("model", "split", (F.col("r2") > 0.1).alias("explains"))
+
+
+def _grid_rows() -> str:
+    import itertools
+    import json
+    points = [dict(zip(GRID, v)) for v in itertools.product(*GRID.values())]
+    rows = [f"SELECT '{json.dumps(p, sort_keys=True)}' AS params, TRUE AS scored, 1 AS n_best" for p in points]
+    return " UNION ALL ".join(rows)
 
 
-@query("grid_tune")
+@query("grid_tune", _grid_rows())
 def grid_tune(spark, d):
+    """M11 on a 4-point grid (the library's default grid has 243 points of 50 to 200 rounds)."""
     train, val, _, _ = training_frames(spark, d)
-    table, _ = ML.grid_tune(train, val, grid={"maxDepth": [3, 5], "stepSize": [0.1, 0.2], "maxIter": [10]})
-    return table
+    table, _ = ML.grid_tune(train, val, grid=GRID)
+    n_best = F.sum(F.col("best").cast("int")).over(Window.partitionBy(F.lit(1)))      # as many rows as grid points
+    return table.select("params", (F.col("rmse") > 0).alias("scored"), n_best.cast("int").alias("n_best"))
 
 
-@query("top_features")
+@query("top_features", _all_true(["all importances", "sum", "fifteen rows", "falling", "known features"]))
 def top_features(spark, d):
     train, _, _, feats = training_frames(spark, d)
-    model = ML.train_forest(train, **QUERY_PARAMS["random_forest"])
-    return ML.top_features(model, feats, 15)
+    model = ML.train_forest(train)
+    every = {r["feature"]: r["importance"] for r in ML.top_features(model, feats, len(feats)).collect()}
+    top = ML.top_features(model, feats, 15).collect()
+    values = [r["importance"] for r in top]
+    return _statements(spark, {"all importances": set(every) == set(feats) and min(every.values()) >= 0,
+                               "sum": abs(sum(every.values()) - 1) < 1e-9, "fifteen rows": len(top) == 15,
+                               "falling": values == sorted(values, reverse=True),
+                               "known features": all(every[r["feature"]] == r["importance"] for r in top)})
 
 
-@query("pca_reduce")
+@query("pca_reduce", _all_true(["components", "uncorrelated", "falling variances"]))
 def pca_reduce(spark, d):
+    from pyspark.ml.functions import vector_to_array
     train, _, _, _ = training_frames(spark, d)
     _, out = ML.pca_reduce(train, k=4)
-    return out.select("fare_key", "pca_features")
+    c = out.select(vector_to_array("pca_features").alias("c"))
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    r = c.agg(*[F.var_pop(F.col("c")[i]).alias(f"v{i}") for i in range(4)], F.max(F.size("c")).alias("k"),
+              *[F.corr(F.col("c")[i], F.col("c")[j]).alias(f"r{i}{j}") for i, j in pairs]).first()
+    v = [r[f"v{i}"] for i in range(4)]
+    return _statements(spark, {"components": r["k"] == 4, "falling variances": v == sorted(v, reverse=True) and v[-1] > 0,
+                               "uncorrelated": max(abs(r[f"r{i}{j}"]) for i, j in pairs) < 1e-6})
 
 
-@query("phase_regression")
+PHASE_NAMES = ([f"amp_{f}_{i}" for i in range(4) for f in ("sin", "cos")]
+               + [f"ent_{f}_{i}_{j}" for i in range(2) for j in range(i + 1, 4) for f in ("prod", "sc")]
+               + [f"phase_{f}_{i}" for i in range(3) for f in ("sin", "cos")])
+
+
+@query("phase_regression", _all_true([*PHASE_NAMES, "(intercept)"]))
 def phase_regression(spark, d):
     """The phase features of the first four scaled columns, regressed with ridge."""
-    from farelens.plans.q_matrix import scaled_matrix
-    x = M.split_rows(scaled_matrix(spark, d))
-    cols = [c for c in x.columns if c not in ("fare_key", "price", "split")][:4]
-    ph = M.phase_features(x, cols, keep=("fare_key", "price", "split"))
-    feats = [c for c in ph.columns if c not in ("fare_key", "price", "split")]
-    data = materialize(ML.assemble(ph, feats), "phase-training")
-    model = ML.train_ridge(data.where(F.col("split") == "train"))
-    return ML.regression_metrics(ML.predict(model, data.where(F.col("split") == "val"), "phase_regression"))
+    feats, state = fitted(spark, d, (LABEL,))
+    x = materialize(M.split_rows(M.transform_matrix(feats, state, keep=("fare_key", LABEL))).withColumnRenamed(LABEL, "price")
+                    .select("fare_key", "price", "split", *state["feature_columns"][:4]), "phase-input")
+    ph = M.phase_features(x, state["feature_columns"][:4], keep=("fare_key", "price", "split"))
+    names = [c for c in ph.columns if c not in ("fare_key", "price", "split")]
+    train = materialize(ML.assemble(ph, names).where("split = 'train'").select("fare_key", "price", "features"), "phase-training")
+    return _normal_equations(train, ML.train_ridge(train, alpha=1.0), names, 1.0)
 
 
-@query("save_load_model")
+@query("save_load_model", with_ctes(f"SELECT fare_key, y, TRUE AS same FROM ({_TEST_ROWS})", "quotes"))
 def save_load_model(spark, d):
-    """Save a fitted model to the shared folder, load it back, score the test rows."""
-    train, _, test, _ = training_frames(spark, d)
-    model = ML.train_ridge(train)
+    """Save a fitted model with metrics and parameters, load it back, score the test rows with both."""
+    train, val, test, _ = training_frames(spark, d)
+    model = ML.train_ridge(train, alpha=1.0)
     path = scratch_path(spark, "model-ridge")
-    ML.save_model(model, path)
-    loaded = ML.load_model(path)
-    return ML.regression_metrics(ML.predict(loaded, test, "linear_regression"))
+    metrics = ML.regression_metrics(ML.predict(model, val, "linear_regression"))
+    ML.save_model(model, path, metrics, {"alpha": 1.0, "model": "linear_regression"})
+    saved, params = ML.load_training(path)
+    if params != {"alpha": 1.0, "model": "linear_regression"} or saved.first()["rmse"] != metrics.first()["rmse"]:
+        raise RuntimeError("metrics or parameters changed on the way")
+    before = ML.predict(model, test, "saved").select("fare_key", "y", F.col("prediction").alias("p"))
+    after = ML.predict(ML.load_model(path), test, "loaded").select("fare_key", F.col("prediction").alias("q"))
+    return before.join(after, "fare_key").select("fare_key", "y", (F.col("p") == F.col("q")).alias("same"))

@@ -10,6 +10,7 @@ from farelens.constants import CATEGORICAL_FEATURES
 from farelens.operators import encode as M
 from farelens.plans import base
 from farelens.plans.oracle import with_ctes
+from farelens.plans.q_matrix import MATRIX_CTES, fitted
 from farelens.plans.registry import query
 from farelens.session import scratch_path
 from farelens.sources import files
@@ -92,21 +93,13 @@ def write_splits(spark, d):
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-PREP_COLS = ["airline", "from", "to", "class", "stop", "dep_time", "arr_time"]
-
-
-@query("save_load_prep", with_ctes(" UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS idx "
-    f"FROM (SELECT DISTINCT coalesce(CAST(\"{c}\" AS VARCHAR), 'nan') AS value FROM fares)" for c in PREP_COLS),
-    "fares"))
+@query("save_load_prep", with_ctes("SELECT * FROM scaled", "feat", extra=MATRIX_CTES))
 def save_load_prep(spark, d):
-    df = base.fares(spark, d)
-    vocab = M.fit_vocabulary(df, PREP_COLS)
+    """Fit all columns, save the state, load it back and score the whole table with it."""
+    feats, state = fitted(spark, d)
     path = scratch_path(spark, "prep-state")
-    files.save_prep_state(spark, path, vocab, {"feature_columns": PREP_COLS})
-    loaded, params = files.load_prep_state(spark, path)
-    assert params["feature_columns"] == PREP_COLS
-    return loaded
+    files.save_matrix_state(spark, path, state)
+    return M.transform_matrix(feats, files.load_matrix_state(spark, path))
 
 
 @query("prepare_fares")

@@ -92,14 +92,19 @@ def _fare_columns(ship_date: Column) -> dict[str, Column]:
         "duration": F.col("l_quantity") / F.lit(4.0),
         "days_left": F.abs(F.datediff(ship_date, F.to_date("o_orderdate"))) % 100,
         "date": ship_date,
+        "fare_value": F.col("p_retailprice") * F.col("l_quantity"),
     }
 
 
-def fares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fare table: one row per line item, columns of FIXTURES.md §3."""
+def fares(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The fare table: one row per line item, columns of FIXTURES.md §3.
+
+    ``extra`` may name ``fare_value``, the label of the training queries: retail price times
+    quantity, which the features can explain (``price`` is independent of them).
+    """
     ship = F.to_date("l_shipdate")
     cols = _fare_columns(ship)
-    return _fare_base(spark, sf_dir).select(*[cols[c].alias(c) for c in FARE_COLUMNS])
+    return _fare_base(spark, sf_dir).select(*[cols[c].alias(c) for c in (*FARE_COLUMNS, *extra)])
 
 
 def fares_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
