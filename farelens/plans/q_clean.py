@@ -55,10 +55,14 @@ def format_duration(spark, d):
 
 
 @query("parse_dmy_date", with_ctes("""
-SELECT fare_key, ggldate, CAST(try_strptime(ggldate, '%d-%m-%Y') AS DATE) AS date FROM business_file""",
-                                   "business_file"))
+SELECT fare_key, ggldate AS date_text, CAST(try_strptime(ggldate, '%d-%m-%Y') AS DATE) AS date FROM business_file
+UNION ALL
+SELECT fare_key, date AS date_text, CAST(try_strptime(date, '%d-%m-%Y') AS DATE) AS date FROM economy_file""",
+                                   "business_file", "economy_file"))
 def parse_dmy_date(spark, d):
-    return P.parse_dates(tables.business_file(spark, d), "ggldate").select("fare_key", "ggldate", "date")
+    business = tables.business_file(spark, d).select("fare_key", F.col("ggldate").alias("date_text"))
+    economy = tables.economy_file(spark, d).select("fare_key", F.col("date").alias("date_text"))
+    return P.parse_dates(business.unionAll(economy), "date_text").select("fare_key", "date_text", "date")
 
 
 @query("parse_price_text", with_ctes("""

@@ -13,7 +13,7 @@ from farelens.plans.oracle import with_ctes
 from farelens.plans.q_matrix import MATRIX_CTES, fitted
 from farelens.plans.registry import query
 from farelens.session import scratch_path
-from farelens.sources import files
+from farelens.sources import files, tables
 from farelens.sources.calendar import build_calendar, spine_from_range
 
 _TWO_PI = repr(2 * math.pi)
@@ -33,7 +33,8 @@ def date_spine(spark, d):
 
 
 def _fare_years(spark, d):
-    return base.fares(spark, d).select(F.year("date").alias("year")).distinct()
+    """Years with fares, from the one column that holds the date (no fare join)."""
+    return tables.table(spark, d, "lineitem", "l_shipdate").select(F.year(F.to_date("l_shipdate")).alias("year")).distinct()
 
 
 CAL_COLS = ["seq", "date", "holiday_name", "is_national_holiday", "holiday_type", "year", "holiday_impact_score"]
@@ -46,6 +47,17 @@ def build_calendar_q(spark, d):
     return build_calendar(spark).join(_fare_years(spark, d), "year", "left_semi").select(*CAL_COLS)
 
 
+@query("scan_calendar", with_ctes("""
+SELECT date, holiday_name, is_national_holiday, holiday_type, year, holiday_impact_score FROM cal
+WHERE year IN (SELECT DISTINCT CAST(year(date) AS INTEGER) FROM fares)""", "fares", "cal"))
+def scan_calendar(spark, d):
+    """S3: the calendar of the fares' years, written as the holiday file and read back with its schema."""
+    path = scratch_path(spark, "calendar-csv")
+    cols = [f.name for f in files.CALENDAR_FILE_SCHEMA.fields]
+    build_calendar_q(spark, d).select(*cols).write.option("header", True).csv(path)
+    return files.read_calendar(spark, path).select(*cols)
+
+
 @query("union_calendar", with_ctes("""
 SELECT holiday_type, count(*) AS n FROM cal
 WHERE year IN (SELECT DISTINCT CAST(year(date) AS INTEGER) FROM fares) GROUP BY holiday_type""", "fares", "cal"))
