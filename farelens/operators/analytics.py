@@ -128,7 +128,8 @@ def best_window(window_stats: DataFrame, by=("route",)) -> DataFrame:
 
 # ---------------------------------------------------------------- A5
 def holiday_stats(df: DataFrame, by=("route",)) -> DataFrame:
-    """A5: mean price on holidays and other days, % increase (0 unless both exist), season means."""
+    """A5: mean and deviation of the price on holidays and other days, in and off season, and the
+    % increase on holidays (0 unless both kinds of day exist)."""
     hol, sea = F.col("is_holiday"), F.col("is_holiday_season")
     p = F.col("price")
     g = df.groupBy(*by).agg(
@@ -136,6 +137,8 @@ def holiday_stats(df: DataFrame, by=("route",)) -> DataFrame:
         F.sum(F.when(~hol, cents(p))).alias("sn"), F.count(F.when(~hol, p)).alias("n_normal"),
         F.sum(F.when(sea, cents(p))).alias("ss"), F.count(F.when(sea, p)).alias("n_season"),
         F.sum(F.when(~sea, cents(p))).alias("so"), F.count(F.when(~sea, p)).alias("n_off_season"),
+        *[F.round(F.stddev_samp(F.when(c, p)), 2).alias(f"std_{k}") for k, c in (
+            ("holiday", hol), ("normal", ~hol), ("season", sea), ("off_season", ~sea))],
     )
     mh = F.when(F.col("n_holiday") > 0, mean_from_cents(F.col("sh"), F.col("n_holiday")))
     mn = F.when(F.col("n_normal") > 0, mean_from_cents(F.col("sn"), F.col("n_normal")))
@@ -145,6 +148,7 @@ def holiday_stats(df: DataFrame, by=("route",)) -> DataFrame:
         .alias("holiday_price_increase_pct"),
         F.when(F.col("n_season") > 0, mean_from_cents(F.col("ss"), F.col("n_season"))).alias("mean_season"),
         F.when(F.col("n_off_season") > 0, mean_from_cents(F.col("so"), F.col("n_off_season"))).alias("mean_off_season"),
+        "std_holiday", "std_normal", "std_season", "std_off_season",
     )
 
 

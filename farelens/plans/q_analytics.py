@@ -86,8 +86,12 @@ SELECT route, mean_holiday, mean_normal, n_holiday, n_normal,
        CASE WHEN mean_holiday IS NOT NULL AND mean_normal IS NOT NULL
             THEN round((mean_holiday - mean_normal) / mean_normal * 100, 6) ELSE 0.0 END
          AS holiday_price_increase_pct,
-       mean_season, mean_off_season
-FROM (SELECT route,
+       mean_season, mean_off_season, round(sh, 2) AS std_holiday, round(sn, 2) AS std_normal,
+       round(ss, 2) AS std_season, round(so, 2) AS std_off_season
+FROM (SELECT route, stddev_samp(CASE WHEN is_holiday THEN price END) AS sh,
+        stddev_samp(CASE WHEN NOT is_holiday THEN price END) AS sn,
+        stddev_samp(CASE WHEN is_holiday_season THEN price END) AS ss,
+        stddev_samp(CASE WHEN NOT is_holiday_season THEN price END) AS so,
         {_cond_mean('is_holiday', 'count(CASE WHEN is_holiday THEN price END)')} AS mean_holiday,
         {_cond_mean('NOT is_holiday', 'count(CASE WHEN NOT is_holiday THEN price END)')} AS mean_normal,
         count(CASE WHEN is_holiday THEN price END) AS n_holiday,
