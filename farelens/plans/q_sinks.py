@@ -10,6 +10,7 @@ from farelens.constants import CATEGORICAL_FEATURES
 from farelens.operators import encode as M
 from farelens.plans import base
 from farelens.plans.oracle import with_ctes
+from farelens.plans.q_clean import CLEAN_SQL
 from farelens.plans.q_matrix import MATRIX_CTES, fitted
 from farelens.plans.registry import query
 from farelens.session import scratch_path
@@ -114,7 +115,9 @@ def save_load_prep(spark, d):
     return M.transform_matrix(feats, files.load_matrix_state(spark, path))
 
 
-@query("prepare_fares")
+@query("prepare_fares", f"""
+SELECT CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'val' ELSE 'test' END AS split, count(*) AS n
+FROM (SELECT CAST(('0x' || substr(md5(fare_key), 1, 8)) AS BIGINT) % 100 AS b FROM ({CLEAN_SQL}) c) GROUP BY 1""")
 def prepare_fares(spark, d):
     """M6 over the dirty fare table: the written, split, scaled feature matrix (row counts per split)."""
     from farelens.plans.prep import prepare
