@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -125,19 +126,22 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def maybe_listed_ids(table: np.ndarray, ids: pa.Array) -> pa.BooleanArray:
+    """Which ids may be listed in the filter; a null id never is."""
+    ok = ids.is_valid().to_numpy(zero_copy_only=False).copy()
+    for slot in _filter_slots(ids.fill_null(0).to_numpy()):
+        ok &= (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+    return pa.array(ok)
+
+
 def maybe_listed(rows: DataFrame, id_col: str, table: np.ndarray, keep: bool = True) -> DataFrame:
     """Rows whose id may be listed in the filter, or with ``keep=False`` the others (null ids too)."""
     sent = rows.sparkSession.sparkContext.broadcast(table)
     at = rows.columns.index(id_col)
 
     def choose(batches):
-        bits = sent.value
         for batch in batches:
-            ids = batch.column(at)
-            ok = np.ones(len(ids), bool)
-            for slot in _filter_slots(ids.fill_null(0).to_numpy()):
-                ok &= (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-            ok &= ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(ok == keep))
+            ok = maybe_listed_ids(sent.value, batch.column(at))
+            yield batch.filter(ok if keep else pc.invert(ok))
 
     return rows.mapInArrow(choose, rows.schema)

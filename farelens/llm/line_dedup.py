@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from farelens.llm.frequency import id_filter, maybe_listed, maybe_listed_ids
 from farelens.llm.scratch import shuffle_partitions, write_once
 from farelens.llm.words import _SPACE, blocks, mix, replace_text, run_hashes, span_hashes, text_buffer, with_text
 
@@ -141,8 +142,16 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, min_lines: int, report
     places = write_once(_places(judged, min_lines), "line-contexts")
     known = places.where("repeat").select("doc_id", "fp", "line")
     found = known.unionAll(_later(places.where("not repeat").select("context", "doc_id", "fp", "line")))
-    per_doc = found.groupBy("doc_id", "fp").agg(F.collect_list("line").alias("starts"))
-    joined = base.select("doc_id", "fp", "row").join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "starts", "row")
+    per_doc = write_once(found.groupBy("doc_id", "fp").agg(F.collect_list("line").alias("starts")), "repeated-lines")
+    # only documents that may be listed are shuffled to meet their repeats; the others are done at once
+    table = id_filter(per_doc.select("doc_id"))
+    rows = base.select("doc_id", "fp", "row")
+    listed = maybe_listed(rows, "doc_id", table).join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "starts", "row")
+    others = rows.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), "row")
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def apply_others(batches):
+        return apply(b.filter(pc.invert(maybe_listed_ids(sent.value, b.column(0)))) for b in batches)
 
     def apply(batches):
         for batch in batches:
@@ -171,8 +180,10 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, min_lines: int, report
                     yield pa.record_batch([replace_text(block.column("row"), at_text, gone > 0, texts)], ["row"])
 
     if report:
-        return joined.mapInArrow(apply, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
-    return joined.mapInArrow(apply, T.StructType([T.StructField("row", base.schema["row"].dataType)])).select("row.*")
+        schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
+        return listed.mapInArrow(apply, schema).unionByName(others.mapInArrow(apply_others, schema))
+    schema = T.StructType([T.StructField("row", base.schema["row"].dataType)])
+    return listed.mapInArrow(apply, schema).unionByName(others.mapInArrow(apply_others, schema)).select("row.*")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:

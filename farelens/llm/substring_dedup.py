@@ -19,9 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from farelens.llm.frequency import id_filter, maybe_listed, maybe_listed_ids
 from farelens.llm.scratch import shuffle_partitions, write_once
 from farelens.llm.words import Words, blocks, find_words, mix, replace_text, run_hashes, with_text
 
@@ -31,7 +33,7 @@ _RANGE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructFie
 _ARROW_BUCKET = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
 _ARROW_RANGE = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("ranges", pa.binary())])
 FLUSH_BYTES = 8 << 20     # packed text that a map task holds
-BUCKET_BYTES = 16 << 20   # packed text aimed at per bucket
+BUCKET_BYTES = 8 << 20    # packed text aimed at per bucket
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -284,7 +286,15 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int
                        F.col(text_col).alias("text"), row.alias("row"))
     found = write_once(repeated_ranges(base, window, seed, buckets), "repeated-windows")
     per_doc = found.groupBy("doc_id", "fp").agg(F.collect_list("ranges").alias("ranges"))
-    joined = base.select("doc_id", "fp", "row").join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "ranges", "row")
+    # only documents that may be listed are shuffled to meet their repeats; the others are done at once
+    table = id_filter(per_doc.select("doc_id"))
+    rows = base.select("doc_id", "fp", "row")
+    listed = maybe_listed(rows, "doc_id", table).join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "ranges", "row")
+    others = rows.select("doc_id", F.lit(None).cast("array<binary>").alias("ranges"), "row")
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def apply_others(batches):
+        return apply(b.filter(pc.invert(maybe_listed_ids(sent.value, b.column(0)))) for b in batches)
 
     def apply(batches):
         for batch in batches:
@@ -301,8 +311,10 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int
                     yield pa.record_batch([replace_text(block.column("row"), at, n != kept, texts)], ["row"])
 
     if report:
-        return joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return joined.mapInArrow(apply, T.StructType([T.StructField("row", base.schema["row"].dataType)])).select("row.*")
+        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+        return listed.mapInArrow(apply, schema).unionByName(others.mapInArrow(apply_others, schema))
+    schema = T.StructType([T.StructField("row", base.schema["row"].dataType)])
+    return listed.mapInArrow(apply, schema).unionByName(others.mapInArrow(apply_others, schema)).select("row.*")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
