@@ -39,8 +39,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated runs of two or more lines; one that loses all lines stays, empty."""
-    return _recount(line_dedup(docs, min_lines=2))
+    """Documents without repeated runs of two or more lines, or of one line of 20 bytes or more; one that
+    loses all lines stays, empty."""
+    return _recount(line_dedup(docs, min_lines=2, min_bytes=20))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ hashes. Every run of ``min_lines`` lines selects the smallest hash in it as a fi
 documents that share such a run are bound to share the fingerprint at the same place of the run.
 Occurrences of a fingerprint are joined by position: around each, the match with the earliest
 equal context is extended to both sides, and a run that started earlier elsewhere is deleted here.
-Longer runs are chains of overlapping matches, so they are covered whatever their length.
+Longer runs are chains of overlapping matches, so they are covered whatever their length. A line of
+``min_bytes`` or more is also a run by itself, so a long line is found without its neighbours.
 
 Scale: within a map task only the earliest occurrence of a context travels; its later ones are
 known repeats at once. A boilerplate run in a third of all documents therefore costs one row per
@@ -26,7 +27,8 @@ from farelens.llm.scratch import shuffle_partitions, write_once
 from farelens.llm.words import _SPACE, blocks, mix, replace_text, run_hashes, span_hashes, text_buffer, with_text
 
 FLUSH_WINDOWS = 500_000
-_PLACES = pa.schema([("context", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("line", pa.int32()),
+_ALONE = np.uint64(0xA24BAED4963EE407)    # keeps lone lines apart from runs
+_PLACES = pa.schema([("context", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("run", pa.int32()),
                      ("repeat", pa.bool_())])
 
 
@@ -42,8 +44,9 @@ class Lines:
         a, b = np.searchsorted(ink, self.starts), np.searchsorted(ink, self.ends)
         self.filled = np.flatnonzero(b > a)
         self.filled_first = np.searchsorted(self.filled, self.first)
-        self.hashes = span_hashes(self.data, ink[a[self.filled]], ink[b[self.filled] - 1] + 1) if len(self.filled) \
-            else np.zeros(0, np.uint64)
+        lo, hi = ink[a[self.filled]], ink[b[self.filled] - 1] + 1
+        self.sizes = hi - lo
+        self.hashes = span_hashes(self.data, lo, hi) if len(self.filled) else np.zeros(0, np.uint64)
 
 
 def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -59,45 +62,51 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _contexts(lines: Lines, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context hash, document, first line) of each run, keyed by its fingerprint and both sides."""
+def _contexts(lines: Lines, width: int, min_bytes: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context hash, document, run) of each run, keyed by its fingerprint and both sides.
+
+    ``run`` is twice the first line, plus one for a lone line of at least ``min_bytes``.
+    """
     h = lines.hashes
-    if len(h) < width:
-        empty = np.zeros(0, np.int64)
-        return empty.view(np.uint64), empty, empty
     fingerprint = winnow(h, width)
     runs = np.arange(len(fingerprint))
     doc = np.searchsorted(lines.filled_first, runs, side="right") - 1
     inside = runs + width <= lines.filled_first[doc + 1]
     # a run is its fingerprint plus what lies on each side of it within the window
-    context = mix(h[fingerprint] ^ run_hashes(h, width) + (fingerprint - runs).astype(np.uint64))
+    context = mix(h[fingerprint] ^ run_hashes(h, width) + (fingerprint - runs).astype(np.uint64))[inside]
     runs, doc = runs[inside], doc[inside]
-    return context[inside], doc, runs - lines.filled_first[doc]
+    run = 2 * (runs - lines.filled_first[doc])
+    if min_bytes is None:
+        return context, doc, run
+    long = np.flatnonzero(lines.sizes >= min_bytes)
+    of = np.searchsorted(lines.filled_first, long, side="right") - 1
+    return (np.concatenate([context, mix(h[long] ^ _ALONE)]), np.concatenate([doc, of]),
+            np.concatenate([run, 2 * (long - lines.filled_first[of]) + 1]))
 
 
-def _places(docs: DataFrame, width: int) -> DataFrame:
+def _places(docs: DataFrame, width: int, min_bytes: int | None) -> DataFrame:
     """Earliest place of each context per task, and later places in the task as repeats."""
 
     def run(batches):
         held: list[np.ndarray] = []
 
         def flush():
-            context, doc, fp, line = np.concatenate(held, axis=1)
+            context, doc, fp, first = np.concatenate(held, axis=1)
             held.clear()
-            order = np.lexsort((line, fp, doc, context))
-            context, doc, fp, line = context[order], doc[order], fp[order], line[order]
+            order = np.lexsort((first, fp, doc, context))
+            context, doc, fp, first = context[order], doc[order], fp[order], first[order]
             lead = np.concatenate([[True], context[1:] != context[:-1]])
             head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-            moved = (doc != doc[head]) | (fp != fp[head]) | (line != line[head])
+            moved = (doc != doc[head]) | (fp != fp[head]) | (first != first[head])
             keep = lead | moved
-            return pa.record_batch([pa.array(x[keep]) for x in (context, doc, fp, line.astype(np.int32), moved)], schema=_PLACES)
+            return pa.record_batch([pa.array(x[keep]) for x in (context, doc, fp, first.astype(np.int32), moved)], schema=_PLACES)
 
         n = 0
         for batch in batches:
             for block in blocks(batch, "text"):
-                context, doc, line = _contexts(Lines(block.column("text")), width)
+                context, doc, first = _contexts(Lines(block.column("text")), width, min_bytes)
                 held.append(np.stack([context.view(np.int64), block.column("doc_id").to_numpy()[doc],
-                                      block.column("fp").to_numpy()[doc], line]))
+                                      block.column("fp").to_numpy()[doc], first]))
                 n += len(context)
                 if n >= FLUSH_WINDOWS:
                     yield flush()
@@ -105,14 +114,14 @@ def _places(docs: DataFrame, width: int) -> DataFrame:
         if n:
             yield flush()
 
-    return docs.mapInArrow(run, "context long, doc_id long, fp long, line int, repeat boolean")
+    return docs.mapInArrow(run, "context long, doc_id long, fp long, run int, repeat boolean")
 
 
 def _later(places: DataFrame) -> DataFrame:
     """Places that are not the earliest of their context over all tasks."""
 
     def run(batches):
-        last = None          # (context, doc, fp, line) of the earliest place of the current context
+        last = None          # (context, doc, fp, run) of the earliest place of the current context
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -123,31 +132,34 @@ def _later(places: DataFrame) -> DataFrame:
             lead = np.concatenate([[True], context[1:] != context[:-1]])
             head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
             moved = (cols[1] != cols[1][head]) | (cols[2] != cols[2][head]) | (cols[3] != cols[3][head])
-            yield pa.record_batch([pa.array(c[moved]) for c in cols[1:]], ["doc_id", "fp", "line"])
+            yield pa.record_batch([pa.array(c[moved]) for c in cols[1:]], ["doc_id", "fp", "run"])
             last = [c[head[-1]] for c in cols]
 
     n = shuffle_partitions(places.sparkSession)
-    return (places.repartition(n, "context").sortWithinPartitions("context", "doc_id", "fp", "line")
-            .mapInArrow(run, "doc_id long, fp long, line int"))
+    return (places.repartition(n, "context").sortWithinPartitions("context", "doc_id", "fp", "run")
+            .mapInArrow(run, "doc_id long, fp long, run int"))
 
 
-def _rewrite(docs: DataFrame, id_col: str, text_col: str, min_lines: int, report: bool) -> DataFrame:
+def _rewrite(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_bytes: int | None,
+             report: bool) -> DataFrame:
     if min_lines < 1:
         raise ValueError("min_lines must be positive")
+    if min_bytes is not None and min_bytes < 1:
+        raise ValueError("min_bytes must be positive")
     row = F.struct(F.col(text_col).alias("text")) if report else F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     at_text = 0 if report else docs.columns.index(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("fp"),
                        F.col(text_col).alias("text"), row.alias("row"))
     judged = base.where("doc_id is not null and text is not null").select("doc_id", "fp", "text")
-    places = write_once(_places(judged, min_lines), "line-contexts")
-    known = places.where("repeat").select("doc_id", "fp", "line")
-    found = known.unionAll(_later(places.where("not repeat").select("context", "doc_id", "fp", "line")))
-    per_doc = write_once(found.groupBy("doc_id", "fp").agg(F.collect_list("line").alias("starts")), "repeated-lines")
+    places = write_once(_places(judged, min_lines, min_bytes), "line-contexts")
+    known = places.where("repeat").select("doc_id", "fp", "run")
+    found = known.unionAll(_later(places.where("not repeat").select("context", "doc_id", "fp", "run")))
+    per_doc = write_once(found.groupBy("doc_id", "fp").agg(F.collect_list("run").alias("runs")), "repeated-lines")
     # only documents that may be listed are shuffled to meet their repeats; the others are done at once
     table = id_filter(per_doc.select("doc_id"))
     rows = base.select("doc_id", "fp", "row")
-    listed = maybe_listed(rows, "doc_id", table).join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "starts", "row")
-    others = rows.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), "row")
+    listed = maybe_listed(rows, "doc_id", table).join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "runs", "row")
+    others = rows.select("doc_id", F.lit(None).cast("array<int>").alias("runs"), "row")
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def apply_others(batches):
@@ -159,11 +171,12 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, min_lines: int, report
                 lines = Lines(block.column("text"))
                 n = np.diff(lines.first)
                 step = np.zeros(len(lines.filled) + 1, np.int64)
-                lists = block.column("starts")
+                lists = block.column("runs")
                 doc = np.repeat(np.arange(block.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-                at = lists.flatten().to_numpy() + lines.filled_first[doc]
+                runs = lists.flatten().to_numpy()
+                at = (runs >> 1) + lines.filled_first[doc]
                 np.add.at(step, at, 1)
-                np.add.at(step, at + min_lines, -1)
+                np.add.at(step, at + np.where(runs & 1, 1, min_lines), -1)
                 removed = np.zeros(len(lines.ends), bool)
                 removed[lines.filled[np.cumsum(step[:-1]) > 0]] = True
                 gone = np.add.reduceat(np.append(removed, False).astype(np.int64), lines.first[:-1])
@@ -186,9 +199,13 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, min_lines: int, report
     return listed.mapInArrow(apply, schema).unionByName(others.mapInArrow(apply_others, schema)).select("row.*")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
+               min_bytes: int | None = None) -> DataFrame:
     """``docs`` without the lines covered by a run of ``min_lines`` lines that also starts earlier.
 
+    With ``min_bytes``, a line of at least so many bytes (UTF-8, without outer white space) is a run
+    by itself whatever stands beside it; shorter lines still need neighbours.
+
     Earlier means a smaller id, or the same document and an earlier line; runs are judged on the
     input, on lines without their outer white space, and skip blank lines, which are kept. A text
     that loses lines holds the others joined by line feeds; rows and other columns stay. Lines are
@@ -199,10 +216,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ordered by a hash of the text; an empty table gives an empty result; other columns may have any
     name.
     """
-    return _rewrite(docs, id_col, text_col, min_lines, report=False)
+    return _rewrite(docs, id_col, text_col, min_lines, min_bytes, report=False)
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
+                min_bytes: int | None = None) -> DataFrame:
     """What ``line_dedup`` keeps, per row: ``doc_id``, ``n_lines``, ``n_removed`` and
     ``kept_sha256`` (of the kept lines joined by line feeds, in UTF-8)."""
-    return _rewrite(docs, id_col, text_col, min_lines, report=True)
+    return _rewrite(docs, id_col, text_col, min_lines, min_bytes, report=True)

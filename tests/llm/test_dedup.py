@@ -83,6 +83,37 @@ def test_line_report(odd_docs, odd_rows, width):
     assert Counter(map(tuple, line_report(odd_docs, min_lines=width).collect())) == want
 
 
+@pytest.mark.parametrize("width,min_bytes", [(2, 20), (3, 40), (2, 1), (1, 20)])
+def test_lone_long_lines(spark, odd_rows, width, min_bytes):
+    long, one, short = "a long line that stands alone " * 4, "a page of one line " * 9, "short line"
+    rows = [(r[0], r[1]) for r in odd_rows]
+    rows += [(300, f"x\n{long}\ny"), (301, f"p\n {long}\t\nq\n{long}"), (302, f"u\n{short}\nv\n{short}"),
+             (303, f"w\n{short}"), (304, one), (305, one), (306, f"{one}\n\n"), (307, f"k\n{long}\n{one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+    def filled(t):
+        return [(k, x) for k, x in enumerate(line.strip(" \t\v\f\r") for line in t.split("\n")) if x]
+
+    judged = [((i, t), [x for _, x in filled(t)]) for i, t in _distinct(rows)]
+    runs, alone, want = _covered(judged, width), _covered(judged, 1), Counter()
+    size = {key: [len(x.encode()) for x in seq] for key, seq in judged}
+    for i, t in rows:
+        lines = t.split("\n") if t else []
+        hit = runs.get((i, t), set()) | {k for k in alone.get((i, t), ()) if size[i, t][k] >= min_bytes}
+        gone = {filled(t)[k][0] for k in hit}
+        want[i, len(lines), len(gone), _sha("\n".join(x for k, x in enumerate(lines) if k not in gone).encode())] += 1
+    got = line_report(docs, min_lines=width, min_bytes=min_bytes)
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def test_pipeline_stage_drops_lone_long_lines(spark):
+    from corpus_pipeline import drop_repeated_lines
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, f"x\n{long}\ny"), (2, f"p\n{long}\nq"), (3, long), (4, "p\nz"), (5, "one\nz")]
+    out = drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "p\nq", 3: "", 4: "p\nz", 5: "one\nz"}
+
+
 def test_line_rewrite(odd_docs, no_docs):
     out = line_dedup(odd_docs)
     assert out.dtypes == odd_docs.dtypes and out.count() == odd_docs.count()
