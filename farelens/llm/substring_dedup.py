@@ -188,12 +188,11 @@ def _repeats(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
     place = start[lead] + within[by]
     rank = np.lexsort((place, fp[lead], doc[lead], group))
     g = group[rank]
-    not_first = np.ones(len(g), bool)
-    not_first[np.flatnonzero(np.diff(g, prepend=-1))] = False
-    # the same place seen twice (rows repeated in the input) is one window, not a repeat of itself
-    if len(g) > 1:
-        d, f, p = doc[lead][rank], fp[lead][rank], place[rank]
-        not_first[1:] &= ~((g[1:] == g[:-1]) & (d[1:] == d[:-1]) & (f[1:] == f[:-1]) & (p[1:] == p[:-1]) & ~not_first[:-1])
+    # the first place of a group seen again (rows repeated in the input) is one window, not a repeat of itself
+    new = np.diff(g, prepend=-1) != 0
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    d, f, p = doc[lead][rank], fp[lead][rank], place[rank]
+    not_first = (d != d[head]) | (f != f[head]) | (p != p[head])
     late = np.sort(by[rank][not_first])
     run_lo, run_hi = _ranges_of(late + text_of[late])       # a gap between texts separates their runs
     t = text_of[late][np.searchsorted(late + text_of[late], run_lo)] if len(late) else run_lo

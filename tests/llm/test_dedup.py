@@ -52,6 +52,19 @@ def test_substring_report(odd_docs, odd_rows, window, seed, buckets):
     assert Counter(map(tuple, got)) == want
 
 
+def test_substring_rows_repeated_over_partitions(spark):
+    """A row that reaches a bucket from five tasks keeps its words; a later row still loses its copy."""
+    from pyspark.sql import functions as F
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = spark.range(5, numPartitions=5).select(F.lit(7).alias("doc_id"), F.lit(text).alias("text"))
+    later = spark.range(3, numPartitions=3).select(F.lit(9).alias("doc_id"), F.lit(f"own {text} end").alias("text"))
+    docs = rows.unionAll(later)
+    assert docs.rdd.getNumPartitions() == 8
+    assert Counter(map(tuple, substring_dedup(docs).collect())) == Counter({(7, text): 5, (9, "own end"): 3})
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_report(docs).collect())
+    assert got == Counter({(7, 60, 0): 5, (9, 62, 60): 3})
+
+
 def test_substring_rewrite_keeps_rows_and_columns(odd_docs, no_docs):
     out = substring_dedup(odd_docs)
     assert out.dtypes == odd_docs.dtypes and out.count() == odd_docs.count()
