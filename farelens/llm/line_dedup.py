@@ -1,10 +1,11 @@
-"""Removal of repeated runs of lines by winnowing.
+"""Removal of repeated runs of lines by exact grouping of all their windows.
 
 The lines of a document (blank ones skipped, outer white space ignored) are a sequence of 64-bit
-hashes. Every run of ``min_lines`` lines selects the smallest hash in it as a fingerprint, so two
-documents that share such a run are bound to share the fingerprint at the same place of the run.
-Occurrences of a fingerprint are joined by position: around each, the match with the earliest
-equal context is extended to both sides, and a run that started earlier elsewhere is deleted here.
+hashes. Every run of ``min_lines`` lines becomes one row keyed by a hash of the whole run; rows with
+equal keys are grouped, and every place of a run but the earliest is deleted. Nothing is selected
+and no match is extended: the winnowed minimum (``winnow``) only enters the key. Posting the minima
+alone would save a third of the rows at best for runs of two lines, and would need the neighbours of
+each place, in a join, to tell which lines around it match.
 Longer runs are chains of overlapping matches, so they are covered whatever their length. A line of
 ``min_bytes`` or more is also a run by itself, so a long line is found without its neighbours.
 
@@ -63,7 +64,7 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def _contexts(lines: Lines, width: int, min_bytes: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context hash, document, run) of each run, keyed by its fingerprint and both sides.
+    """(context hash, document, run) of each run, keyed by a hash of all its lines.
 
     ``run`` is twice the first line, plus one for a lone line of at least ``min_bytes``.
     """
@@ -72,7 +73,7 @@ def _contexts(lines: Lines, width: int, min_bytes: int | None) -> tuple[np.ndarr
     runs = np.arange(len(fingerprint))
     doc = np.searchsorted(lines.filled_first, runs, side="right") - 1
     inside = runs + width <= lines.filled_first[doc + 1]
-    # a run is its fingerprint plus what lies on each side of it within the window
+    # the hash of the whole run decides; the minimum and its offset follow from the same lines
     context = mix(h[fingerprint] ^ run_hashes(h, width) + (fingerprint - runs).astype(np.uint64))[inside]
     runs, doc = runs[inside], doc[inside]
     run = 2 * (runs - lines.filled_first[doc])
@@ -209,7 +210,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Earlier means a smaller id, or the same document and an earlier line; runs are judged on the
     input, on lines without their outer white space, and skip blank lines, which are kept. A text
     that loses lines holds the others joined by line feeds; rows and other columns stay. Lines are
-    compared by 64-bit hashes, runs by their fingerprint and both sides of it.
+    compared by 64-bit hashes, runs by a hash over those of their lines.
 
     Defined cases: a null or empty text has no lines and stays; a row with a null id is kept whole;
     rows equal in id and text count as one document; rows that share an id but not the text are
