@@ -175,3 +175,98 @@ r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, u
 SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reached) AS component_id
 FROM r LEFT JOIN n ON r.id = n.doc_id GROUP BY r.id
 """
+
+
+@_query
+def op11_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth row of ``embeddings`` for its five best positives."""
+    from farelens.llm.bond import hard_negatives
+    own = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=own)
+
+
+SQL["op11_bond_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+             CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM (SELECT anchor_id, other_id AS positive_id, score AS positive_score,
+                            row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS n FROM s WHERE same) WHERE n <= 5),
+w AS (SELECT p.anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+        AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 10
+"""
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and verification of every row of ``documents``; half of them present a tampered text."""
+    from farelens.llm.merkle import merkle_report
+    return merkle_report(_table(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang", "n_chars", "text"],
+                         tampered={"text": F.replace(F.col("text"), F.lit("\n"), F.lit(""))},
+                         where=F.crc32(F.col("doc_id").cast("string")) % 2 == 0).withColumnRenamed("id", "doc_id")
+
+
+# crc32 of the decimal id: bytes folded one by one with eight shifts each; its lowest bit is flipped at the end
+_CRC_EVEN = ("(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), "
+             "lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda r, i: "
+             "CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) % 2 = 1)")
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree_sql(levels: str, leaves: str) -> str:
+    """Every level of the trees over ``leaves`` (t, k, h), three nodes to a parent; n is the size of the level."""
+    return f"""
+{levels}(t, l, k, h, n) AS (
+  SELECT t, 0, k, h, count(*) OVER (PARTITION BY t) FROM {leaves}
+  UNION ALL
+  SELECT t, max(l) + 1, k // 3, sha256(string_agg(h, '' ORDER BY k)), count(*) OVER (PARTITION BY t)
+  FROM {levels} WHERE n > 1 GROUP BY t, k // 3)"""
+
+
+SQL["op12_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('s' || source, '') AS t, {_leaf_sql('text')} AS leaf,
+         {_leaf_sql("replace(text, chr(10), '')")} AS changed, coalesce({_CRC_EVEN}, FALSE) AS tampered FROM documents),
+i AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM d),
+a0 AS (SELECT t, k, leaf AS h FROM i),{_tree_sql("a", "a0")},
+sub AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS k FROM a WHERE n = 1),
+b0 AS (SELECT '' AS t, k, h FROM sub),{_tree_sql("b", "b0")},
+nodes AS (SELECT t, l, k, h FROM a UNION ALL SELECT 'top', l, k, h FROM b),
+runs AS (SELECT t, l, k // 3 AS p, list(struct_pack(k := k, h := h) ORDER BY k) AS ks FROM nodes GROUP BY t, l, k // 3),
+tops AS (SELECT t, max(l) AS top FROM nodes GROUP BY t),
+c(kk, t, own, l, k, h, proof) AS (
+  SELECT i.t || '|' || i.k, i.t, i.t, 0, i.k, CASE WHEN tampered THEN changed ELSE leaf END, '' FROM i
+  UNION ALL
+  SELECT * FROM (
+    SELECT c.kk, c.t, c.own, c.l + 1, c.k // 3,
+           sha256(array_to_string(list_transform(r.ks, lambda x: CASE WHEN x.k = c.k THEN c.h ELSE x.h END), '')),
+           c.proof || array_to_string(list_transform(list_filter(r.ks, lambda x: x.k <> c.k), lambda x: x.h), '')
+    FROM c JOIN tops ON c.t = tops.t AND c.l < tops.top JOIN runs r ON r.t = c.t AND r.l = c.l AND r.p = c.k // 3
+    UNION ALL
+    SELECT c.kk, 'top', c.own, 0, sub.k, c.h, c.proof
+    FROM c JOIN tops ON c.t = tops.t AND c.l = tops.top AND c.t <> 'top' JOIN sub ON sub.t = c.t)),
+f AS (SELECT c.kk, c.h, c.proof FROM c JOIN tops ON c.t = 'top' AND tops.t = 'top' AND c.l = tops.top),
+r AS (SELECT h AS root FROM b WHERE n = 1)
+SELECT i.doc_id, i.leaf, sub.h AS subroot, r.root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.root AS verified
+FROM i JOIN f ON f.kk = i.t || '|' || i.k JOIN sub ON sub.t = i.t, r
+"""
+
+
+@_query
+def op13_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` mixed to source weights 5, 2, 1 by balanced sampling; what each document gives."""
+    from farelens.llm.cube import mix_sources
+    mix = mix_sources(_table(spark, sf_dir, "documents"))
+    return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
