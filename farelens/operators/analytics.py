@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from farelens.constants import BOOKING_WINDOW_BANDS, WEEKDAY_NAMES
 from farelens.functions.bands import equal_width_bin, right_closed_band
 from farelens.functions.money import cents, mean_from_cents, mean_price
-from farelens.operators.stats import bounded_broadcast, exact_quantiles, materialize, rank_intervals
+from farelens.operators.stats import exact_quantiles, materialize, rank_intervals
 
 
 def with_route(df: DataFrame, sep: str = "-") -> DataFrame:
@@ -164,16 +164,21 @@ def fuel_correlation(df: DataFrame, by=("route",), fuel: str = FUEL) -> DataFram
 def fuel_bins(df: DataFrame, by=("route",), fuel: str = FUEL, n_bins: int = 5) -> DataFrame:
     """Mean price in ``n_bins`` equal-width bins of the index (per route); empty bins kept.
 
-    The bin edges need the route's min and max; they come from a grouped
-    aggregate (one row per route) joined back with a size-checked broadcast, so
-    the fare rows are not shuffled by route.
+    The fares are read once: cent sums and counts per (route, index value), of which a route has one
+    per day at most. Range and bins come from that table by a window over a route's few values.
     """
-    rng = df.groupBy(*by).agg(F.min(fuel).alias("_lo"), F.max(fuel).alias("_hi")).where(F.col("_lo").isNotNull())
-    joined = df.join(bounded_broadcast(rng), list(by))
+    p = F.col("price")
+    cells = df.where(F.col(fuel).isNotNull()).groupBy(*by, F.col(fuel).alias("_f")).agg(F.sum(cents(p)).alias("_s"), F.count(p).alias("_n"))
+    w = Window.partitionBy(*by)
+    cells = cells.withColumns({"_lo": F.min("_f").over(w), "_hi": F.max("_f").over(w)})
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit((n_bins + 1) // 2)).otherwise(
-        equal_width_bin(F.col(fuel), F.col("_lo"), F.col("_hi"), n_bins)) - F.lit(1)
-    out = _per_band(joined.where(F.col(fuel).isNotNull()), by, b, n_bins)
-    return out.select(*by, (F.col("band") + 1).alias("fuel_bin"), "mean_price", "n")
+        equal_width_bin(F.col("_f"), F.col("_lo"), F.col("_hi"), n_bins))
+    tagged = cells.withColumn("_b", b)
+    sums = tagged.groupBy(*by).agg(*[F.sum(F.when(F.col("_b") == i + 1, F.col("_s"))).alias(f"s{i}") for i in range(n_bins)],
+                                   *[F.sum(F.when(F.col("_b") == i + 1, F.col("_n")).otherwise(F.lit(0))).alias(f"n{i}") for i in range(n_bins)])
+    bins = F.array(*[F.struct(F.lit(i + 1).alias("fuel_bin"), F.when(F.col(f"n{i}") > 0, mean_from_cents(F.col(f"s{i}"), F.col(f"n{i}")))
+                              .alias("mean_price"), F.col(f"n{i}").alias("n")) for i in range(n_bins)])
+    return sums.select(*by, F.explode(bins).alias("r")).select(*by, "r.*")
 
 
 def range_elasticity(df: DataFrame, by=("route",), fuel: str = FUEL, min_rows: int = 10) -> DataFrame:
@@ -191,38 +196,103 @@ def range_elasticity(df: DataFrame, by=("route",), fuel: str = FUEL, min_rows: i
 
 
 # ---------------------------------------------------------------- A9
-def route_patterns(df: DataFrame, persist: bool = True) -> DataFrame:
-    """One row per route with every pattern report (lists as ordered arrays).
-
-    Each report is a grouped aggregate keyed by route; they meet in joins on
-    ``route`` between tables of one row per route (no skew possible). The six
-    reports read the same fare rows, so with ``persist`` the seven columns they
-    use are written once to the shared checkpoint folder: the fare join and
-    enrichment run once instead of once per report, and a lost executor
-    recomputes from the written table.
+def route_report(df: DataFrame, fuel: str = FUEL, bands=None, fuel_bins: int = 5, min_rows: int = 10) -> DataFrame:
+    """One row per route with every pattern list and its summary, from one pass over the fares.
+
+    The fares are aggregated once over grouping sets: (route, month), (route, weekday), (route, booking
+    window), (route, holiday), (route, holiday season), (route, index value) and (route). Each set
+    combines map-side, so what is shuffled is bounded by routes times days, not by fares. The second
+    step folds a route's cells into ordered arrays of structs: ``monthly``, ``weekly``, ``windows`` (empty
+    ones kept), ``holidays``, ``seasons`` and ``fuel_bins`` (``fuel_bins`` equal-width bins over the route's own
+    range); everything else is computed from those arrays. A route has at most one cell per
+    month, weekday, window and day, so the arrays are small.
     """
-    df = with_route(df).select("route", "date", "days_left", "price", "is_holiday", "is_holiday_season", FUEL)
-    if persist:
-        df = materialize(df, "route-pattern-input")
-    monthly = monthly_stats(df)
-    peaks = peak_months(monthly)
-    weekly = weekday_stats(df)
-    days = cheap_days(weekly)
-    windows = booking_window_stats(df)
-
-    def listed(t: DataFrame, kind: str, col: str, name: str) -> DataFrame:
-        return (t.where(F.col("kind") == kind).groupBy("route")
-                .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", col))), lambda s: s[col]).alias(name)))
-
-    out = seasonal_variation(monthly)
-    for part in (listed(peaks, "peak", "month", "peak_months"), listed(peaks, "off_peak", "month", "off_peak_months"),
-                 listed(days, "cheapest", "day_of_week", "cheapest_days"),
-                 listed(days, "most_expensive", "day_of_week", "most_expensive_days"),
-                 best_window(windows).select("route", "optimal_booking_window"),
-                 holiday_stats(df).select("route", "holiday_price_increase_pct"),
-                 fuel_correlation(df), range_elasticity(df)):
-        out = out.join(part, "route", "left")
-    return out
+    bands = bands or BOOKING_WINDOW_BANDS
+    days = F.col("date")
+    rows = with_route(df).select(
+        "route", "price", F.col(fuel).alias("fuel"), F.month(days).alias("_month"), F.weekday(days).alias("_weekday"),
+        right_closed_band(F.col("days_left"), bands, as_index=True).alias("_band"), F.col("is_holiday").alias("_holiday"),
+        F.col("is_holiday_season").alias("_season"), F.col(fuel).alias("_fuel"))
+    keys = ["_month", "_weekday", "_band", "_holiday", "_season", "_fuel"]
+    p = F.col("price")
+    both = p.isNotNull() & F.col("fuel").isNotNull()
+    cells = rows.groupingSets([*[["route", k] for k in keys], ["route"]], "route", *keys).agg(
+        F.grouping_id().alias("_set"), F.sum(cents(p)).alias("s"), F.count(p).alias("n"), F.stddev_samp(p).alias("sd"),
+        F.count(F.lit(1)).alias("rows"), F.covar_pop("price", "fuel").alias("cov"), F.stddev_pop(F.when(both, p)).alias("p_sd"),
+        F.stddev_pop(F.when(both, F.col("fuel"))).alias("f_sd"), F.min(p).alias("p_min"), F.max(p).alias("p_max"),
+        F.min("fuel").alias("f_min"), F.max("fuel").alias("f_max"), F.avg("fuel").alias("f_mean"))
+    mean = F.when(F.col("n") > 0, mean_from_cents(F.col("s"), F.col("n"))).alias("mean_price")
+    std, n = F.round(F.col("sd"), 2).alias("std_price"), F.col("n")
+    whole = (1 << len(keys)) - 1                          # a key's bit is set where it is folded away
+
+    def cell(key: str, *fields: Column) -> Column:
+        inside = (F.col("_set") == (whole ^ (1 << (len(keys) - 1 - keys.index(key))))) & F.col(key).isNotNull()
+        return F.array_sort(F.collect_list(F.when(inside, F.struct(*fields))))
+
+    def total(col: str) -> Column:
+        return F.max(F.when(F.col("_set") == whole, F.col(col))).alias(col)
+
+    names = F.array(*[F.lit(d) for d in WEEKDAY_NAMES])
+    labels = F.array(*[F.lit(b[2]) for b in bands])
+    g = cells.groupBy("route").agg(
+        cell("_month", F.col("_month").alias("month"), mean, std, n).alias("monthly"),
+        cell("_weekday", F.col("_weekday").alias("weekday"), F.element_at(names, F.col("_weekday") + 1).alias("day_of_week"), mean, std, n).alias("weekly"),
+        cell("_band", F.col("_band").alias("band"), F.element_at(labels, F.col("_band") + 1).alias("booking_window"), mean, std, n).alias("_windows"),
+        cell("_holiday", F.col("_holiday").alias("is_holiday"), mean, std, n).alias("holidays"),
+        cell("_season", F.col("_season").alias("is_holiday_season"), mean).alias("seasons"),
+        cell("_fuel", F.col("_fuel").alias("fuel"), F.col("s"), n).alias("_fuels"),
+        *[total(c) for c in ("s", "n", "rows", "cov", "p_sd", "f_sd", "p_min", "p_max", "f_min", "f_max", "f_mean")])
+    empty = [F.struct(F.lit(i).alias("band"), F.lit(b[2]).alias("booking_window"), F.lit(None).cast("double").alias("mean_price"),
+                      F.lit(None).cast("double").alias("std_price"), F.lit(0).cast("bigint").alias("n")) for i, b in enumerate(bands)]
+
+    def band_of(i: int) -> Column:
+        return F.coalesce(F.get(F.filter("_windows", lambda w: w["band"] == i), F.lit(0)), empty[i])
+
+    windows = F.array(*[band_of(i) for i in range(len(bands))])
+    bin_of = lambda v: F.when(F.col("f_max") == F.col("f_min"), F.lit((fuel_bins + 1) // 2)).otherwise(
+        equal_width_bin(v, F.col("f_min"), F.col("f_max"), fuel_bins))
+
+    def fuel_bin(i: int) -> Column:
+        mine = F.filter("_fuels", lambda c: bin_of(c["fuel"]) == i)
+        held = F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, c: a + F.coalesce(c["s"], F.lit(0)))
+        count = F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+        return F.struct(F.lit(i).alias("fuel_bin"), F.when(count > 0, mean_from_cents(held, count)).alias("mean_price"), count.alias("n"))
+
+    g = g.withColumns({"windows": windows, "fuel_bins": F.when(F.col("f_min").isNotNull(), F.array(*[fuel_bin(i + 1) for i in range(fuel_bins)]))})
+
+    def known(cells: str) -> Column:
+        return F.filter(cells, lambda c: c["mean_price"].isNotNull())
+
+    def best(cells: str, order: str, out: str, k: int, falling: bool) -> Column:
+        ranked = F.array_sort(F.transform(known(cells), lambda c: F.struct((-c["mean_price"] if falling else c["mean_price"]).alias("m"),
+                                                                          c[order].alias("o"), c[out].alias("x"))))
+        return F.when(F.size(ranked) > 0, F.transform(F.slice(ranked, 1, k), lambda c: c["x"]))
+
+    def mean_where(holiday: bool) -> Column:
+        return F.get(F.filter("holidays", lambda c: c["is_holiday"] == F.lit(holiday)), F.lit(0))["mean_price"]
+
+    means = F.transform(known("monthly"), lambda c: c["mean_price"])
+    mh, mn = mean_where(True), mean_where(False)
+    fuel_change = F.try_divide(F.col("f_max") - F.col("f_min"), F.col("f_mean"))
+    price_change = F.try_divide(F.col("p_max") - F.col("p_min"), F.when(F.col("n") > 0, mean_from_cents(F.col("s"), F.col("n"))))
+    return g.select(
+        "route", "monthly", "weekly", "windows", "holidays", "seasons", "fuel_bins",
+        F.round((F.array_max(means) - F.array_min(means)) / (F.aggregate(means, F.lit(0.0), lambda a, m: a + m) / F.size(means)), 6)
+        .alias("seasonal_variation"),
+        best("monthly", "month", "month", 3, True).alias("peak_months"), best("monthly", "month", "month", 3, False).alias("off_peak_months"),
+        best("weekly", "weekday", "day_of_week", 2, False).alias("cheapest_days"),
+        best("weekly", "weekday", "day_of_week", 2, True).alias("most_expensive_days"),
+        F.get(best("windows", "band", "booking_window", 1, False), F.lit(0)).alias("optimal_booking_window"),
+        F.when(mh.isNotNull() & mn.isNotNull(), F.round((mh - mn) / mn * 100, 6)).otherwise(F.lit(0.0)).alias("holiday_price_increase_pct"),
+        F.round(F.try_divide("cov", F.col("p_sd") * F.col("f_sd")), 6).alias("fuel_price_correlation"),
+        F.when(F.col("rows") < min_rows, F.lit(0.0)).when(fuel_change.isNull() | (fuel_change == 0), F.lit(0.0))
+        .otherwise(F.round(F.try_divide(price_change, fuel_change), 6)).alias("elasticity"))
+
+
+def route_patterns(df: DataFrame) -> DataFrame:
+    """The summaries of ``route_report``, one row per route."""
+    return route_report(df).select("route", "seasonal_variation", "peak_months", "off_peak_months", "cheapest_days", "most_expensive_days",
+                                   "optimal_booking_window", "holiday_price_increase_pct", "fuel_price_correlation", "elasticity")
 
 
 # ---------------------------------------------------------------- A10-A14

@@ -7,9 +7,10 @@ model; no step collects rows.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from farelens.constants import CLEAN_RENAMES, DAYS_LEFT_BASE_DATE, TIME_LABEL_FIXES
 from farelens.functions.lookups import relabel
@@ -182,19 +183,44 @@ def iqr_filter(df: DataFrame, col: str = "price", k: float = 1.5, bounds=None) -
     return df.where((F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi)))
 
 
-def clean_fares(df: DataFrame, price_source: str = "price", persist: bool = True) -> DataFrame:
+class StepCounts:
+    """Row counts of the cleaning steps, observed by the jobs that clean anyway (no further pass).
+
+    A step's count is known once a job over its rows has ended; ``table`` waits for the last one, so call
+    it after the cleaned table has been written or read to its end. Tasks that Spark runs again after an
+    executor is lost report their rows again: counts are for reports, not for decisions.
+    """
+
+    def __init__(self):
+        self.steps: list[tuple[str, Observation]] = []
+
+    def watch(self, df: DataFrame, step: str) -> DataFrame:
+        seen = Observation(f"clean-{step}-{uuid.uuid4().hex[:8]}")
+        self.steps.append((step, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("n"))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``(position, step, rows_in, rows_out, removed)``, one row per step after the first."""
+        counts = [(step, int(seen.get["n"])) for step, seen in self.steps]
+        rows = [(i, step, before, n, before - n) for i, ((_, before), (step, n)) in enumerate(zip(counts, counts[1:]), 1)]
+        return spark.createDataFrame(rows, "position int, step string, rows_in long, rows_out long, removed long")
+
+
+def clean_fares(df: DataFrame, price_source: str = "price", persist: bool = True, counts: StepCounts | None = None) -> DataFrame:
     """Duplicates -> missing values -> price -> time labels -> price outliers.
 
     The table is written to the shared checkpoint folder after de-duplication
     and before the outlier fences are fitted, so each fitted statistic and the filters read the same
-    materialised rows (and a lost executor does not re-run the earlier steps).
+    materialised rows (and a lost executor does not re-run the earlier steps). With ``counts``, the
+    rows that each step removes are counted by the jobs that run here and by the one that reads the result.
     """
-    out = drop_duplicates(df)
+    watch = (lambda frame, step: frame) if counts is None else counts.watch
+    out = watch(drop_duplicates(watch(df, "read")), "duplicates")
     if persist:
         out = materialize(out, "deduplicated")
     out = fill_missing(out)
-    out = clean_price(out, source=price_source, target="price")
+    out = watch(clean_price(out, source=price_source, target="price"), "price")
     out = clean_time_labels(out)
     if persist:
         out = materialize(out, "cleaned")
-    return iqr_filter(out, "price")
+    return watch(iqr_filter(out, "price"), "outliers")

@@ -12,14 +12,16 @@ matrix; predictions, metrics and ensembles are DataFrames:
 from __future__ import annotations
 
 import json
+import time
 from importlib import import_module
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReader
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LOWER_IS_BETTER = ("rmse", "mae", "mse", "mape")
@@ -32,18 +34,42 @@ def assemble(df: DataFrame, feature_cols: list[str], out: str = "features") -> D
 
 # ---------------------------------------------------------------- M7-M9
 def train_ridge(train: DataFrame, label: str = "price", alpha: float = 1.0, features: str = "features"):
-    """M7: L2 least squares equal to ``||y - Xw - b||^2 + alpha ||w||^2``.
+    """M7: L2 least squares equal to ``||y - Xw - b||^2 + alpha ||w||^2``, solved from the normal equations.
 
     Spark's objective is ``1/(2n) ||.||^2 + regParam/2 ||w||^2`` with the label
-    scaled by its deviation, so ``regParam = alpha / n * std_pop(y)``. Where constant or dependent
-    columns make the normal equations singular, Spark solves them by iteration; ``tol`` is set
-    so that it ends at the closed form as well.
+    scaled by its deviation, so ``regParam = alpha / n * std_pop(y)``. A constant column has weight 0 and
+    would make Spark's scaled equations singular (it then iterates and may give up), so the fit leaves
+    such columns out and the model gets a 0 in their place.
     """
-    r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
+    r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd"),
+                  Summarizer.metrics("min", "max").summary(F.col(features)).alias("x")).first()
     reg = alpha / r["n"] * (r["sd"] or 1.0)
+    low, high = r["x"]["min"].toArray(), r["x"]["max"].toArray()
+    varies = [i for i in range(len(low)) if low[i] < high[i]]
     lr = LinearRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0, regParam=reg,
                           standardization=False, solver="normal", fitIntercept=True, tol=1e-14, maxIter=2000)
-    return lr.fit(train)
+    if len(varies) == len(low) or not varies:
+        return lr.fit(train)
+    part = VectorSlicer(inputCol=features, outputCol="_varying", indices=varies).transform(train.select(features, label))
+    fitted = lr.copy({lr.featuresCol: "_varying"}).fit(part)
+    weights = [0.0] * len(low)
+    for i, w in zip(varies, fitted.coefficients.toArray().tolist()):
+        weights[i] = w
+    jvm = SparkSession.active().sparkContext._jvm
+    vector = jvm.org.apache.spark.ml.linalg.DenseVector(_java_doubles(weights))
+    model = LinearRegressionModel(jvm.org.apache.spark.ml.regression.LinearRegressionModel(fitted.uid, vector, float(fitted.intercept)))
+    known = {p.name for p in model.params}
+    model._set(**{p.name: v for p, v in lr.extractParamMap().items() if p.name in known})
+    model._transfer_params_to_java()
+    return model
+
+
+def _java_doubles(values):
+    sc = SparkSession.active().sparkContext
+    out = sc._gateway.new_array(sc._jvm.double, len(values))
+    for i, v in enumerate(values):
+        out[i] = float(v)
+    return out
 
 
 def train_forest(train: DataFrame, label: str = "price", num_trees: int = 100, max_depth: int = 20,
@@ -79,13 +105,34 @@ def train_boosted(train: DataFrame, label: str = "price", max_iter: int = 100, m
     kept = max_iter
     if validation is not None:
         kept = best_round(model.evaluateEachIteration(validation, "squared"), patience)
-        if kept < model.getNumTrees:
-            # the rounds of a shorter fit with the same seed are the first rounds of this one
-            model = gbt.setMaxIter(kept).fit(train)
+        model = first_rounds(model, kept)
     model.rounds = {"fitted": max_iter, "kept": kept}
     return model
 
 
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of the first ``rounds`` of a boosted fit: what a shorter fit with the same seed gives."""
+    if not 1 <= rounds <= model.getNumTrees:
+        raise ValueError(f"rounds must lie between 1 and {model.getNumTrees}")
+    if rounds == model.getNumTrees:
+        return model
+    sc = SparkSession.active().sparkContext
+    java = model._java_obj
+    kind = sc._jvm.org.apache.spark.ml.regression
+    trees = sc._gateway.new_array(kind.DecisionTreeRegressionModel, rounds)
+    held, weights = java.trees(), _java_doubles(list(java.treeWeights())[:rounds])
+    for i in range(rounds):
+        trees[i] = held[i]
+    out = GBTRegressionModel(kind.GBTRegressionModel(f"{model.uid}_{rounds}", trees, weights, java.numFeatures()))
+    known = {p.name for p in out.params}
+    for p, v in model.extractParamMap().items():
+        if p.name in known and p.name != "maxIter":
+            out._set(**{p.name: v})
+    out._set(maxIter=rounds)
+    out._transfer_params_to_java()
+    return out
+
+
 def best_round(losses: list[float], patience: int = 10) -> int:
     """Number of rounds up to the smallest loss met before ``patience`` rounds without a smaller one."""
     best = 0
@@ -182,9 +229,10 @@ def grid_tune(train: DataFrame, val: DataFrame, label: str = "price", grid: dict
               parallelism: int = 4, seed: int = 42) -> tuple[DataFrame, dict]:
     """Every grid point of boosted trees fitted on train, scored on val; all results returned.
 
-    ``parallelism`` models are trained at a time (threads over ``fitMultiple``, whose fits run
-    inside ``next``) on the cached training rows of the fixed split; the winner is fitted again
-    and returned. Ties go to the earlier grid point.
+    Points that differ in ``maxIter`` only share one fit: the longest of them holds the others as its
+    first rounds, and its validation error after each round answers all of them. ``parallelism`` fits
+    run at a time (threads over ``fitMultiple``, whose fits run inside ``next``) on the cached training
+    rows of the fixed split; the winner is cut from its fit and returned. Ties go to the earlier point.
     """
     grid = grid or {"maxDepth": [3, 6, 9], "stepSize": [0.01, 0.1, 0.2], "maxIter": [50, 100, 200],
                     "subsamplingRate": [0.8, 0.9, 1.0], "featureSubsetStrategy": ["0.8", "0.9", "1.0"]}
@@ -193,20 +241,29 @@ def grid_tune(train: DataFrame, val: DataFrame, label: str = "price", grid: dict
     for k, vals in grid.items():
         builder = builder.addGrid(gbt.getParam(k), vals)
     maps = builder.build()
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
+    rounds = [m.get(gbt.maxIter, gbt.getMaxIter()) for m in maps]
+    # points that differ in their number of rounds only are prefixes of the longest of them
+    families: dict[str, list[int]] = {}
+    for i, m in enumerate(maps):
+        families.setdefault(json.dumps({p.name: v for p, v in m.items() if p.name != "maxIter"}, sort_keys=True), []).append(i)
+    longest = [max(members, key=lambda i: rounds[i]) for members in families.values()]
     train, val = train.cache(), val.cache()
-    models = gbt.fitMultiple(train, maps)
+    models = gbt.fitMultiple(train, [maps[i] for i in longest])
 
-    def one(_) -> tuple[int, float]:
-        idx, model = next(models)
-        return idx, ev.evaluate(model.transform(val))
+    def one(_) -> list[tuple[int, float]]:
+        at, model = next(models)
+        fitted[at] = model
+        losses = model.evaluateEachIteration(val, "squared")
+        return [(i, losses[rounds[i] - 1] ** 0.5) for i in list(families.values())[at]]
 
+    fitted: dict[int, GBTRegressionModel] = {}
     try:
-        with ThreadPool(min(parallelism, len(maps))) as pool:
-            results = sorted(pool.imap_unordered(one, range(len(maps))))
+        with ThreadPool(min(parallelism, len(longest))) as pool:
+            results = sorted(r for part in pool.imap_unordered(one, range(len(longest))) for r in part)
         idx, rmse = min(results, key=lambda r: (r[1], r[0]))
         best = {p.name: v for p, v in maps[idx].items()}
-        model = gbt.copy(maps[idx]).fit(train)
+        at = next(a for a, members in enumerate(families.values()) if idx in members)
+        model = first_rounds(fitted[at], rounds[idx])
     finally:
         train.unpersist(), val.unpersist()
     rows = [(i, e, json.dumps({p.name: v for p, v in maps[i].items()}, sort_keys=True), i == idx) for i, e in results]
@@ -215,26 +272,84 @@ def grid_tune(train: DataFrame, val: DataFrame, label: str = "price", grid: dict
 
 
 def train_all(train: DataFrame, val: DataFrame, label: str = "price", params: dict | None = None,
-              key: str = "fare_key") -> tuple[dict, DataFrame, dict]:
-    """Fit every model; train and val metrics; errors recorded per model instead of raised."""
-    params = params or {}
-    models, errors, preds = {}, {}, []
-    for name, trainer in TRAINERS.items():
+              key: str = "fare_key", trainers: dict | None = None, fitted: dict | None = None,
+              timeout: float | None = None) -> tuple[dict, DataFrame, dict]:
+    """Fit every model at the same time; train and val metrics; errors recorded per model instead of raised.
+
+    Every fit runs in a thread of its own with a scheduler pool and a job group named after the model:
+    under ``spark.scheduler.mode=FAIR`` the fits share the cluster evenly, otherwise the later ones fill
+    what the earlier ones leave idle. After ``timeout`` seconds the jobs of a fit are cancelled and
+    the model is recorded as failed. ``fitted`` models are scored without a new fit. All models are
+    scored in one pass over the rows. ``training_report`` joins metrics and errors in one table.
+    """
+    params, trainers = params or {}, trainers or TRAINERS
+    sc = train.sparkSession.sparkContext
+    models, errors = dict(fitted or {}), {}
+
+    def fit(name: str):
+        sc.setLocalProperty("spark.scheduler.pool", name)
+        sc.setJobGroup(f"train-{name}", f"fit of {name}", interruptOnCancel=True)
+        kw = dict(params.get(name, {}))
+        if name == "boosted_trees" and kw.pop("use_validation", False):
+            kw["validation"] = val
         try:
-            kw = dict(params.get(name, {}))
-            if name == "boosted_trees" and kw.pop("use_validation", False):
-                kw["validation"] = val
-            models[name] = trainer(train, label=label, **kw)
-            preds.append(predict(models[name], train, name, key, label).withColumn("split", F.lit("train")))
-            preds.append(predict(models[name], val, name, key, label).withColumn("split", F.lit("val")))
-        except Exception as e:  # noqa: BLE001 - recorded per model and returned
-            errors[name] = str(e)
-    if not preds:
+            return trainers[name](train, label=label, **kw)
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
+
+    todo = [name for name in trainers if name not in models]
+    running = {}
+    for name in todo:
+        running[name] = _Fit(fit, name)
+        running[name].start()
+    end = None if timeout is None else time.monotonic() + timeout
+    for name, thread in running.items():
+        thread.join(None if end is None else max(0.0, end - time.monotonic()))
+        if thread.is_alive():
+            sc.cancelJobGroup(f"train-{name}")
+            errors[name] = f"TimeoutError: cancelled after {timeout} seconds"
+        elif thread.error is not None:
+            errors[name] = f"{type(thread.error).__name__}: {thread.error}"
+        else:
+            models[name] = thread.model
+    if not models:
         raise RuntimeError(f"no model could be fitted: {errors}")
-    long = preds[0]
-    for p in preds[1:]:
-        long = long.unionByName(p)
-    return models, regression_metrics(long), errors
+    models = {name: models[name] for name in [*trainers, *models] if name in models}
+    return models, regression_metrics(score_long(models, train.withColumn("split", F.lit("train")).unionByName(
+        val.withColumn("split", F.lit("val"))), key, label)), errors
+
+
+class _Fit(InheritableThread):
+    """One fit; keeps its model or its error."""
+
+    def __init__(self, fit, name: str):
+        self.model = self.error = None
+
+        def run():
+            try:
+                self.model = fit(name)
+            except Exception as e:  # noqa: BLE001 - recorded per model and returned
+                self.error = e
+        super().__init__(target=run, name=f"train-{name}", daemon=True)
+
+
+def score_long(models: dict, rows: DataFrame, key: str = "fare_key", label: str = "price") -> DataFrame:
+    """Predictions of several models in long form, from one pass over the assembled rows."""
+    out = rows
+    for i, model in enumerate(models.values()):
+        out = model.copy({model.predictionCol: f"_p{i}"}).transform(out)
+    each = F.array(*[F.struct(F.lit(name).alias("model"), F.col(f"_p{i}").alias("prediction")) for i, name in enumerate(models)])
+    keep = [c for c in (key, "split") if c in rows.columns]
+    return out.select(*keep, F.col(label).alias("y"), F.explode(each).alias("p")).select(*keep, "p.model", "y", "p.prediction")
+
+
+def training_report(metrics: DataFrame, errors: dict[str, str]) -> DataFrame:
+    """The metric table with one more row for every model that failed (null metrics, its ``error``)."""
+    out = metrics.withColumn("error", F.lit(None).cast("string"))
+    if not errors:
+        return out
+    failed = metrics.sparkSession.createDataFrame(sorted(errors.items()), "model string, error string")
+    return out.unionByName(failed, allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------- K8, M14
@@ -283,5 +398,5 @@ def load_training(path: str) -> tuple[DataFrame, dict]:
 
 
 __all__ = ["assemble", "train_ridge", "train_forest", "train_boosted", "predict", "residuals", "regression_metrics",
-           "best_model", "compare_models", "ensemble", "wide_predictions", "grid_tune", "train_all", "top_features",
+           "best_model", "compare_models", "ensemble", "wide_predictions", "grid_tune", "train_all", "score_long", "training_report", "top_features",
            "pca_reduce", "best_round", "rounds_of", "save_model", "load_model", "load_training"]

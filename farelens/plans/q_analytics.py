@@ -114,7 +114,8 @@ def fuel_correlation(spark, d):
     return A.fuel_correlation(base.enriched(spark, d))
 
 
-FUEL_BINS_SQL = with_ctes(f"""
+FUEL_RANGE_SQL = f"SELECT route, min({FUEL}) AS lo, max({FUEL}) AS hi FROM enriched GROUP BY route HAVING min({FUEL}) IS NOT NULL"
+FUEL_BIN_CELLS_SQL = f"""
 SELECT r.route, CAST(b.k + 1 AS INTEGER) AS fuel_bin,
        CASE WHEN count(e.price) > 0 THEN {mean_cents('e.price')} END AS mean_price, count(e.price) AS n
 FROM rng r CROSS JOIN range(0, 5) b(k)
@@ -125,8 +126,8 @@ LEFT JOIN (
               AS INTEGER) AS bi
   FROM enriched x JOIN rng g ON x.route = g.route WHERE x.{FUEL} IS NOT NULL) e
   ON e.route = r.route AND e.bi = b.k
-GROUP BY r.route, b.k""", "enriched", extra={"rng": f"""
-  SELECT route, min({FUEL}) AS lo, max({FUEL}) AS hi FROM enriched GROUP BY route HAVING min({FUEL}) IS NOT NULL"""})
+GROUP BY r.route, b.k"""
+FUEL_BINS_SQL = with_ctes(FUEL_BIN_CELLS_SQL, "enriched", extra={"rng": FUEL_RANGE_SQL})
 
 
 @query("fuel_bins", FUEL_BINS_SQL)
@@ -184,6 +185,51 @@ def route_patterns(spark, d):
     return A.route_patterns(base.enriched(spark, d))
 
 
+def _lists(cells: str, order: str, **fields: str) -> str:
+    """One list per field, in the order of the cells; missing numbers as -1."""
+    cols = ", ".join(f"list({v} ORDER BY {order}) AS {k}" for k, v in fields.items())
+    return f"(SELECT route, {cols} FROM {cells} GROUP BY route)"
+
+
+_STATS = {"mean": "coalesce(mean_price, -1.0)", "std": "coalesce(std_price, -1.0)", "n": "n"}
+
+
+def _named(prefix: str, **more: str) -> dict[str, str]:
+    return {f"{prefix}_{k}": v for k, v in {**more, **_STATS}.items()}
+
+
+ROUTE_REPORT_SQL = with_ctes(f"""
+SELECT * FROM {_lists("mm", "month", **_named("month", key="month"))} a
+JOIN {_lists("w", "weekday", **_named("weekday", key="day_of_week"))} b USING (route)
+JOIN {_lists("bw", "band", **_named("window", key="booking_window"))} c USING (route)
+JOIN {_lists("hh", "is_holiday", **_named("holiday", key="is_holiday"))} d USING (route)
+JOIN {_lists("ss", "is_holiday_season", season_key="is_holiday_season", season_mean="coalesce(mean_price, -1.0)")} e USING (route)
+LEFT JOIN {_lists("fb", "fuel_bin", fuel_mean="coalesce(mean_price, -1.0)", fuel_n="n")} f USING (route)
+""", "enriched", extra={
+    "mm": f"SELECT route, CAST(month(date) AS INTEGER) AS month, {PRICE_STATS} FROM enriched GROUP BY route, month(date)",
+    "w": WEEKLY_SQL, "bw": WINDOW_SQL, "hh": f"SELECT route, is_holiday, {PRICE_STATS} FROM enriched GROUP BY route, is_holiday",
+    "ss": f"SELECT route, is_holiday_season, {mean_cents()} AS mean_price FROM enriched GROUP BY route, is_holiday_season",
+    "rng": FUEL_RANGE_SQL, "fb": FUEL_BIN_CELLS_SQL})
+
+
+@query("route_report", ROUTE_REPORT_SQL)
+def route_report(spark, d):
+    """The nested lists of every route, one column per list and field."""
+    r = A.route_report(base.enriched(spark, d))
+
+    def field(cells: str, prefix: str, f: str):
+        missing = F.lit(-1.0) if f != "n" else F.lit(0)
+        return F.transform(cells, lambda c: F.coalesce(c[f], missing)).alias(f"{prefix}_{f.removesuffix('_price')}")
+
+    def fields(cells: str, prefix: str, key: str | None, stats=("mean_price", "std_price", "n")):
+        keys = [] if key is None else [F.transform(cells, lambda c: c[key]).alias(f"{prefix}_key")]
+        return keys + [field(cells, prefix, f) for f in stats]
+
+    return r.select("route", *fields("monthly", "month", "month"), *fields("weekly", "weekday", "day_of_week"),
+                    *fields("windows", "window", "booking_window"), *fields("holidays", "holiday", "is_holiday"),
+                    *fields("seasons", "season", "is_holiday_season", ("mean_price",)), *fields("fuel_bins", "fuel", None, ("mean_price", "n")))
+
+
 # ---------------------------------------------------------------- A10-A14
 N_ENRICHED_COLUMNS = len(FARE_COLUMNS) + 6
 

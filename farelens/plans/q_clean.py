@@ -198,3 +198,20 @@ WHERE price >= q1 - 1.5 * (q3 - q1) AND price <= q3 + 1.5 * (q3 - q1)""", "fares
 @query("clean_fares", CLEAN_SQL)
 def clean_fares(spark, d):
     return P.clean_fares(base.fares_dirty(spark, d), price_source="price_text")
+
+
+def _counted(steps: list[tuple[str, str, str]]) -> str:
+    return " UNION ALL ".join(f"""SELECT CAST({i} AS INTEGER) AS position, '{step}' AS step, a.n AS rows_in, b.n AS rows_out, a.n - b.n AS removed
+        FROM (SELECT count(*) AS n FROM {before}) a, (SELECT count(*) AS n FROM {after}) b""" for i, (step, before, after) in enumerate(steps, 1))
+
+
+_CUT = CLEAN_SQL.index("SELECT labelled.* FROM labelled")
+
+
+@query("clean_counts", CLEAN_SQL[:_CUT].rstrip() + f""", kept AS ({CLEAN_SQL[_CUT:]})
+""" + _counted([("duplicates", "fares_dirty", "dedup"), ("price", "dedup", "priced"), ("outliers", "labelled", "kept")]))
+def clean_counts(spark, d):
+    """Rows before and after each cleaning step, observed while the table is cleaned and written."""
+    counts = P.StepCounts()
+    materialize(P.clean_fares(base.fares_dirty(spark, d), price_source="price_text", counts=counts), "clean")
+    return counts.table(spark)

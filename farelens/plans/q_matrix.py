@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from farelens.constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from farelens.constants import (BOOKING_BANDS, BUDGET_AIRLINES_NOTEBOOK, CATEGORICAL_FEATURES, DURATION_HOUR_BANDS, NOTEBOOK_CATEGORICALS,
+                                NUMERIC_FEATURES, SLOT_HOURS)
 from farelens.operators import encode as M
+from farelens.operators.notebook import NOTEBOOK_NUMERIC, SortedLabels, ZeroFill, notebook_pipeline
+from farelens.plans.oracle import _in, _map_case, band_case, with_ctes
 from farelens.plans import base
-from farelens.plans.oracle import with_ctes
 from farelens.plans.q_features import feature_table
 from farelens.operators.stats import materialize
 from farelens.plans.registry import query
+from farelens.session import scratch_path
+from farelens.sources import tables
 
 CATS = CATEGORICAL_FEATURES
 ENCODED = [f"{c}_encoded" for c in CATS]
 MATRIX = NUMERIC_FEATURES + ENCODED
 CUTOFF = "1995-04-01"
-NEW_VALUE_COLS = ["airline", "flight", "from", "to"]
+NEW_VALUE_COLS = CATS
 
 
 def _qi(c: str) -> str:
@@ -76,18 +80,19 @@ def label_rank(spark, d):
 
 
 def _old_new(spark, d):
-    f = base.fares(spark, d)
+    """The feature table before and from the cutoff (written once: the vocabulary and the new labels read it)."""
+    f = materialize(feature_table(spark, d).select("date", *NEW_VALUE_COLS), "labelled-features")
     return f.where(F.col("date") < F.lit(CUTOFF).cast("date")), f.where(F.col("date") >= F.lit(CUTOFF).cast("date"))
 
 
-_OLD = f"(SELECT * FROM fares WHERE date < DATE '{CUTOFF}')"
-_NEW = f"(SELECT * FROM fares WHERE date >= DATE '{CUTOFF}')"
+_OLD = f"(SELECT * FROM feat WHERE date < DATE '{CUTOFF}')"
+_NEW = f"(SELECT * FROM feat WHERE date >= DATE '{CUTOFF}')"
 UNSEEN_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", value FROM (SELECT DISTINCT {_label_sql(c)} AS value FROM {_NEW} "
     f"EXCEPT SELECT DISTINCT {_label_sql(c)} FROM {_OLD})" for c in NEW_VALUE_COLS)
 
 
-@query("unseen_values", with_ctes(UNSEEN_SQL, "fares"))
+@query("unseen_values", with_ctes(UNSEEN_SQL, "feat"))
 def unseen_values(spark, d):
     old, new = _old_new(spark, d)
     vocab = M.fit_vocabulary(old, NEW_VALUE_COLS)
@@ -106,7 +111,7 @@ UNION ALL
 SELECT u."column", u.value,
        CAST(coalesce(t.top, -1) + dense_rank() OVER (PARTITION BY u."column" ORDER BY u.value) AS INTEGER) AS idx
 FROM unseen u LEFT JOIN (SELECT "column", max(idx) AS top FROM old_vocab GROUP BY "column") t
-  ON t."column" = u."column\"""", "fares", extra={"old_vocab": OLD_VOCAB, "unseen": UNSEEN_SQL}))
+  ON t."column" = u."column\"""", "feat", extra={"old_vocab": OLD_VOCAB, "unseen": UNSEEN_SQL}))
 def encode_new_values(spark, d):
     old, new = _old_new(spark, d)
     return M.extend_vocabulary(M.fit_vocabulary(old, NEW_VALUE_COLS), new, NEW_VALUE_COLS)
@@ -167,3 +172,37 @@ def phase_features(spark, d):
     x = filled_matrix(spark, d).select("fare_key", *PHASE_COLS)
     out = M.phase_features(x, PHASE_COLS)
     return out.select("fare_key", *[F.round(c, 6).alias(c) for c in out.columns if c != "fare_key"])
+
+
+# ---------------------------------------------------------------- the notebook pipeline (F8-F12, M1's second set, P15)
+NOTEBOOK_ENCODED = [f"{c}_encoded" for c in NOTEBOOK_CATEGORICALS]
+_NOTEBOOK_CTES = {
+    "nf": f"""SELECT *, source_city || '_' || destination_city AS route, {_map_case('departure_time', SLOT_HOURS)} AS departure_hour,
+                {_map_case('arrival_time', SLOT_HOURS)} AS arrival_hour,
+                CAST(coalesce({_in('airline', BUDGET_AIRLINES_NOTEBOOK)}, FALSE) AS INTEGER) AS is_budget_airline,
+                CAST(coalesce(stops <> 'zero', TRUE) AS INTEGER) AS has_stops, CAST(coalesce(class = 'Business', FALSE) AS INTEGER) AS is_premium_class,
+                CAST(coalesce(days_left <= 7, FALSE) AS INTEGER) AS is_last_minute, {band_case('days_left', BOOKING_BANDS)} AS booking_category,
+                {band_case('duration', DURATION_HOUR_BANDS)} AS duration_category FROM clean_file""",
+}
+
+
+@query("notebook_pipeline", with_ctes("SELECT fare_key, " + ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY {_label_sql(c)}) - 1 AS INTEGER) AS {c}_encoded" for c in NOTEBOOK_CATEGORICALS) + ", " + ", ".join(
+    f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in NOTEBOOK_NUMERIC) + ", TRUE AS same FROM nf", "clean_file", extra=_NOTEBOOK_CTES))
+def notebook_pipeline_q(spark, d):
+    """Features, labels, fill and a regression fitted as one pipeline, saved, loaded, and compared row by row."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.regression import LinearRegression
+    rows = materialize(tables.clean_file(spark, d), "clean-file")
+    train = rows.where(M.split_bucket(F.col("fare_key")) < 60)
+    model = notebook_pipeline(LinearRegression(labelCol="price", regParam=0.1)).fit(train)
+    path = scratch_path(spark, "notebook-pipeline")
+    model.write().overwrite().save(path)
+    back = PipelineModel.load(path)
+    # numbers come from labels fitted on all rows, as in the notebook; the saved model scores with its own
+    numbered = SortedLabels(inputCols=NOTEBOOK_CATEGORICALS).fit(model.stages[0].transform(rows)).transform(model.stages[0].transform(rows))
+    filled = ZeroFill(inputCols=NOTEBOOK_NUMERIC).transform(numbered)
+    before = model.transform(rows).select("fare_key", F.col("prediction").alias("p"))
+    after = back.transform(rows).select("fare_key", F.col("prediction").alias("q"))
+    same = before.join(after, "fare_key").select("fare_key", (F.col("p") == F.col("q")).alias("same"))
+    return filled.select("fare_key", *NOTEBOOK_ENCODED, *NOTEBOOK_NUMERIC).join(same, "fare_key")

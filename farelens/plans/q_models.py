@@ -154,14 +154,42 @@ def _statements(spark, checks: dict[str, bool]) -> DataFrame:
     return spark.createDataFrame([(k, bool(v)) for k, v in checks.items()], "check string, ok boolean")
 
 
+_kept: dict[tuple, object] = {}
+
+
+def once(spark, key: tuple, build):
+    """What ``build`` makes, once per application: the training queries share their written table and their fits."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept:
+        for old in [k for k in _kept if k[0] != key[0]]:
+            del _kept[old]
+        _kept[key] = build()
+    return _kept[key]
+
+
+def training_set(spark, d) -> dict:
+    """Scaled feature matrix with a stable split, assembled and written for the fits (one pass over the fares), and its fitted state."""
+    def build():
+        feats, state = fitted(spark, d, (LABEL,))
+        x = M.split_rows(M.transform_matrix(feats, state, keep=("fare_key", LABEL)).withColumnRenamed(LABEL, "price"))
+        data = materialize(ML.assemble(x, state["feature_columns"]).select("fare_key", "price", "split", "features"), "training")
+        return {"data": data, "features": feats, "state": state}
+    return once(spark, ("training", d), build)
+
+
 def training_frames(spark, d):
-    """Scaled feature matrix with a stable split, assembled and written for the fits (one pass over the fares)."""
-    feats, state = fitted(spark, d, (LABEL,))
-    x = M.split_rows(M.transform_matrix(feats, state, keep=("fare_key", LABEL)).withColumnRenamed(LABEL, "price"))
-    cols = state["feature_columns"]
-    data = materialize(ML.assemble(x, cols).select("fare_key", "price", "split", "features"), "training")
-    train, val, test = (data.where(F.col("split") == s) for s in ("train", "val", "test"))
-    return train, val, test, cols
+    """(train, val, test, feature columns) of ``training_set``."""
+    t = training_set(spark, d)
+    train, val, test = (t["data"].where(F.col("split") == s) for s in ("train", "val", "test"))
+    return train, val, test, t["state"]["feature_columns"]
+
+
+def trained(spark, d, name: str):
+    """A model of the default size, fitted once per application (as it is, or as ``train_all`` left it)."""
+    def build():
+        train, val, _, _ = training_frames(spark, d)
+        return ML.train_boosted(train, validation=val) if name == "boosted_trees" else ML.TRAINERS[name](train)
+    return once(spark, ("model", d, name), build)
 
 
 def _normal_equations(train: DataFrame, model, feats: list[str], alpha: float) -> DataFrame:
@@ -178,29 +206,28 @@ def _normal_equations(train: DataFrame, model, feats: list[str], alpha: float) -
     return _statements(train.sparkSession, checks)
 
 
-def _explains(long: DataFrame) -> bool:
-    return ML.regression_metrics(long).first()["r2"] > 0.1
-
-
 @query("ridge", _all_true([*MATRIX, "(intercept)"]))
 def ridge(spark, d):
     train, _, _, feats = training_frames(spark, d)
-    return _normal_equations(train, ML.train_ridge(train, alpha=1.0), feats, 1.0)
+    return _normal_equations(train, trained(spark, d, "linear_regression"), feats, 1.0)
 
 
 def _tree_checks(model, train, val, name: str) -> dict[str, bool]:
-    preds = ML.predict(model, val, name)
+    """Statements on the predictions of the validation rows, scored once."""
     lo, hi = train.agg(F.min("price"), F.max("price")).first()
-    seen = preds.agg(F.min("prediction").alias("lo"), F.max("prediction").alias("hi"), F.count("prediction").alias("n")).first()
+    err = F.col("y") - F.col("prediction")
+    seen = ML.predict(model, val, name).agg(
+        F.min("prediction").alias("lo"), F.max("prediction").alias("hi"), F.count("prediction").alias("n"), F.count(F.lit(1)).alias("rows"),
+        (F.lit(1.0) - F.sum(err * err) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2")).first()
     slack = 0.5 * (hi - lo) if name == "boosted_trees" else 1e-6 * (hi - lo)      # sums of trees may overshoot
-    return {"every row scored": seen["n"] == val.count(), "inside the training range": lo - slack <= seen["lo"] and seen["hi"] <= hi + slack,
-            "explains the label": _explains(preds)}
+    return {"every row scored": seen["n"] == seen["rows"], "inside the training range": lo - slack <= seen["lo"] and seen["hi"] <= hi + slack,
+            "explains the label": seen["r2"] > 0.1}
 
 
 @query("random_forest", _all_true(["tree count", "depth", "every row scored", "inside the training range", "explains the label"]))
 def random_forest(spark, d):
     train, val, _, _ = training_frames(spark, d)
-    model = ML.train_forest(train)
+    model = trained(spark, d, "random_forest")
     return _statements(spark, {"tree count": model.getNumTrees == 100, "depth": model.getMaxDepth() == 20,
                                **_tree_checks(model, train, val, "random_forest")})
 
@@ -209,7 +236,7 @@ def random_forest(spark, d):
                                    "explains the label"]))
 def boosted_trees(spark, d):
     train, val, _, _ = training_frames(spark, d)
-    model = ML.train_boosted(train, validation=val)
+    model = trained(spark, d, "boosted_trees")
     rounds = ML.rounds_of(model)
     return _statements(spark, {"rounds fitted": rounds["fitted"] == 100, "rounds kept": rounds["kept"] > 1,
                                "tree count": model.getNumTrees == rounds["kept"],
@@ -225,7 +252,7 @@ def predict(spark, d):
     """Predictions of the test rows, compared with the model's coefficients applied by hand."""
     from pyspark.ml.functions import vector_to_array
     train, _, test, _ = training_frames(spark, d)
-    model = ML.train_ridge(train)
+    model = trained(spark, d, "linear_regression")
     w = F.array(*[F.lit(float(v)) for v in model.coefficients.toArray()])
     by_hand = F.aggregate(F.zip_with(vector_to_array("features"), w, lambda x, c: x * c), F.lit(float(model.intercept)),
                           lambda a, v: a + v)
@@ -234,16 +261,22 @@ def predict(spark, d):
     return out.select("fare_key", "model", "y", (F.abs(F.col("prediction") - F.col("hand")) < 1e-6).alias("as_coefficients"))
 
 
-_TRAINED = " UNION ALL ".join(f"SELECT '{m}' AS model, '{s}' AS split, TRUE AS explains" for m in MODELS for s in ("train", "val"))
+_TRAINED = (" UNION ALL ".join(f"SELECT '{m}' AS model, '{s}' AS split, TRUE AS explains, '' AS error" for m in MODELS for s in ("train", "val"))
+            + " UNION ALL SELECT 'stopped_model', NULL, FALSE, 'ValueError: max_depth must lie between 0 and 30'")
 
 
 @query("train_all", _TRAINED)
 def train_all(spark, d):
+    """All models at once in pools of their own; a fourth one that cannot be trained becomes a row with its error."""
     train, val, _, _ = training_frames(spark, d)
-    _, m, errors = ML.train_all(train, val, params={"boosted_trees": {"use_validation": True}})
-    if errors:
-        raise RuntimeError(f"models failed: {errors}")
-    return m.select("model", "split", (F.col("r2") > 0.1).alias("explains"))
+    known = {name: _kept[k] for name in MODELS if (k := (spark.sparkContext.applicationId, "model", d, name)) in _kept}
+    trainers = {**ML.TRAINERS, "stopped_model": ML.train_forest}
+    models, m, errors = ML.train_all(train, val, trainers=trainers, fitted=known, params={
+        "boosted_trees": {"use_validation": True}, "stopped_model": {"max_depth": 31}})
+    for name, model in models.items():
+        once(spark, ("model", d, name), lambda model=model: model)
+    report = ML.training_report(m, errors)
+    return report.select("model", "split", F.coalesce(F.col("r2") > 0.1, F.lit(False)).alias("explains"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 def _grid_rows() -> str:
@@ -265,8 +298,8 @@ def grid_tune(spark, d):
 
 @query("top_features", _all_true(["all importances", "sum", "fifteen rows", "falling", "known features"]))
 def top_features(spark, d):
-    train, _, _, feats = training_frames(spark, d)
-    model = ML.train_forest(train)
+    _, _, _, feats = training_frames(spark, d)
+    model = trained(spark, d, "random_forest")
     every = {r["feature"]: r["importance"] for r in ML.top_features(model, feats, len(feats)).collect()}
     top = ML.top_features(model, feats, 15).collect()
     values = [r["importance"] for r in top]

@@ -15,7 +15,7 @@ from farelens.plans.q_matrix import MATRIX_CTES, fitted
 from farelens.plans.registry import query
 from farelens.session import scratch_path
 from farelens.sources import files, tables
-from farelens.sources.calendar import build_calendar, spine_from_range
+from farelens.sources.calendar import build_calendar, score_holidays, spine_from_range, union_calendars
 
 _TWO_PI = repr(2 * math.pi)
 
@@ -77,6 +77,64 @@ def impact_lookup(spark, d):
     return cal.select("holiday_name", "holiday_impact_score").distinct()
 
 
+# ---------------------------------------------------------------- the calendar as an input: two files, two date forms, bad rows
+PEAK_SCORES = {"1-URGENT": 5.0, "2-HIGH": 4.0}
+
+
+def _peak_days(spark, d):
+    """One "holiday" a quarter: the day of the largest order, named after its priority (some dozens of rows)."""
+    o = tables.table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    day = F.to_date("o_orderdate")
+    top = o.groupBy(F.year(day).alias("year"), F.quarter(day).alias("q")).agg(
+        F.max_by(F.struct(day.alias("day"), F.col("o_orderpriority").alias("name")), F.struct("o_totalprice", "o_orderkey")).alias("t"))
+    text = F.col("t.day").cast("string")
+    form = F.when(F.col("q") == 4, F.concat(F.lit("day of "), F.col("year"))).when(F.col("q") == 2, F.concat(text, F.lit(" 00:00:00"))).otherwise(text)
+    return top.select("q", form.alias("date"), F.col("t.name").alias("holiday_name"), (F.col("q") % 2 == 1).alias("is_national_holiday"),
+                      F.when(F.col("q") % 2 == 1, "National").otherwise("Regional").alias("holiday_type"), "year",
+                      F.lit(0.0).alias("holiday_impact_score"))
+
+
+def _calendar_folder(spark, d) -> str:
+    """The two holiday files, in the order of year and quarter; the last quarter's date is malformed."""
+    path, days = scratch_path(spark, "holiday-files"), _peak_days(spark, d)
+    names = [f.name for f in files.CALENDAR_FILE_SCHEMA.fields]
+    for kind, national in (("national", True), ("regional", False)):
+        days.where(F.col("is_national_holiday") == F.lit(national)).orderBy("year", "q").coalesce(1).select(*names).write.option(
+            "header", True).csv(f"{path}/{kind}")
+    return path
+
+
+PEAK_CTE = {"peak": """
+  SELECT year, q, t.day AS date, t.name AS holiday_name, q % 2 = 1 AS is_national_holiday,
+         CASE WHEN q % 2 = 1 THEN 'National' ELSE 'Regional' END AS holiday_type
+  FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, quarter(o_orderdate) AS q,
+               arg_max(struct_pack(day := CAST(o_orderdate AS DATE), name := o_orderpriority), (o_totalprice, o_orderkey)) AS t
+        FROM orders GROUP BY 1, 2)"""}
+
+
+@query("calendar_files", with_ctes(f"""
+SELECT CAST(row_number() OVER (ORDER BY is_national_holiday DESC, year, q) - 1 AS INTEGER) AS seq, date, holiday_name, is_national_holiday,
+       holiday_type, year, CASE holiday_name {' '.join(f"WHEN '{k}' THEN {v}" for k, v in PEAK_SCORES.items())} ELSE 3.0 END AS holiday_impact_score
+FROM peak WHERE q <> 4""", extra=PEAK_CTE))
+def calendar_files(spark, d):
+    """Both holiday files read in file order, stacked and scored by name."""
+    path = _calendar_folder(spark, d)
+    cal = union_calendars(*[files.read_calendar(spark, f"{path}/{kind}") for kind in ("national", "regional")])
+    scores = spark.createDataFrame(sorted(PEAK_SCORES.items()), "holiday_name string, score double")
+    return score_holidays(cal, scores).select(*CAL_COLS)
+
+
+@query("calendar_rejects", with_ctes("""
+SELECT CAST(row_number() OVER (PARTITION BY is_national_holiday ORDER BY year, q) AS INTEGER) AS line, holiday_type,
+       'day of ' || year || ',' || holiday_name || ',' || is_national_holiday || ',' || holiday_type || ',' || year || ',0.0' AS text
+FROM peak QUALIFY q = 4""", extra=PEAK_CTE))
+def calendar_rejects(spark, d):
+    """S3: the malformed rows of both files, with the line they stand on."""
+    path = _calendar_folder(spark, d)
+    parts = [files.rejected_rows(spark, f"{path}/{kind}").withColumn("holiday_type", F.lit(kind.capitalize())) for kind in ("national", "regional")]
+    return parts[0].unionByName(parts[1]).select("line", "holiday_type", "text")
+
+
 @query("read_or_build", with_ctes("SELECT * FROM fuel", "fuel"))
 def read_or_build(spark, d):
     path = scratch_path(spark, "daily-index")

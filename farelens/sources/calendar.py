@@ -8,8 +8,9 @@ broadcast joins (its size is bounded by ``len(years) * len(definitions)``).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from farelens.functions.money import round_binary
 from farelens.constants import (HOLIDAY_IMPACT_DEFAULT, HOLIDAY_IMPACT_SCORES, LITRE_FACTOR,
@@ -75,14 +76,28 @@ def parse_calendar(raw: DataFrame) -> DataFrame:
     return raw.withColumn("date", F.to_date(F.col("date_text"))).drop("date_text")
 
 
+def score_holidays(cal: DataFrame, scores: DataFrame, default_score: float = HOLIDAY_IMPACT_DEFAULT) -> DataFrame:
+    """``holiday_impact_score`` of each row by its name (``scores``: ``holiday_name, score``; unknown -> default).
+
+    The score table has one row per holiday name, which bounds its broadcast.
+    """
+    out = cal.drop("holiday_impact_score").join(F.broadcast(scores), "holiday_name", "left")
+    return out.withColumn("holiday_impact_score", F.coalesce(F.col("score"), F.lit(float(default_score)))).drop("score")
+
+
+def union_calendars(*parts: DataFrame) -> DataFrame:
+    """Calendars stacked by column name; ``seq`` runs on from part to part, each in its own order."""
+    placed = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed)
+    order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_part", "seq"))      # a few rows per year
+    return out.withColumn("seq", order - 1).drop("_part")
+
+
 def build_calendar(spark: SparkSession, years=DEFAULT_YEARS, scores: dict | None = None,
                    default_score: float = HOLIDAY_IMPACT_DEFAULT) -> DataFrame:
-    """Parsed calendar with ``holiday_impact_score`` (unknown name -> default)."""
-    cal = parse_calendar(raw_calendar(spark, years))
-    sc = F.broadcast(impact_scores(spark, scores))
-    return (cal.join(sc, "holiday_name", "left")
-            .select("seq", "date", "holiday_name", "is_national_holiday", "holiday_type", "year",
-                    F.coalesce(F.col("score"), F.lit(float(default_score))).alias("holiday_impact_score")))
+    """Parsed calendar of the built-in days with ``holiday_impact_score``."""
+    cal = score_holidays(parse_calendar(raw_calendar(spark, years)), impact_scores(spark, scores), default_score)
+    return cal.select("seq", "date", "holiday_name", "is_national_holiday", "holiday_type", "year", "holiday_impact_score")
 
 
 def spine_from_range(bounds: DataFrame, *, base_price: float = SPINE_BASE_PRICE) -> DataFrame:
