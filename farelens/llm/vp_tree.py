@@ -24,6 +24,8 @@ LEAF = 48
 SHARD_SIZE = 8192
 QUERY_BLOCK = 512
 FACTOR = 1.0
+SLACK = 1e-7           # rounding of a distance computed from a cosine near 1
+MARGIN = 1e-12         # rounding of a product of unit vectors of up to about 1000 dimensions
 
 
 class VantagePointTree:
@@ -67,7 +69,7 @@ class VantagePointTree:
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             score[q], found[q] = np.take_along_axis(s, top, 1), np.take_along_axis(p, top, 1)
             last = score[q, -1]
-            reach[q] = np.where(np.isfinite(last), np.sqrt(np.maximum(2.0 - 2.0 * last, 0.0)) / factor + 1e-9, np.inf)
+            reach[q] = np.where(np.isfinite(last), np.sqrt(np.maximum(2.0 - 2.0 * last, 0.0)) / factor + SLACK, np.inf)
 
         def distance(q, vantage):
             return np.sqrt(np.maximum(2.0 - 2.0 * (queries[q] @ vantage), 0.0))
@@ -108,6 +110,47 @@ class VantagePointTree:
         return score, np.where(found >= 0, self.order[np.maximum(found, 0)], -1)
 
 
+    def nearest(self, asked: np.ndarray, held: np.ndarray, ids: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine, id) of the ``k`` nearest of the vectors ``held`` that the tree was built from.
+
+        ``asked`` and ``held`` are the original vectors. The search over unit vectors bounds the k-th
+        score; a second sweep takes everything within rounding of that bound, scores it on the original
+        vectors and cuts by score and smaller id, so scaled and near-parallel vectors keep their order.
+        """
+        queries = unit(asked)
+        margin = max(MARGIN, 8 * asked.shape[1] * np.finfo(float).eps)
+        bound = self.search(queries, k, factor)[0][:, -1] - margin
+        reach = np.where(np.isfinite(bound), np.sqrt(np.maximum(2.0 - 2.0 * bound, 0.0)) / factor + SLACK, np.inf)
+        score = np.full((len(queries), k), -np.inf)
+        found = np.full((len(queries), k), np.iinfo(np.int64).max)
+
+        def sweep(node, q):
+            if not len(q):
+                return
+            if len(self.nodes[node]) == 2:
+                a, b = self.nodes[node]
+                near = queries[q] @ self.points[a:b].T >= bound[q][:, None]
+                some = near.any(axis=1)
+                q, near = q[some], near[some]
+                row, col = np.nonzero(near)
+                if len(row):
+                    at = self.order[a + col]
+                    s, i = np.full(near.shape, -np.inf), np.full(near.shape, np.iinfo(np.int64).max)
+                    s[row, col], i[row, col] = cosines(asked[q[row]], held[at]), ids[at]
+                    s, i = np.concatenate([score[q], s], axis=1), np.concatenate([found[q], i], axis=1)
+                    top = np.lexsort((i, -s), axis=-1)[:, :k]
+                    score[q], found[q] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+                return
+            vantage, (lo_in, hi_in, lo_out, hi_out), inside, outside = self.nodes[node]
+            d = np.sqrt(np.maximum(2.0 - 2.0 * (queries[q] @ vantage), 0.0))
+            for child, lo, hi in ((inside, lo_in, hi_in), (outside, lo_out, hi_out)):
+                sweep(child, q[np.maximum(d - hi, lo - d) <= reach[q]])
+
+        if len(self.points):
+            sweep(self.root, np.arange(len(queries)))
+        return score, found
+
+
 def vector_classes(vectors: DataFrame, id_col: str, vec_col: str, smallest: int) -> DataFrame:
     """``(key, rep, dims, vector, ids)``: distinct valid vectors with their smallest ids."""
     schema = pa.schema([("key", pa.binary()), ("vector", pa.binary()), ("ids", pa.list_(pa.int64()))])
@@ -150,11 +193,10 @@ def _search_shards(classes: DataFrame, queries: DataFrame, shards: int, k: int,
             if not todo or original is None:
                 return None
             q = np.stack([np.frombuffer(v) for _, v in todo])
-            _, at = tree.search(unit(q), k, factor)
-            row, col = np.nonzero(at >= 0)
-            hit = at[row, col]
-            return pa.record_batch([pa.array([todo[i][0] for i in row.tolist()], pa.binary()), pa.array(np.array(reps)[hit]),
-                                    pa.array(cosines(q[row], original[hit]))], schema=schema)
+            score, rep = tree.nearest(q, original, np.array(reps), k, factor)
+            row, col = np.nonzero(np.isfinite(score))
+            return pa.record_batch([pa.array([todo[i][0] for i in row.tolist()], pa.binary()), pa.array(rep[row, col]),
+                                    pa.array(score[row, col])], schema=schema)
 
         for batch in batches:
             for shard, dims, kind, query, rep, vector in zip(*(c.to_pylist() for c in batch.columns)):

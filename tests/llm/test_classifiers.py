@@ -7,7 +7,7 @@ import pytest
 
 from farelens.llm.language_id import LanguageModel, fit_language, identify_language, windows
 from farelens.llm.queries import QUERIES
-from farelens.llm.toxicity import ORDER, fit_toxicity, grams, kneser_ney_ratios, score_toxicity
+from farelens.llm.toxicity import ORDER, WINDOW, ToxicityModel, fit_toxicity, grams, kneser_ney_ratios, score_toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -36,7 +36,7 @@ def test_toxicity_does_not_read_held_out_labels(spark):
     flipped = [(i, 1 - t if _held_out(i) else t) for i, t in labels]
     a = fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     b = fit_toxicity(docs, spark.createDataFrame(flipped, "doc_id long, toxic int"))
-    assert (a.table == b.table).all() and (a.slope, a.offset) == (b.slope, b.offset)
+    assert (a.table == b.table).all() and (a.more_keys == b.more_keys).all() and (a.slope, a.offset) == (b.slope, b.offset)
 
 
 def test_kneser_ney_ratio_signs():
@@ -51,6 +51,80 @@ def test_kneser_ney_ratio_signs():
     assert b" idio" in decoded
 
 
+def _plain_models(toxic: list[bytes], calm: list[bytes]):
+    """Modified Kneser-Ney by dictionaries: p(last byte | the bytes before) per class over a shared backoff."""
+    from collections import Counter, defaultdict
+    counts = {1: Counter(toxic), 0: Counter(calm)}
+    both = set(toxic) | set(calm)
+
+    def discounts(table):
+        n = [max(sum(v == k for v in table.values()), 1) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1 * k), 0.95 * k) for k in (1, 2, 3)]
+        return lambda c: 0.0 if c == 0 else d[min(c, 3) - 1]
+
+    levels = {ORDER: both}
+    seen = {}
+    for order in range(ORDER - 1, 0, -1):
+        seen[order] = Counter(g[1:] for g in levels[order + 1])
+        levels[order] = set(seen[order])
+
+    def backoff(g):
+        table = seen[len(g)]
+        if len(g) == 1:
+            return (table[g] + 0.5) / (sum(table.values()) + 128.0)
+        same = {h: c for h, c in table.items() if h[:-1] == g[:-1]}
+        cut, total = discounts(table), sum(same.values())
+        return (table[g] - cut(table[g])) / total + sum(map(cut, same.values())) / total * backoff(g[1:])
+
+    def probability(kind, g):
+        # zero counts of the other class take part, as they do in the table of all n-grams
+        table = {h: counts[kind][h] for h in both}
+        same = {h: c for h, c in table.items() if h[:-1] == g[:-1]}
+        cut, total = discounts(table), sum(same.values())
+        weight = sum(map(cut, same.values())) / total if total else 1.0
+        return (table[g] - cut(table[g])) / max(total, 1.0) + weight * backoff(g[1:])
+
+    return {g: float(np.log(probability(1, g)) - np.log(probability(0, g))) for g in both}
+
+
+def test_kneser_ney_against_dictionaries():
+    """Every ratio, and every window score, equals a literal model over dictionaries; no n-gram is lost."""
+    toxic = ["you idiot you idiot fool you", "fool of a fool"]
+    calm = ["a calm and kind word here", "you are kind", "a word of calm", "kin"]
+
+    def padded(t):
+        return b" " + t.encode() + b" "
+
+    def plain(t):
+        return [padded(t)[i:i + ORDER] for i in range(len(padded(t)) - ORDER + 1)]
+
+    want = _plain_models([g for t in toxic for g in plain(t)], [g for t in calm for g in plain(t)])
+    g = grams(pa.array(toxic + calm))
+    keys, at = np.unique(g.keys[g.inside()], return_inverse=True)
+    of = np.repeat(np.arange(len(toxic + calm)), g.counts)
+    n1 = np.bincount(at[of < len(toxic)], minlength=len(keys)).astype(float)
+    n0 = np.bincount(at[of >= len(toxic)], minlength=len(keys)).astype(float)
+    got = dict(zip((int(k).to_bytes(8, "little")[:ORDER] for k in keys), kneser_ney_ratios(keys, n0, n1)))
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    model = ToxicityModel(keys, np.array([want[int(k).to_bytes(8, "little")[:ORDER]] for k in keys]))
+    for t in [*toxic, *calm, "", "a", "fool", "you idiot and a calm word for all the kind fools here", "zzz"]:
+        r = [want.get(x, 0.0) for x in plain(t)] if t else []
+        w = min(WINDOW, len(r))
+        worst = max((sum(r[i:i + w]) / w for i in range(len(r) - w + 1)), default=0.0) if w else 0.0
+        assert abs(model.worst_windows(pa.array([t]))[0] - worst) < 1e-3, t
+
+
+def test_no_n_gram_is_lost():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 40, 200_000, dtype=np.uint64))
+    ratios = rng.uniform(-10, 10, len(keys))
+    model = ToxicityModel(keys, ratios)
+    assert np.array_equal(model.ratios(keys), np.rint(ratios * 2000).astype(np.int16)) and len(model.more_keys) > 1000
+    others = np.setdiff1d(rng.integers(0, 1 << 40, 200_000, dtype=np.uint64), keys)
+    assert not model.ratios(others).any()
+
+
 def test_toxicity_awkward_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None), (2, 1), (2, 0)], "doc_id long, toxic int")
     model = fit_toxicity(odd_docs, labels)

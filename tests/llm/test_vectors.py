@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from farelens.llm import cover_tree
 from farelens.llm.cover_tree import CoverTree, cover_tree_dedup
-from farelens.llm.vectors import unit
+from farelens.llm.vectors import cosines, unit
 from farelens.llm.vp_tree import VantagePointTree, vp_nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, key string, rep int, size int, cell int"
@@ -66,6 +66,36 @@ def test_relaxed_search_keeps_recall():
     assert (np.abs(more - exact) < 1e-12).mean() >= 0.9
 
 
+def _five(live, q):
+    """The five nearest by the library's cosine, ties to the smaller id."""
+    a = np.array([live[q]] * len(live))
+    scores = cosines(a, np.array(list(live.values())))
+    return [i for _, i in sorted((-s, i) for i, s in zip(live, scores.tolist()) if i != q)][:5]
+
+
+@pytest.mark.parametrize("shard_size", [8192, 60])
+@pytest.mark.parametrize("kind", ["any", "powers"])
+def test_vp_nearest_ids_of_scaled_and_near_parallel_vectors(spark, shard_size, kind):
+    """40 scaled copies of one vector: by powers of two their cosines are equal and the smaller id wins."""
+    rng = np.random.default_rng(8)
+    live = {}
+    hot = rng.standard_normal(16).astype(np.float32)
+    for i in range(240):
+        v = rng.standard_normal(16).astype(np.float32)
+        if i % 6 == 0:
+            v = hot * np.float32(2.0 ** rng.integers(-6, 7) if kind == "powers" else rng.uniform(0.2, 5))
+        elif i % 29 == 0:
+            v = np.nextafter(hot, np.float32(2))
+        live[(i * 77) % 241] = [float(x) for x in v]
+    df = spark.createDataFrame([(i, v, 0, "k", 1, 2, 3) for i, v in live.items()], SCHEMA).repartition(3)
+    got = {}
+    for r in vp_nearest(df, F.col("vec_id") % 5 == 0, k=5, shard_size=shard_size).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {i for i in live if i % 5 == 0}
+    for q, ids in got.items():
+        assert ids == _five(live, q)
+
+
 def test_vp_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert vp_nearest(df, F.col("vec_id") % 50 == 0).collect() == []
