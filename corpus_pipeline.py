@@ -31,11 +31,19 @@ def _recount(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, longer where the documents have a column of that name."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model (threshold 0.3) does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_toxicity(docs, fit_toxicity(docs, labels))
-    return scored.where("toxic_predicted = 0").drop("toxic_score", "toxic_predicted")
+    score, predicted = (_unused(docs, name) for name in ("toxic_score", "toxic_predicted"))
+    scored = score_toxicity(docs, fit_toxicity(docs, labels), score_col=score, predicted_col=predicted)
+    return scored.where(F.col(predicted) == 0).drop(score, predicted)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,17 +1,21 @@
-"""Removal of repeated runs of lines by exact grouping of all their windows.
+"""Removal of repeated runs of lines by winnowing.
 
 The lines of a document (blank ones skipped, outer white space ignored) are a sequence of 64-bit
-hashes. Every run of ``min_lines`` lines becomes one row keyed by a hash of the whole run; rows with
-equal keys are grouped, and every place of a run but the earliest is deleted. Nothing is selected
-and no match is extended: the winnowed minimum (``winnow``) only enters the key. Posting the minima
-alone would save a third of the rows at best for runs of two lines, and would need the neighbours of
-each place, in a join, to tell which lines around it match.
-Longer runs are chains of overlapping matches, so they are covered whatever their length. A line of
-``min_bytes`` or more is also a run by itself, so a long line is found without its neighbours.
-
-Scale: within a map task only the earliest occurrence of a context travels; its later ones are
+hashes. Of every ``min_lines`` consecutive lines the one with the smallest hash is selected as a
+fingerprint, so a run that two documents share selects the same line in both. The selected
+lines are counted first, in a sketch of fixed size; only fingerprints that may occur twice are
+posted, with their position and the lines beside them. Postings with equal fingerprints are joined
+by position: a match is extended from the fingerprint to the left and to the right over the
+neighbouring line hashes as far as the window that selected it reaches, and of matches that agree the
+earliest place stays while every later run is deleted. Matches of neighbouring fingerprints overlap, so
+longer runs are covered whatever their length. A line of ``min_bytes`` or more is a window by
+itself, so a long line is found without its neighbours.
+
+Scale: within a map task only the earliest posting of a match travels; its later ones are
 known repeats at once. A boilerplate run in a third of all documents therefore costs one row per
-map task and no pairs. Deletions are gathered per document and joined to the texts once.
+map task and no pairs. A fingerprint that a third of all documents share beside ever new neighbours is
+spread: postings travel by fingerprint and neighbours. Deletions are gathered per document and
+joined to the texts once.
 """
 
 from __future__ import annotations
@@ -23,13 +27,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from farelens.llm.frequency import id_filter, maybe_listed, maybe_listed_ids
-from farelens.llm.scratch import shuffle_partitions, write_once
+from farelens.llm.frequency import SKETCH_SCHEMA, CountSketch, id_filter, maybe_listed, maybe_listed_ids, sum_sketch
+from farelens.llm.scratch import bound_batches, shuffle_partitions, write_once
 from farelens.llm.words import _SPACE, blocks, mix, replace_text, run_hashes, span_hashes, text_buffer, with_text
 
-FLUSH_WINDOWS = 500_000
+FLUSH_WINDOWS = 250_000
+SKETCH_BITS = 22       # counters of fingerprints; shared ones post more than needed and change no result
 _ALONE = np.uint64(0xA24BAED4963EE407)    # keeps lone lines apart from runs
-_PLACES = pa.schema([("context", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("run", pa.int32()),
+_PLACES = pa.schema([("match", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("run", pa.int32()),
                      ("repeat", pa.bool_())])
 
 
@@ -63,81 +68,121 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _contexts(lines: Lines, width: int, min_bytes: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context hash, document, run) of each run, keyed by a hash of all its lines.
+def _selected(lines: Lines, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, selected line, document) of every window of ``width`` lines inside a document."""
+    selected = winnow(lines.hashes, width)
+    first = np.arange(len(selected))
+    doc = np.searchsorted(lines.filled_first, first, side="right") - 1
+    inside = first + width <= lines.filled_first[doc + 1]
+    return first[inside], selected[inside], doc[inside]
 
-    ``run`` is twice the first line, plus one for a lone line of at least ``min_bytes``.
+
+def _fingerprints(lines: Lines, width: int, min_bytes: int | None) -> np.ndarray:
+    """Hashes of the selected lines of a block, each line once, and of the lines that are windows by themselves."""
+    chosen = np.zeros(len(lines.hashes), bool)
+    chosen[_selected(lines, width)[1]] = True
+    if min_bytes is not None:
+        chosen |= lines.sizes >= min_bytes
+    return lines.hashes[chosen]
+
+
+def repeated_fingerprints(texts: DataFrame, width: int, min_bytes: int | None) -> np.ndarray:
+    """Slots of fingerprints that may occur more than once in the table (``2 ** SKETCH_BITS`` flags)."""
+    def count(batches):
+        sketch = CountSketch(SKETCH_BITS)
+        for batch in batches:
+            for block in blocks(batch, "text"):
+                sketch.add(_fingerprints(Lines(block.column("text")), width, min_bytes))
+        for i, packed in sketch.packed():
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([packed], pa.binary())], ["block", "counts"])
+
+    return sum_sketch(texts.mapInArrow(count, SKETCH_SCHEMA), SKETCH_BITS) > 1
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _postings(lines: Lines, width: int, min_bytes: int | None, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(match, document, run) of each window whose fingerprint is listed.
+
+    The match is the fingerprint extended to both sides: its hash with the hashes of the lines before
+    and after it in the window, and how many lie on each side. ``run`` is twice the first line,
+    plus one for a line that is a window by itself.
     """
     h = lines.hashes
-    fingerprint = winnow(h, width)
-    runs = np.arange(len(fingerprint))
-    doc = np.searchsorted(lines.filled_first, runs, side="right") - 1
-    inside = runs + width <= lines.filled_first[doc + 1]
-    # the hash of the whole run decides; the minimum and its offset follow from the same lines
-    context = mix(h[fingerprint] ^ run_hashes(h, width) + (fingerprint - runs).astype(np.uint64))[inside]
-    runs, doc = runs[inside], doc[inside]
-    run = 2 * (runs - lines.filled_first[doc])
+    first, at, doc = _selected(lines, width)
+    posted = listed[_slot(h[at])]
+    first, at, doc = first[posted], at[posted], doc[posted]
+    left, right = at - first, first + width - 1 - at
+    match = h[at].copy()
+    for j in range(1, width):
+        before, after = j <= left, j <= right
+        match[before] = mix(match[before] ^ mix(h[at[before] - j] + np.uint64(2 * j)))
+        match[after] = mix(match[after] ^ mix(h[at[after] + j] + np.uint64(2 * j + 1)))
+    run = 2 * (first - lines.filled_first[doc])
     if min_bytes is None:
-        return context, doc, run
-    long = np.flatnonzero(lines.sizes >= min_bytes)
-    of = np.searchsorted(lines.filled_first, long, side="right") - 1
-    return (np.concatenate([context, mix(h[long] ^ _ALONE)]), np.concatenate([doc, of]),
-            np.concatenate([run, 2 * (long - lines.filled_first[of]) + 1]))
+        return match, doc, run
+    alone = np.flatnonzero((lines.sizes >= min_bytes) & listed[_slot(h)])
+    of = np.searchsorted(lines.filled_first, alone, side="right") - 1
+    return (np.concatenate([match, mix(h[alone] ^ _ALONE)]), np.concatenate([doc, of]),
+            np.concatenate([run, 2 * (alone - lines.filled_first[of]) + 1]))
 
 
 def _places(docs: DataFrame, width: int, min_bytes: int | None) -> DataFrame:
-    """Earliest place of each context per task, and later places in the task as repeats."""
+    """Earliest place of each match per task, and later places in the task as repeats."""
+    sent = docs.sparkSession.sparkContext.broadcast(repeated_fingerprints(docs.select("text"), width, min_bytes))
 
     def run(batches):
         held: list[np.ndarray] = []
 
         def flush():
-            context, doc, fp, first = np.concatenate(held, axis=1)
+            match, doc, fp, first = np.concatenate(held, axis=1)
             held.clear()
-            order = np.lexsort((first, fp, doc, context))
-            context, doc, fp, first = context[order], doc[order], fp[order], first[order]
-            lead = np.concatenate([[True], context[1:] != context[:-1]])
+            order = np.lexsort((first, fp, doc, match))
+            match, doc, fp, first = match[order], doc[order], fp[order], first[order]
+            lead = np.concatenate([[True], match[1:] != match[:-1]])
             head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
             moved = (doc != doc[head]) | (fp != fp[head]) | (first != first[head])
             keep = lead | moved
-            return pa.record_batch([pa.array(x[keep]) for x in (context, doc, fp, first.astype(np.int32), moved)], schema=_PLACES)
+            return pa.record_batch([pa.array(x[keep]) for x in (match, doc, fp, first.astype(np.int32), moved)], schema=_PLACES)
 
         n = 0
         for batch in batches:
             for block in blocks(batch, "text"):
-                context, doc, first = _contexts(Lines(block.column("text")), width, min_bytes)
-                held.append(np.stack([context.view(np.int64), block.column("doc_id").to_numpy()[doc],
+                match, doc, first = _postings(Lines(block.column("text")), width, min_bytes, sent.value)
+                held.append(np.stack([match.view(np.int64), block.column("doc_id").to_numpy()[doc],
                                       block.column("fp").to_numpy()[doc], first]))
-                n += len(context)
+                n += len(match)
                 if n >= FLUSH_WINDOWS:
                     yield flush()
                     n = 0
         if n:
             yield flush()
 
-    return docs.mapInArrow(run, "context long, doc_id long, fp long, run int, repeat boolean")
+    return docs.mapInArrow(run, "match long, doc_id long, fp long, run int, repeat boolean")
 
 
 def _later(places: DataFrame) -> DataFrame:
-    """Places that are not the earliest of their context over all tasks."""
+    """Places that are not the earliest of their match over all tasks."""
 
     def run(batches):
-        last = None          # (context, doc, fp, run) of the earliest place of the current context
+        last = None          # (match, doc, fp, run) of the earliest place of the current match
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(i).to_numpy() for i in range(4)]
             if last is not None:
                 cols = [np.concatenate([[v], c]).astype(c.dtype) for v, c in zip(last, cols)]
-            context = cols[0]
-            lead = np.concatenate([[True], context[1:] != context[:-1]])
+            match = cols[0]
+            lead = np.concatenate([[True], match[1:] != match[:-1]])
             head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
             moved = (cols[1] != cols[1][head]) | (cols[2] != cols[2][head]) | (cols[3] != cols[3][head])
             yield pa.record_batch([pa.array(c[moved]) for c in cols[1:]], ["doc_id", "fp", "run"])
             last = [c[head[-1]] for c in cols]
 
     n = shuffle_partitions(places.sparkSession)
-    return (places.repartition(n, "context").sortWithinPartitions("context", "doc_id", "fp", "run")
+    return (places.repartition(n, "match").sortWithinPartitions("match", "doc_id", "fp", "run")
             .mapInArrow(run, "doc_id long, fp long, run int"))
 
 
@@ -152,9 +197,10 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_by
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("fp"),
                        F.col(text_col).alias("text"), row.alias("row"))
     judged = base.where("doc_id is not null and text is not null").select("doc_id", "fp", "text")
-    places = write_once(_places(judged, min_lines, min_bytes), "line-contexts")
+    bound_batches(docs.sparkSession)
+    places = write_once(_places(judged, min_lines, min_bytes), "line-postings")
     known = places.where("repeat").select("doc_id", "fp", "run")
-    found = known.unionAll(_later(places.where("not repeat").select("context", "doc_id", "fp", "run")))
+    found = known.unionAll(_later(places.where("not repeat").select("match", "doc_id", "fp", "run")))
     per_doc = write_once(found.groupBy("doc_id", "fp").agg(F.collect_list("run").alias("runs")), "repeated-lines")
     # only documents that may be listed are shuffled to meet their repeats; the others are done at once
     table = id_filter(per_doc.select("doc_id"))
@@ -210,7 +256,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Earlier means a smaller id, or the same document and an earlier line; runs are judged on the
     input, on lines without their outer white space, and skip blank lines, which are kept. A text
     that loses lines holds the others joined by line feeds; rows and other columns stay. Lines are
-    compared by 64-bit hashes, runs by a hash over those of their lines.
+    compared by 64-bit hashes, matches by a hash over those of their lines.
 
     Defined cases: a null or empty text has no lines and stays; a row with a null id is kept whole;
     rows equal in id and text count as one document; rows that share an id but not the text are

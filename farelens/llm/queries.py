@@ -64,9 +64,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated runs of two or more lines of ``documents`` removed; one row per document."""
+    """Repeated runs of two or more lines, or of one line of 20 bytes or more, removed from ``documents``; one row per document."""
     from farelens.llm.line_dedup import line_report
-    return line_report(_table(spark, sf_dir, "documents"), min_lines=2)
+    return line_report(_table(spark, sf_dir, "documents"), min_lines=2, min_bytes=20)
 
 
 _TRIM = "chr(32)||chr(9)||chr(11)||chr(12)||chr(13)"
@@ -81,7 +81,9 @@ f AS (SELECT doc_id, pos, trim(line, {_TRIM}) AS line,
 r AS (SELECT a.doc_id, a.k, a.line AS x, b.line AS y
       FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
 s AS (SELECT doc_id, k, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, k) AS seen FROM r),
-g AS (SELECT DISTINCT f.doc_id, f.pos FROM s JOIN f ON s.doc_id = f.doc_id AND f.k IN (s.k, s.k + 1) WHERE s.seen > 1),
+o AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, k) AS seen FROM f WHERE strlen(line) >= 20),
+g AS (SELECT f.doc_id, f.pos FROM s JOIN f ON s.doc_id = f.doc_id AND f.k IN (s.k, s.k + 1) WHERE s.seen > 1
+      UNION SELECT doc_id, pos FROM o WHERE seen > 1),
 p AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
              coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '') AS kept
       FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)

@@ -20,3 +20,18 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+BATCH_BYTES = 4 << 20
+_BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of whole texts by bytes, unless the session or the cluster has set a bound.
+
+    By rows alone a batch of long texts takes hundreds of MB in the executor and again in its worker.
+    """
+    if spark.sparkContext.getConf().contains(_BYTES_PER_BATCH):
+        return
+    if spark.conf.get(_BYTES_PER_BATCH) == str(64 << 20):        # Spark's default
+        spark.conf.set(_BYTES_PER_BATCH, str(BATCH_BYTES))

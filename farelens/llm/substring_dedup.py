@@ -7,9 +7,12 @@ minimiser. Equal windows have equal minimisers and meet in one bucket, where win
 by fingerprint, compared byte for byte, and every window but the earliest is a repeat.
 
 Scale: a string that a map task has seen before is sent once with the list of its places, so a
-passage held by a third of all rows costs one text per map task; buckets hold a bounded number of
-bytes because their number follows the input. The repeated ranges are written to the shared
-folder, then joined to the texts once.
+passage held by a third of all rows costs one text per map task. The number of buckets follows the
+input; buckets of a partition are sorted by Spark and worked one at a time. A minimiser that very many
+windows share (a line of boilerplate with ever new neighbours) would make one bucket too large: a
+count sketch of the windows of each minimiser, of fixed size, finds it, and its windows travel one by one
+to the bucket of their own hash instead, where equal windows meet all the same. The repeated ranges
+are written to the shared folder, then joined to the texts once.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from farelens.llm.frequency import id_filter, maybe_listed, maybe_listed_ids
-from farelens.llm.scratch import shuffle_partitions, write_once
-from farelens.llm.words import Words, blocks, find_words, mix, replace_text, run_hashes, with_text
+from farelens.llm.frequency import (SKETCH_BLOCKS, SKETCH_SCHEMA, CountSketch, id_filter, maybe_listed, maybe_listed_ids,
+                                    sum_sketch)
+from farelens.llm.scratch import bound_batches, shuffle_partitions, write_once
+from farelens.llm.words import Words, blocks, find_words, mix, release, replace_text, run_hashes, with_text
 
 _BUCKET_SCHEMA = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("packed", T.BinaryType())])
 _RANGE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()),
@@ -33,7 +37,11 @@ _RANGE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructFie
 _ARROW_BUCKET = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
 _ARROW_RANGE = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("ranges", pa.binary())])
 FLUSH_BYTES = 8 << 20     # packed text that a map task holds
-BUCKET_BYTES = 8 << 20    # packed text aimed at per bucket
+BUCKET_BYTES = 4 << 20    # packed text aimed at per bucket
+PARTITION_BYTES = 32 << 20    # packed text aimed at per shuffle partition
+HOT_BITS = 20             # slots of the count sketch of minimisers
+HOT_WINDOWS = 1 << 20     # windows of a slot from which they travel one by one
+PAIRS = 1 << 14           # windows compared byte for byte at a time
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -53,28 +61,56 @@ def _ranges_of(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return positions[np.concatenate([[0], cut + 1])], positions[np.concatenate([cut, [len(positions) - 1]])]
 
 
-def _super_kmers(words: Words, window: int, seed: int, buckets: int):
-    """(first word, last word, bucket) of every super-k-mer of a block."""
-    first, last = words.first[:-1], words.first[1:]
-    empty = np.zeros(0, np.int64)
+def _minimisers(words: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(minimiser, inside a document) of the window that starts at each word of a block."""
     if len(words) < window:
-        return empty, empty, empty
-    seeds = run_hashes(words.hashes(), seed)
-    least = _sliding_min(seeds, window - seed + 1)
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    least = _sliding_min(run_hashes(words.hashes(), seed), window - seed + 1)
     ok = np.zeros(len(least), bool)
-    for a, b in zip(first.tolist(), last.tolist()):
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if b - a >= window:
             ok[a:b - window + 1] = True
+    return least, ok
+
+
+def _super_kmers(words: Words, window: int, seed: int, buckets: int, hot: np.ndarray | None):
+    """(first word, last word, bucket) of every super-k-mer of a block; windows of ``hot`` minimisers are one each."""
+    first = words.first[:-1]
+    least, ok = _minimisers(words, window, seed)
+    if not len(least):
+        empty = np.zeros(0, np.int64)
+        return empty, empty, empty
+    alone = np.zeros(len(least), bool) if hot is None else hot[(least >> np.uint64(64 - HOT_BITS)).astype(np.int64)]
     start = ok.copy()
-    start[1:] &= ~ok[:-1] | (least[1:] != least[:-1])
+    start[1:] &= ~ok[:-1] | (least[1:] != least[:-1]) | alone[1:]
     doc_start = first[first < len(ok)]
     start[doc_start] |= ok[doc_start]
     begins = np.flatnonzero(start)
     stop = ok.copy()
     stop[:-1] &= ~ok[1:] | start[1:]
     ends = np.flatnonzero(stop)
-    bucket = (mix(least[begins]) % np.uint64(buckets)).astype(np.int64)
-    return begins, ends + window - 1, bucket
+    key = least[begins]
+    if alone.any():
+        single = alone[begins]
+        key[single] = run_hashes(words.hashes(), window)[begins[single]]
+    return begins, ends + window - 1, (mix(key) % np.uint64(buckets)).astype(np.int64)
+
+
+def hot_minimisers(texts: DataFrame, window: int, seed: int, most: int = HOT_WINDOWS) -> np.ndarray | None:
+    """Slots of minimisers whose windows travel alone: more than ``most``, and than eight times the mean slot."""
+    def count(batches):
+        sketch = CountSketch(HOT_BITS)
+        for batch in batches:
+            for block in blocks(batch, "text"):
+                least, ok = _minimisers(find_words(block.column("text")), window, seed)
+                sketch.add(least[ok])
+        for i, packed in sketch.packed():
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([packed], pa.binary())], ["block", "counts"])
+
+    assert (1 << HOT_BITS) % SKETCH_BLOCKS == 0
+    slots = sum_sketch(texts.mapInArrow(count, SKETCH_SCHEMA), HOT_BITS)
+    hot = slots > max(most, 8 * int(slots.mean()))
+    return hot if hot.any() else None
 
 
 class _Packer:
@@ -155,13 +191,28 @@ def _windows(data: bytes, window: int):
         key.append(run_hashes(words.hashes(), window)[at])
         text.append((of + n_texts).astype(np.int32))
         within.append(off.astype(np.int32))
-        lo.append(words.starts[at] + base)
-        hi.append(words.ends[at + window - 1] + base)
+        lo.append((words.starts[at] + base).astype(np.int32))      # the texts of a bucket stay far below 2 GB
+        hi.append((words.ends[at + window - 1] + base).astype(np.int32))
         n_texts += len(n)
         base += len(words.data)
     return [np.concatenate(x) for x in (key, text, within, lo, hi)]
 
 
+def _any_differs(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray) -> bool:
+    """Is any window other than the window before it of the same group? Bytes are compared ``PAIRS`` windows at a time."""
+    pairs = np.flatnonzero(group[1:] == group[:-1]) + 1
+    size = hi - lo
+    if (size[pairs] != size[pairs - 1]).any():
+        return True
+    for a in range(0, len(pairs), PAIRS):
+        now = pairs[a:a + PAIRS]
+        n = size[now].astype(np.int64)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(lo[now], n) + within] != data[np.repeat(lo[now - 1], n) + within]).any():
+            return True
+    return False
+
+
 def _repeats(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
     """Word ranges covered by windows of the bucket that also start earlier."""
     data, number, doc, fp, start = _unpack(blobs)
@@ -178,13 +229,11 @@ def _repeats(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
     by = by[repeated]
     lead = leads[text_of[by]]
     # Equal fingerprints only propose; groups are told apart by the bytes of the windows.
-    spans = list(map(slice, lo[by].tolist(), hi[by].tolist()))
-    key = key[by]
+    key, spans = key[by], (lo[by], hi[by])
     group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(by) else np.zeros(0, np.int64)
-    differs = [i for i in range(1, len(by)) if group[i] == group[i - 1] and data[spans[i]] != data[spans[i - 1]]]
-    if differs:
+    if _any_differs(np.frombuffer(data, np.uint8), *spans, group):
         exact = {}
-        group = np.array([exact.setdefault((g, data[s]), len(exact)) for g, s in zip(group.tolist(), spans)])
+        group = np.array([exact.setdefault((g, data[a:z]), len(exact)) for g, a, z in zip(group.tolist(), *map(np.ndarray.tolist, spans))])
     place = start[lead] + within[by]
     rank = np.lexsort((place, fp[lead], doc[lead], group))
     g = group[rank]
@@ -217,7 +266,8 @@ def _repeats(blobs: list[bytes], window: int) -> pa.RecordBatch | None:
                            _ARROW_RANGE)
 
 
-def repeated_ranges(docs: DataFrame, window: int = 20, seed: int = 4, buckets: int | None = None) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 20, seed: int = 4, buckets: int | None = None,
+                    hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """``(doc_id, fp, ranges)``: packed int32 pairs (first word, word after the last) of repeats.
 
     ``docs`` has ``doc_id``, ``fp`` and ``text``. Rows with a null id take no part.
@@ -225,33 +275,41 @@ def repeated_ranges(docs: DataFrame, window: int = 20, seed: int = 4, buckets: i
     if not 1 <= seed <= window:
         raise ValueError("seed must lie between 1 and window")
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "fp", "text")
+    held = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] * 3
     if buckets is None:
-        held = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-        buckets = max(shuffle_partitions(spark), int(held * 3 // BUCKET_BYTES) + 1)
+        buckets = max(shuffle_partitions(spark), int(held // BUCKET_BYTES) + 1)
+    hot = hot_minimisers(docs.select("text"), window, seed, hot_windows)
+    sent = spark.sparkContext.broadcast(hot)             # 2 ** HOT_BITS flags, whatever the input
 
     def pack(batches):
         packer = _Packer()
         for batch in batches:
             for block in blocks(batch, "text"):
                 words = find_words(block.column("text"))
-                packer.add(words, *_super_kmers(words, window, seed, buckets),
+                packer.add(words, *_super_kmers(words, window, seed, buckets, sent.value),
                            block.column("doc_id").to_numpy(), block.column("fp").to_numpy())
                 if packer.bytes >= FLUSH_BYTES:
                     yield from packer.flush()
         yield from packer.flush()
 
     def unpack(batches):
-        waiting: dict[int, list[bytes]] = {}
+        bucket, waiting = None, []
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                waiting.setdefault(b, []).append(blob)
-        for b in sorted(waiting):
-            out = _repeats(waiting.pop(b), window)
-            if out is not None:
-                yield out
-
-    packed = docs.mapInArrow(pack, _BUCKET_SCHEMA).repartition(buckets, "bucket")
+                if b != bucket:
+                    if waiting and (out := _repeats(waiting, window)) is not None:
+                        yield out
+                    bucket, waiting = b, []
+                    release()
+                waiting.append(blob)
+        if waiting and (out := _repeats(waiting, window)) is not None:
+            yield out
+        release()
+
+    partitions = min(buckets, max(shuffle_partitions(spark), int(held // PARTITION_BYTES) + 1))
+    packed = docs.mapInArrow(pack, _BUCKET_SCHEMA).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return packed.mapInArrow(unpack, _RANGE_SCHEMA)
 
 

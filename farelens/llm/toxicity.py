@@ -11,8 +11,8 @@ document is as toxic as its worst window; a logistic curve turns that into a pro
 fitted on a quarter of the sample with counts of the other three; the final counts use all of it.
 
 Fitting reads a bounded sample: at most ``MAX_DOCS`` labelled documents of each class (an expected
-number, chosen by a hash of the id), counted as Spark jobs; the table of their n-grams is the
-model, of fixed size once packed. Scoring is one pass over all texts without a shuffle.
+number, chosen by a hash of the id), counted as Spark jobs; the table of all their n-grams is the
+model. Scoring is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from farelens.llm.scratch import bound_batches
 from farelens.llm.words import blocks, find_words
 
 ORDER = 5
 WINDOW = 16
 MAX_DOCS = 8_000
-TABLE_BITS = 22
 _SCALE = 2_000.0       # ratios are kept as 16-bit multiples of 1 / _SCALE
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_MORE = np.uint64(1 << 63)      # flag of a slot that more than one n-gram falls into; a key has 8 * ORDER bits
 
 
 def _masked(n: int) -> np.uint64:
@@ -109,28 +110,48 @@ def kneser_ney_ratios(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray)
 
 
 class ToxicityModel:
-    """Packed ratio table and the calibration curve."""
+    """Ratio table of all n-grams and the calibration curve.
+
+    The table has about two slots per n-gram and keeps the whole key, so no n-gram is taken for another; those
+    that find their slot taken are kept sorted beside it and searched for where the slot says so.
+    """
 
     def __init__(self, keys: np.ndarray, ratios: np.ndarray, slope: float = 1.0, offset: float = 0.0):
-        self.table = np.zeros(1 << TABLE_BITS, np.uint32)
-        order = np.argsort(np.abs(ratios), kind="stable")      # the stronger of two in one slot stays
-        slot, tag = self._place(keys[order])
-        value = np.clip(np.rint(ratios[order] * _SCALE), -32767, 32767).astype(np.int16).view(np.uint16)
-        self.table[slot] = tag << np.uint32(16) | value
+        self.bits = max(10, int(2 * len(keys)).bit_length())
+        value = np.clip(np.rint(ratios * _SCALE), -32767, 32767).astype(np.int16).view(np.uint16).astype(np.uint64)
+        slot = self._place(keys)
+        order = np.lexsort((keys, slot))
+        keys, value, slot = keys[order], value[order], slot[order]
+        again = np.zeros(len(keys), bool)
+        again[1:] = slot[1:] == slot[:-1]
+        self.table = np.zeros(1 << self.bits, np.uint64)
+        self.table[slot[~again]] = keys[~again] << np.uint64(16) | value[~again]
+        self.table[slot[again]] |= _MORE
+        more = np.argsort(keys[again])
+        self.more_keys, self.more_values = keys[again][more], value[again][more].astype(np.uint16).view(np.int16)
         self.slope, self.offset = slope, offset
 
-    @staticmethod
-    def _place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = keys * _MULT
-        return ((h >> np.uint64(64 - TABLE_BITS)).astype(np.int64),
-                ((h >> np.uint64(64 - TABLE_BITS - 16)) & np.uint64(0xFFFF)).astype(np.uint32))
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _MULT >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        """Ratio of each n-gram in multiples of ``1 / _SCALE``; 0 where neither class has seen it."""
+        found = self.table[self._place(keys)]
+        own = (found & ~_MORE) >> np.uint64(16) == keys
+        out = np.where(own, found.astype(np.uint16).view(np.int16), 0)
+        left = np.flatnonzero(~own & (found >= _MORE))
+        if len(left):
+            at = np.minimum(np.searchsorted(self.more_keys, keys[left]), len(self.more_keys) - 1)
+            out[left] = np.where(self.more_keys[at] == keys[left], self.more_values[at], 0)
+        return out
 
     def worst_windows(self, texts: pa.Array) -> np.ndarray:
-        """Largest mean ratio over the windows of each text (0 for a text without n-grams)."""
+        """Largest mean ratio over the windows of each text (0 for a text without n-grams).
+
+        A text of fewer n-grams than a window is one window of its own length.
+        """
         g = grams(texts)
-        slot, tag = self._place(g.keys)
-        found = self.table[slot]
-        ratio = np.where(found >> np.uint32(16) == tag, found.astype(np.uint16).view(np.int16), 0)
+        ratio = self.ratios(g.keys)
         sums = np.zeros(len(ratio) + 1, np.int64)
         np.cumsum(ratio, out=sums[1:])
         short = g.counts < WINDOW
@@ -140,7 +161,7 @@ class ToxicityModel:
             window = np.append(sums[WINDOW:] - sums[:-WINDOW], 0)
             cuts = np.stack([g.starts[long], g.starts[long] + g.counts[long] - WINDOW + 1], axis=1).ravel()
             out[long] = np.maximum.reduceat(window, cuts)[::2]
-        return out / (WINDOW * _SCALE)
+        return out / (np.clip(g.counts, 1, WINDOW) * _SCALE)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-(self.slope * self.worst_windows(texts) + self.offset)))
@@ -239,14 +260,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",
-                   threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs`` plus ``toxic_score`` (0 to 1) and ``toxic_predicted`` (0/1).
+                   threshold: float = 0.3, score_col: str = "toxic_score", predicted_col: str = "toxic_predicted") -> DataFrame:
+    """All columns of ``docs`` plus ``score_col`` (0 to 1) and ``predicted_col`` (0/1).
 
-    A null or empty text scores as a text without evidence. Repeated rows score alike; ids are
-    not read. An empty table gives an empty result. Existing columns named ``toxic_score`` or
-    ``toxic_predicted`` are replaced.
+    A null or empty text scores as a text without evidence, a text shorter than a window by its
+    own length. Repeated rows score alike; ids are not read. An empty table gives an empty result.
+    Existing columns of the two names are replaced.
     """
-    docs = docs.drop("toxic_score", "toxic_predicted")
+    bound_batches(docs.sparkSession)
+    docs = docs.drop(score_col, predicted_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -255,8 +277,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             for block in blocks(batch, text_col):
                 score = sent.value.scores(block.column(at))
                 yield pa.record_batch([*block.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                                      [*block.schema.names, "toxic_score", "toxic_predicted"])
+                                      [*block.schema.names, score_col, predicted_col])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType()),
-                           T.StructField("toxic_predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()),
+                           T.StructField(predicted_col, T.IntegerType())])
     return docs.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ longest document plus one block.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 18
+TABLE = 1 << 19        # entries of the tables that a worker keeps
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -30,16 +32,17 @@ _inverse_powers = np.ones(1, np.uint64)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse; kept up to ``TABLE`` of them, longer ones made for the call."""
     global _powers, _inverse_powers
-    if len(_powers) < n:
-        size = 1 << int(n - 1).bit_length()
-        inverse = pow(_MULT, -1, 2**64)
-        step = np.full(size, _MULT, np.uint64)
-        step[0] = 1
-        back = np.full(size, inverse, np.uint64)
-        back[0] = 1
-        _powers, _inverse_powers = np.cumprod(step), np.cumprod(back)
-    return _powers, _inverse_powers
+    if len(_powers) >= n:
+        return _powers, _inverse_powers
+    size = 1 << int(n - 1).bit_length()
+    step, back = np.full(size, _MULT, np.uint64), np.full(size, pow(_MULT, -1, 2**64), np.uint64)
+    step[0] = back[0] = 1
+    up, down = np.cumprod(step), np.cumprod(back)
+    if size <= TABLE:
+        _powers, _inverse_powers = up, down
+    return up, down
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,13 +56,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every byte span: polynomial prefix sums modulo 2**64, then a finaliser."""
-    n = len(data)
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hash of every byte span: polynomial prefix sums modulo 2**64, then a finaliser.
+
+    Spans must ascend. A hash does not depend on where its span lies, so long data is taken in pieces.
+    """
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + TABLE - 1, side="right")))
+        part = data[base:ends[j - 1]]
+        n = len(part)
+        up, down = _power_tables(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE_VALUE[part] * up[:n], out=sums[1:])
+        a, b = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 def run_hashes(values: np.ndarray, k: int) -> np.ndarray:
@@ -76,9 +90,13 @@ def run_hashes(values: np.ndarray, k: int) -> np.ndarray:
 
 def fold_hash(values: np.ndarray) -> int:
     """Order-sensitive hash of a whole sequence of 64-bit values."""
-    up, _ = _power_tables(len(values) + 1)
-    total = (values * up[:len(values)]).sum(dtype=np.uint64) + np.uint64(len(values))
-    return int(mix(np.array([total], np.uint64))[0])
+    total, factor = len(values), 1
+    up, _ = _power_tables(TABLE)
+    for a in range(0, len(values), TABLE):
+        part = values[a:a + TABLE]
+        total += int((part * up[:len(part)]).sum(dtype=np.uint64)) * factor
+        factor = factor * pow(_MULT, len(part), 2**64) % 2**64
+    return int(mix(np.array([total % 2**64], np.uint64))[0])
 
 
 def text_buffer(texts: pa.Array, closing: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +111,23 @@ def text_buffer(texts: pa.Array, closing: bytes = b"") -> tuple[np.ndarray, np.n
     return raw[off[0]:off[-1]], off - off[0]
 
 
+def _trim():
+    """The C library's way to hand free memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+_malloc_trim = _trim()
+
+
+def release() -> None:
+    """Hand memory that Arrow and numpy have freed back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim(0)
+
+
 def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows holding about ``size`` bytes of text each (one row at least)."""
     if batch.num_rows == 0:
@@ -102,6 +137,7 @@ def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Itera
     cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(a, b - a)
+    release()
 
 
 @dataclass
