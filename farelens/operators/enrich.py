@@ -50,24 +50,28 @@ def holiday_exact(df: DataFrame, calendar: DataFrame, date_col: str = "date") ->
                       F.col("holiday_name"))
 
 
-def holiday_window_table(calendar: DataFrame, days: int = HOLIDAY_WINDOW_DAYS) -> DataFrame:
-    """Per covered day: the first holiday (calendar order) within +-``days``."""
+def holiday_window_table(calendar: DataFrame, days: int = HOLIDAY_WINDOW_DAYS, pick: str = "first") -> DataFrame:
+    """Per covered day: the first holiday (calendar order) within +-``days``, or with ``pick="nearest"``
+    the one fewest days away (ties: the one ahead, then calendar order)."""
+    if pick not in ("first", "nearest"):
+        raise ValueError("pick must be 'first' or 'nearest'")
     offsets = F.sequence(F.lit(-days), F.lit(days))
     spread = calendar.select("seq", "date", "holiday_name", "holiday_impact_score",
                              F.explode(offsets).alias("k"))
     spread = spread.select(F.date_add("date", F.col("k")).alias("day"),
                            F.struct("seq", (-F.col("k")).alias("days_to_holiday"), "holiday_name",
                                     "holiday_impact_score").alias("h"))
-    best = spread.groupBy("day").agg(F.min("h").alias("h"))
+    order = F.struct(F.abs("h.days_to_holiday"), -F.col("h.days_to_holiday"), "h.seq")
+    best = spread.groupBy("day").agg((F.min("h") if pick == "first" else F.min_by("h", order)).alias("h"))
     return best.select(F.col("day").alias("_wday"), F.col("h.days_to_holiday").alias("days_to_holiday"),
                        F.col("h.holiday_name").alias("season_holiday_name"),
                        F.col("h.holiday_impact_score").alias("holiday_impact"))
 
 
 def holiday_window(df: DataFrame, calendar: DataFrame, date_col: str = "date",
-                   days: int = HOLIDAY_WINDOW_DAYS) -> DataFrame:
+                   days: int = HOLIDAY_WINDOW_DAYS, pick: str = "first") -> DataFrame:
     """Holiday within +-days: flag, signed days to it, name, impact, pre/post."""
-    table = holiday_window_table(calendar, days)
+    table = holiday_window_table(calendar, days, pick)
     out = df.join(F.broadcast(table), F.to_date(F.col(date_col)) == F.col("_wday"), "left")
     return out.select(*[out[c] for c in df.columns],
                       F.col("_wday").isNotNull().alias("is_holiday_season"),

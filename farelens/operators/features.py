@@ -115,8 +115,11 @@ def duration_features(df: DataFrame) -> DataFrame:
     return out.withColumn("duration_category", right_closed_band(F.col("total_flight_minutes"), DURATION_MINUTE_BANDS))
 
 
-def airline_features(df: DataFrame, budget=None, premium=None, counts: DataFrame | None = None) -> DataFrame:
-    """F7 + J6: carrier type and carrier row count (named market share, a count)."""
+def airline_features(df: DataFrame, budget=None, premium=None, counts: DataFrame | None = None, share: bool = False) -> DataFrame:
+    """F7 + J6: carrier type and carrier row count (named market share, a count).
+
+    ``share`` adds ``airline_share``, the count over the rows of all carriers (null without a carrier).
+    """
     if "airline" not in df.columns:
         return df
     budget, premium = list(budget or BUDGET_AIRLINES), list(premium or PREMIUM_AIRLINES)
@@ -127,7 +130,11 @@ def airline_features(df: DataFrame, budget=None, premium=None, counts: DataFrame
         counts = df.where(a.isNotNull()).groupBy("airline").agg(F.count(F.lit(1)).alias("airline_market_share"))
         counts = bounded_broadcast(counts.select(F.col("airline").alias("_airline"), "airline_market_share"))
     small = counts
-    return out.join(small, F.col("airline") == F.col("_airline"), "left").drop("_airline")
+    out = out.join(small, F.col("airline") == F.col("_airline"), "left").drop("_airline")
+    if not share:
+        return out
+    total = small.agg(F.sum("airline_market_share")).first()[0] or 0
+    return out.withColumn("airline_share", F.try_divide(F.col("airline_market_share"), F.lit(total)))
 
 
 def route_key(df: DataFrame, sep: str = "_", src: str = "source_city", dst: str = "destination_city",

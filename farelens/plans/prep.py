@@ -21,19 +21,30 @@ from farelens.operators import clean as P
 from farelens.operators import encode as M
 from farelens.operators.enrich import enrich_fares
 from farelens.operators.features import feature_engineering
-from farelens.operators.stats import materialize
-from farelens.session import scratch_path
+from farelens.session import scratch_path, scratch_scope
 from farelens.sources import files
 
 
 def prepare(spark: SparkSession, raw: DataFrame, series: DataFrame, calendar: DataFrame, *,
-            price_source: str = "price", out_path: str | None = None, state_path: str | None = None) -> dict:
-    cleaned = P.clean_fares(raw, price_source=price_source)
-    if "time_taken" not in cleaned.columns and "duration" in cleaned.columns:
-        cleaned = P.add_time_taken(cleaned)
-    feats = feature_engineering(cleaned, enrich=lambda df: enrich_fares(df, series, calendar))
-    feats = materialize(feats, "features")
-    state = M.fit_matrix_state(feats)
+            price_source: str = "price", out_path: str | None = None, state_path: str | None = None,
+            fit_on: str = "all", counts: P.StepCounts | None = None) -> dict:
+    """The whole chain; ``fit_on="train"`` fits vocabularies, medians and scaler on the training rows only.
+
+    The tables of the cleaning steps are deleted once the feature table is written.
+    """
+    if fit_on not in ("all", "train"):
+        raise ValueError("fit_on must be 'all' or 'train'")
+    with scratch_scope(spark) as made:
+        cleaned = P.clean_fares(raw, price_source=price_source, counts=counts)
+        if "time_taken" not in cleaned.columns and "duration" in cleaned.columns:
+            cleaned = P.add_time_taken(cleaned)
+        feats = feature_engineering(cleaned, enrich=lambda df: enrich_fares(df, series, calendar))
+        kept = scratch_path(spark, "features")
+        made.remove(kept)
+        feats.write.parquet(kept)
+    feats = spark.read.parquet(kept)
+    fit_rows = feats if fit_on == "all" else M.split_rows(feats).where("split = 'train'").drop("split")
+    state = M.fit_matrix_state(fit_rows)
     split = M.split_rows(M.transform_matrix(feats, state))
     out_path = out_path or scratch_path(spark, "prepared")
     state_path = state_path or scratch_path(spark, "prep-state")

@@ -86,6 +86,18 @@ def holiday_window(spark, d):
                       "holiday_impact", "season_type")
 
 
+@query("holiday_nearest", with_ctes("""
+SELECT f.fare_key, h.days_to_holiday, h.holiday_name AS season_holiday_name FROM fares f LEFT JOIN (
+  SELECT day, arg_min(days_to_holiday, (abs(days_to_holiday), -days_to_holiday, seq)) AS days_to_holiday,
+         arg_min(holiday_name, (abs(days_to_holiday), -days_to_holiday, seq)) AS holiday_name
+  FROM (SELECT c.seq, CAST(c.date + CAST(r.k AS INTEGER) AS DATE) AS day, CAST(-r.k AS INTEGER) AS days_to_holiday, c.holiday_name
+        FROM cal c, range(-7, 8) r(k)) GROUP BY day) h ON h.day = f.date""", "fares", "cal"))
+def holiday_nearest(spark, d):
+    """J3 with the nearest holiday of the window in place of the first in calendar order."""
+    out = J.holiday_window(base.fares(spark, d), base.calendar(spark), pick="nearest")
+    return out.select("fare_key", "days_to_holiday", "season_holiday_name")
+
+
 @query("nearest_date", SQL_NEAREST_DATE)
 def nearest_date(spark, d):
     out = J.nearest_date(base.fares(spark, d), base.series(spark, d))

@@ -62,6 +62,15 @@ def airline_frequency(spark, d):
     return Fe.airline_features(base.fares_dirty(spark, d)).select("fare_key", "airline", "airline_market_share")
 
 
+@query("carrier_share", with_ctes("""
+SELECT fare_key, airline, CASE WHEN airline IS NOT NULL
+         THEN CAST(count(*) OVER (PARTITION BY airline) AS DOUBLE) / CAST(count(airline) OVER () AS DOUBLE) END AS airline_share
+FROM fares_dirty""", "fares_dirty"))
+def carrier_share(spark, d):
+    """J6 as a share of the rows that have a carrier."""
+    return Fe.airline_features(base.fares_dirty(spark, d), share=True).select("fare_key", "airline", "airline_share")
+
+
 @query("group_count_over", with_ctes("""
 SELECT fare_key, class, stop, count(*) OVER (PARTITION BY class, stop) AS n_same_cabin_stops FROM fares""", "fares"))
 def group_count_over(spark, d):

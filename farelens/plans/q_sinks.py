@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from farelens.constants import CATEGORICAL_FEATURES
 from farelens.operators import encode as M
 from farelens.plans import base
-from farelens.plans.oracle import with_ctes
+from farelens.plans.oracle import CTES, with_ctes
 from farelens.plans.q_clean import CLEAN_SQL
-from farelens.plans.q_matrix import MATRIX_CTES, fitted
+from farelens.plans.q_matrix import MATRIX, MATRIX_CTES, fitted
 from farelens.plans.registry import query
 from farelens.session import scratch_path
 from farelens.sources import files, tables
@@ -156,6 +156,18 @@ def external_tables(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+@query("external_rows", with_ctes(f"""
+SELECT 'daily_series' AS name, date, fuel_price_usd_per_barrel AS value FROM fuel
+UNION ALL
+SELECT 'holiday_calendar', date, CASE holiday_name {' '.join(f"WHEN '{k}' THEN {v}" for k, v in PEAK_SCORES.items())} ELSE 3.0 END
+FROM peak WHERE q <> 4""", "fuel", extra=PEAK_CTE))
+def external_rows(spark, d):
+    """Both external tables, the daily series and the calendar read from its files, row by row."""
+    series = base.series(spark, d).select(F.lit("daily_series").alias("name"), "date", F.col("fuel_price_usd_per_barrel").alias("value"))
+    cal = calendar_files(spark, d).select(F.lit("holiday_calendar").alias("name"), "date", F.col("holiday_impact_score").alias("value"))
+    return series.unionByName(cal)
+
+
 @query("write_splits", with_ctes("""
 SELECT CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'val' ELSE 'test' END AS split, count(*) AS n
 FROM (SELECT CAST(('0x' || substr(md5(fare_key), 1, 8)) AS BIGINT) % 100 AS b FROM fares) GROUP BY 1""", "fares"))
@@ -184,4 +196,17 @@ def prepare_fares(spark, d):
     return out["table"].groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PREPARED = with_ctes("SELECT s.*, CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'val' ELSE 'test' END AS split FROM (SELECT *, "
+                      "CAST(('0x' || substr(md5(fare_key), 1, 8)) AS BIGINT) % 100 AS b FROM scaled) t JOIN scaled s USING (fare_key)", "feat",
+                      extra=MATRIX_CTES).replace(f"fares AS ({CTES['fares']})", f"fares AS ({CLEAN_SQL})")
+
+
+@query("prepared_matrix", _PREPARED)
+def prepared_matrix(spark, d):
+    """M6: the written matrix itself: every column of every row after cleaning, features, encoding, filling and scaling."""
+    from farelens.plans.prep import prepare
+    out = prepare(spark, base.fares_dirty(spark, d), base.series(spark, d), base.calendar(spark), price_source="price_text")
+    return out["table"].select("fare_key", "price", *MATRIX, "split")
+
+
 __all__ = ["CATEGORICAL_FEATURES"]

@@ -65,3 +65,27 @@ def test_empty_parts_of_a_state_survive(spark):
     path = scratch_path(spark, "state")
     files.save_prep_state(spark, path, None, {"scaler": {}, "medians": {"a": 1.0}, "feature_columns": ["b", "a"], "categorical": []})
     assert files.load_prep_state(spark, path) == (None, {"scaler": {}, "medians": {"a": 1.0}, "feature_columns": ["b", "a"], "categorical": []})
+
+
+def test_state_fitted_on_the_training_rows_only(spark):
+    from farelens.plans.prep import prepare
+    raw, series, cal = base.fares_dirty(spark, SF), base.series(spark, SF), base.calendar(spark)
+    out = prepare(spark, raw, series, cal, price_source="price_text", fit_on="train")
+    train = M.split_rows(out["features"]).where("split = 'train'").drop("split")
+    state = M.fit_matrix_state(train)
+    assert out["scaler"] == state["scaler"] and out["medians"] == state["medians"]
+    whole = prepare(spark, raw, series, cal, price_source="price_text")
+    assert whole["scaler"] != out["scaler"] and whole["table"].count() == out["table"].count()
+
+
+def test_prepare_leaves_its_results_only(spark):
+    from farelens.plans.prep import prepare
+    from farelens.session import checkpoint_root
+    from farelens.sources import files
+    import os
+    root = f"{checkpoint_root(spark)}/farelens".replace("file:", "")
+    before = set(os.listdir(root))
+    prepare(spark, base.fares_dirty(spark, SF), base.series(spark, SF), base.calendar(spark), price_source="price_text")
+    made = {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before}
+    assert not made & {"deduplicated", "cleaned", "fill-histogram", "small"} and {"features", "prepared"} <= made
+    assert files.path_exists(spark, root)

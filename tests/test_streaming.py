@@ -7,6 +7,7 @@ from farelens.operators.enrich import enrich_fares
 from farelens.operators.stats import materialize
 from farelens.plans import base
 from farelens.streaming import enrich_stream
+from farelens.streaming.enrich import score_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +32,24 @@ def test_stream_enrichment_matches_batch(spark):
     a = sorted(tuple(r) for r in got.select(*cols).collect())
     b = sorted(tuple(r) for r in batch.select(*cols).collect())
     assert a == b and len(a) > 0
+
+
+def test_stream_scores_equal_batch_scores(spark):
+    """M10 on a stream: the fitted state and a trained model score arriving rows as they score the table."""
+    from farelens.operators import encode as M
+    from farelens.operators import models as ML
+    from farelens.plans.q_features import feature_table
+    feats = materialize(feature_table(spark, SF), "stream-features")
+    state = M.fit_matrix_state(feats)
+    table = ML.assemble(M.transform_matrix(feats, state), state["feature_columns"])
+    model = ML.train_ridge(table)
+    path = feats.inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(feats.schema).parquet(path)
+    q = score_stream(stream, state, model).writeStream.format("memory").queryName("scored_stream").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted(tuple(r) for r in spark.table("scored_stream").collect())
+    want = sorted(tuple(r) for r in model.transform(table).select("fare_key", "price", "prediction").collect())
+    assert got == want and len(got) > 0
