@@ -155,15 +155,22 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def bounded_broadcast(small: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Broadcast ``small`` only when its written files are small; otherwise return it as is.
+    """Broadcast ``small`` only when it is small in memory; otherwise return it as is.
 
     The table is written to the shared checkpoint folder first (one job, cuts
-    its lineage so a lost executor does not recompute it) and the size of the
-    files decides. Beyond ``max_bytes`` the join stays a shuffle join and
+    its lineage so a lost executor does not recompute it). Files are compressed, so the size that
+    decides is the larger of theirs and of the rows at the width of their types.
+    Beyond ``max_bytes`` the join stays a shuffle join and
     AQE's skew handling splits hot keys of the large side.
     """
     saved = materialize(small, "small")
-    return F.broadcast(saved) if written_bytes(saved) <= max_bytes else saved
+    return F.broadcast(saved) if max(written_bytes(saved), row_bytes(saved)) <= max_bytes else saved
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Rows (from the file footers) times the default width of the column types."""
+    width = df._jdf.schema().defaultSize()
+    return df.count() * (width + 8)
 
 
 def written_bytes(df: DataFrame) -> int:
