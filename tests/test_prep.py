@@ -87,5 +87,5 @@ def test_prepare_leaves_its_results_only(spark):
     before = set(os.listdir(root))
     prepare(spark, base.fares_dirty(spark, SF), base.series(spark, SF), base.calendar(spark), price_source="price_text")
     made = {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before}
-    assert not made & {"deduplicated", "cleaned", "fill-histogram", "small"} and {"features", "prepared"} <= made
+    assert not made & {"deduplicated", "cleaned", "fill-histogram"} and {"features", "prepared"} <= made
     assert files.path_exists(spark, root)
