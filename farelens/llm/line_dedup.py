@@ -202,10 +202,11 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_by
     known = places.where("repeat").select("doc_id", "fp", "run")
     found = known.unionAll(_later(places.where("not repeat").select("match", "doc_id", "fp", "run")))
     per_doc = write_once(found.groupBy("doc_id", "fp").agg(F.collect_list("run").alias("runs")), "repeated-lines")
-    # only documents that may be listed are shuffled to meet their repeats; the others are done at once
+    # only documents that may be listed are shuffled to meet their repeats; the others are done at once. The hint keeps
+    # a shuffle between the two Python steps: in one task they would hold two workers
     table = id_filter(per_doc.select("doc_id"))
     rows = base.select("doc_id", "fp", "row")
-    listed = maybe_listed(rows, "doc_id", table).join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "runs", "row")
+    listed = maybe_listed(rows, "doc_id", table).join(per_doc.hint("merge"), ["doc_id", "fp"], "left").select("doc_id", "runs", "row")
     others = rows.select("doc_id", F.lit(None).cast("array<int>").alias("runs"), "row")
     sent = docs.sparkSession.sparkContext.broadcast(table)
 

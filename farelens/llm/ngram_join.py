@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from farelens.llm.components import connected_components
 from farelens.llm.frequency import SKETCH_SCHEMA, CountSketch, id_filter, maybe_listed, sum_sketch
-from farelens.llm.scratch import shuffle_partitions, write_once
+from farelens.llm.scratch import bound_batches, shuffle_partitions, write_once
 from farelens.llm.shingles import set_signature, shingle_sets
 from farelens.llm.words import blocks
 
@@ -309,6 +309,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0 < num <= den:
         raise ValueError("threshold must be a fraction in (0, 1]")
     spark = docs.sparkSession
+    bound_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = write_once(_profile(base, words), "shingle-profile")
     sketch = spark.sparkContext.broadcast(sum_sketch(profile.where("block is not null"), SKETCH_BITS))
@@ -328,7 +329,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         .unionAll(members.select("doc_id")).distinct(), "candidate-ids")
     texts = write_once(maybe_listed(base, "doc_id", id_filter(wanted)).join(wanted, "doc_id", "left_semi"),
                        "candidate-texts")
-    links = _check_pairs(pairs, texts, words, num, den).unionAll(_search_clusters(members, texts, words, num, den))
+    # written, so that no task searches and contracts with two Python workers at once
+    links = write_once(_check_pairs(pairs, texts, words, num, den).unionAll(_search_clusters(members, texts, words, num, den)), "found-links")
     same_id = nodes.join(known, "sig").where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     found = connected_components(links.unionAll(same_id))
     return sized.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(

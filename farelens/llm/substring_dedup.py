@@ -343,10 +343,11 @@ def _rewrite(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int
                        F.col(text_col).alias("text"), row.alias("row"))
     found = write_once(repeated_ranges(base, window, seed, buckets), "repeated-windows")
     per_doc = found.groupBy("doc_id", "fp").agg(F.collect_list("ranges").alias("ranges"))
-    # only documents that may be listed are shuffled to meet their repeats; the others are done at once
+    # only documents that may be listed are shuffled to meet their repeats; the others are done at once. The hint keeps
+    # a shuffle between the two Python steps: in one task they would hold two workers
     table = id_filter(per_doc.select("doc_id"))
     rows = base.select("doc_id", "fp", "row")
-    listed = maybe_listed(rows, "doc_id", table).join(per_doc, ["doc_id", "fp"], "left").select("doc_id", "ranges", "row")
+    listed = maybe_listed(rows, "doc_id", table).join(per_doc.hint("merge"), ["doc_id", "fp"], "left").select("doc_id", "ranges", "row")
     others = rows.select("doc_id", F.lit(None).cast("array<binary>").alias("ranges"), "row")
     sent = docs.sparkSession.sparkContext.broadcast(table)
 

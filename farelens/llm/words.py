@@ -111,25 +111,45 @@ def text_buffer(texts: pa.Array, closing: bytes = b"") -> tuple[np.ndarray, np.n
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def _trim():
-    """The C library's way to hand free memory back, where it has one."""
+_settled = False
+
+
+def _settle() -> None:
+    """Once per worker: freed arrays of a MB or more go straight back to the system.
+
+    Workers live on between stages, and what their allocators keep counts against the executor.
+    """
+    global _settled
+    if _settled:
+        return
+    _settled = True
+    pa.set_memory_pool(pa.system_memory_pool())
+    if _libc is not None:
+        for option, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):      # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            _libc.mallopt(option, value)
+
+
+def _c_library():
     try:
-        return ctypes.CDLL(None).malloc_trim
-    except (OSError, AttributeError):
-        return lambda _: 0
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "mallopt") and hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
 
 
-_malloc_trim = _trim()
+_libc = _c_library()
 
 
 def release() -> None:
-    """Hand memory that Arrow and numpy have freed back to the system: workers live on between stages."""
+    """Hand memory that Arrow and numpy have freed back to the system."""
     pa.default_memory_pool().release_unused()
-    _malloc_trim(0)
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows holding about ``size`` bytes of text each (one row at least)."""
+    _settle()
     if batch.num_rows == 0:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
