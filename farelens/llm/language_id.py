@@ -200,11 +200,16 @@ class LanguageModel:
 
 
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                 max_docs: int = MAX_DOCS, rounds: int = TRAIN_ROUNDS) -> LanguageModel | None:
+                 max_docs: int = MAX_DOCS, rounds: int = TRAIN_ROUNDS, doc_windows: int | None = DOC_WINDOWS) -> LanguageModel | None:
     """Train on documents whose ``crc32(id as text) mod 4`` is not 2 and whose language is not null.
 
-    Rows without a text or an id are left out. Returns None when nothing is left to learn from.
+    The sample is bounded twice: about ``max_docs`` documents of each language, and of each of them
+    ``doc_windows`` windows spread evenly over the whole text (None: all windows; the number of rounds
+    bounds the work then). Rows without a text or an id are left out. Returns None when nothing is left
+    to learn from.
     """
+    if doc_windows is not None and doc_windows < 1:
+        raise ValueError("doc_windows must be positive")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.col(lang_col).alias("lang"))
     base = base.where("doc_id is not null and text is not null and text <> '' and lang is not null").where(
@@ -225,7 +230,7 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 edge = np.searchsorted(doc, np.arange(block.num_rows + 1))
                 pick, owner = [], []
                 for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
-                    take = np.unique(np.linspace(a, b - 1, min(DOC_WINDOWS, b - a)).astype(int))
+                    take = np.unique(np.linspace(a, b - 1, b - a if doc_windows is None else min(doc_windows, b - a)).astype(int))
                     pick += take.tolist()
                     owner += [i] * len(take)
                 yield pa.record_batch([block.column("doc_id").take(pa.array(owner, pa.int64())),
@@ -246,7 +251,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, text_col: st
     """All columns of ``docs`` plus ``lang_pred`` and ``lang_score`` (0 to 1).
 
     A text that is null or holds no letter is ``und`` with score 0, as is every text without a
-    model. Repeated rows score alike; an empty table gives an empty result; existing columns
+    model. Of languages of equal probability the first by name is taken. Repeated rows score alike; an empty table gives an empty result; existing columns
     named ``lang_pred`` or ``lang_score`` are replaced.
     """
     docs = docs.drop("lang_pred", "lang_score")

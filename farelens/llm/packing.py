@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from farelens.llm.bpe import _model as bpe_model
 from farelens.llm.scratch import shuffle_partitions, write_once
 from farelens.llm.words import blocks, find_words
 
@@ -182,3 +183,54 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and repeated ids are packed like any other; other columns are not read.
     """
     return pack_pieces(token_pieces(docs, id_col, text_col, max(capacities)), capacities, overhead)
+
+
+def bpe_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
+               largest: int = CAPACITIES[-1]) -> DataFrame:
+    """``(row, doc_id, piece, start, n_tokens, ids)``: byte-pair tokens of each text cut into pieces of ``largest``.
+
+    ``row`` numbers the rows of ``docs`` (write the result before it is used twice). A text without
+    tokens is one piece of 0 tokens.
+    """
+    with open(tokenizer_path, "rb") as f:
+        content = f.read()
+    spec = docs.sparkSession.sparkContext.broadcast(content)
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
+                        ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
+
+    def run(batches):
+        model = bpe_model(spec.value)
+        for batch in batches:
+            for block in blocks(batch, "text"):
+                rows = []
+                texts = [t or "" for t in block.column("text").to_pylist()]
+                for r, d, (ids, _) in zip(block.column("row").to_pylist(), block.column("doc_id").to_pylist(), model.encode_block(texts)):
+                    for k, a in enumerate(range(0, max(len(ids), 1), 4 * largest)):
+                        part = np.frombuffer(ids[a:a + 4 * largest], "<i4")
+                        rows.append((r, d, k, a // 4, len(part), part))
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return base.mapInArrow(run, "row long, doc_id long, piece int, start long, n_tokens int, ids array<int>")
+
+
+def packed_sequences(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacities=CAPACITIES,
+                     overhead: int = SEQUENCE_COST) -> DataFrame:
+    """The packed sequences themselves, over byte-pair tokens: one row per sequence.
+
+    ``seq_id``, ``seq_tokens`` (its permitted length), ``n_tokens`` (its content), ``ids`` (array<int>, the content in
+    order of offset) and ``parts`` (array of ``doc_id, piece, start, offset, n_tokens``: where each stretch comes from).
+    A sequence holds at most the largest capacity, which bounds its row. Texts without tokens are in no
+    sequence, rows that repeat an id are packed each by itself, equal lengths are taken in the order of
+    the rows, and an empty table gives an empty result.
+    """
+    pieces = write_once(bpe_pieces(docs, tokenizer_path, id_col, text_col, max(capacities)), "bpe-pieces")
+    placed = pack_pieces(pieces.where("n_tokens > 0").select(F.col("row").alias("doc_id"), "piece", "start", "n_tokens"), capacities, overhead)
+    held = placed.select(F.col("doc_id").alias("row"), "piece", "seq_id", "seq_tokens", "seq_offset").join(pieces, ["row", "piece"])
+    part = F.struct(F.col("seq_offset").alias("offset"), "doc_id", "piece", "start", "n_tokens", "ids")
+    rows = held.groupBy("seq_id", "seq_tokens").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    n = F.aggregate("parts", F.lit(0), lambda a, p: a + p["n_tokens"])
+    places = F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["start"].alias("start"),
+                                                     p["offset"].alias("offset"), p["n_tokens"].alias("n_tokens")))
+    return rows.select("seq_id", "seq_tokens", n.alias("n_tokens"), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"),
+                       places.alias("parts"))

@@ -145,6 +145,16 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == lang for r, lang in held]) > 0.97
 
 
+def test_training_windows_are_a_parameter(spark):
+    rows = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 30, "en" if i % 2 else "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for n in (1, None):
+        found = identify_language(docs, fit_language(docs, rounds=60, doc_windows=n)).collect()
+        assert np.mean([r.lang == r.lang_pred for r in found]) > 0.9
+    with pytest.raises(ValueError):
+        fit_language(docs, doc_windows=0)
+
+
 def test_gradient_through_time():
     model = LanguageModel(["a", "b", "c"], hidden=3, seed=1)
     for d in (model.ahead, model.back):

@@ -67,3 +67,32 @@ def test_pieces_fill_sequences_without_overlap(spark):
 
 def test_empty_table(spark):
     assert best_fit_packing(_docs(spark, [])).collect() == []
+
+
+def test_packed_sequences_hold_every_token_in_order(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from farelens.llm.packing import packed_sequences
+    path = public_tokenizers.path("word_bpe_49k.json")
+    theirs = Tokenizer.from_file(path)
+    theirs.no_truncation(), theirs.no_padding()
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("alpha beta gamma delta epsilon-zeta 42".split()) for _ in range(rng.choice([1, 3, 9, 20, 70]))) for _ in range(40)]
+    rows = [(i, t, "n", "s") for i, t in enumerate(texts)] + [(100, "", "n", "s"), (101, None, "n", "s"), (5, "again", "n", "s"), (None, "no id", "n", "s")]
+    out = packed_sequences(_docs(spark, rows).repartition(5), path, capacities=CAPS, overhead=2).collect()
+    found = defaultdict(list)
+    for r in out:
+        assert r.n_tokens == len(r.ids) <= r.seq_tokens and r.seq_tokens == min(c for c in CAPS if c >= r.n_tokens)
+        at = 0
+        for p in r.parts:
+            assert p.offset == at
+            found[p.doc_id].append((p.piece, p.start, r.ids[at:at + p.n_tokens]))
+            at += p.n_tokens
+        assert at == r.n_tokens
+    want = Counter()
+    for i, t, *_ in rows:
+        ids = theirs.encode(t or "", add_special_tokens=False).ids
+        want.update((i, k, a, tuple(ids[a:a + 32])) for k, a in enumerate(range(0, len(ids), 32)))
+    assert Counter((i, k, a, tuple(x)) for i, ps in found.items() for k, a, x in ps) == want
+    assert packed_sequences(_docs(spark, []), path, capacities=CAPS).collect() == []
