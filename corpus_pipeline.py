@@ -5,8 +5,11 @@ DataFrame that is written as Parquet and read again as the next one's ``docs``.
 return the columns of ``documents``. A document that a stage does not reject keeps its row; where
 its text changes, ``n_chars`` follows.
 
-Rows with a null id or text pass every stage that judges by id or text unchanged. ORACLE_SQL is
-None: the toxicity model cannot be expressed in SQL; the stages are tested against brute force.
+Rows with a null id or text pass every stage unchanged, but for the first: it never reads the id and
+scores a null text as a text without evidence, so that such rows stay unless the labels call most texts toxic.
+Rows repeated under the one kept id of a group of near copies all stay. ORACLE_SQL is None: the
+toxicity model cannot be expressed in SQL; the operators are tested against brute force, the stages
+and their sequence in tests/llm/test_pipeline.py.
 """
 
 from __future__ import annotations

@@ -156,7 +156,9 @@ def test_mix_sources(spark, chunk):
     assert sum(want.values()) == pytest.approx(sum(sizes.values()))
     for s in sizes:
         n = sum(r.source == s for r in got)
-        assert abs(taken[s] - want[s]) <= (6 if n > 30 else max(r.size for r in got if r.source == s))
+        # the nearest choice is at most half the largest document off; the production chunk leaves a dozen to choose from
+        assert abs(taken[s] - want[s]) <= max(r.size for r in got if r.source == s) / 2 + 1e-6
+        assert chunk < 4096 or n <= 30 or abs(taken[s] - want[s]) <= 0.005 * want[s]
         if n > 30:
             assert abs(documents[s] - n * want[s] / sizes[s]) <= 12
     again = mix_sources(df.repartition(2), chunk=chunk, carry=("lang",)).collect()
