@@ -41,7 +41,7 @@ BUCKET_BYTES = 4 << 20    # packed text aimed at per bucket
 PARTITION_BYTES = 32 << 20    # packed text aimed at per shuffle partition
 HOT_BITS = 20             # slots of the count sketch of minimisers
 HOT_WINDOWS = 1 << 20     # windows of a slot from which they travel one by one
-PAIRS = 1 << 14           # windows compared byte for byte at a time
+COMPARED = 2 << 20        # bytes of windows compared at a time (one window at least)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -199,14 +199,14 @@ def _windows(data: bytes, window: int):
 
 
 def _any_differs(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray) -> bool:
-    """Is any window other than the window before it of the same group? Bytes are compared ``PAIRS`` windows at a time."""
+    """Is any window other than the window before it of the same group? About ``COMPARED`` bytes are compared at a time."""
     pairs = np.flatnonzero(group[1:] == group[:-1]) + 1
-    size = hi - lo
+    size = (hi - lo).astype(np.int64)
     if (size[pairs] != size[pairs - 1]).any():
         return True
-    for a in range(0, len(pairs), PAIRS):
-        now = pairs[a:a + PAIRS]
-        n = size[now].astype(np.int64)
+    part = np.cumsum(size[pairs]) // COMPARED
+    for now in np.split(pairs, np.flatnonzero(np.diff(part)) + 1):
+        n = size[now]
         within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         if (data[np.repeat(lo[now], n) + within] != data[np.repeat(lo[now - 1], n) + within]).any():
             return True

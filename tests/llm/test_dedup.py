@@ -52,6 +52,18 @@ def test_substring_report(odd_docs, odd_rows, window, seed, buckets):
     assert Counter(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("hot", [1, 30])
+def test_windows_of_frequent_minimisers_travel_alone(odd_docs, odd_rows, monkeypatch, hot):
+    """Whatever the layout, the result is the same; long words do not widen what is compared at once."""
+    from farelens.llm import substring_dedup as S
+    monkeypatch.setattr(S, "hot_minimisers", lambda texts, window, seed, most, f=S.hot_minimisers: f(texts, window, seed, hot))
+    monkeypatch.setattr(S, "COMPARED", 64)
+    rows = [(r[0], r[1]) for r in odd_rows]
+    hit = _covered([((i, t), WORD.findall(t.encode())) for i, t in _distinct(rows)], 5)
+    want = Counter((i, len(WORD.findall((t or "").encode())), len(hit.get((i, t), ()))) for i, t in rows)
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_report(odd_docs, window=5, seed=2).collect()) == want
+
+
 def test_substring_rows_repeated_over_partitions(spark):
     """A row that reaches a bucket from five tasks keeps its words; a later row still loses its copy."""
     from pyspark.sql import functions as F
