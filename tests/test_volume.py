@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
+import io
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
+from farelens.constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from farelens.functions.text import format_duration
+from farelens.operators import encode as M
+from farelens.operators import models as ML
+from farelens.operators import scoring as SC
 from farelens.operators import stats as S
 from farelens.sources import tables
 
@@ -97,3 +104,43 @@ def test_fitted_features_hold_the_matrix_only(spark, monkeypatch):
     feats, state = Q.fitted(spark, "none")
     assert feats.columns == ["fare_key", "price", *Q.NUMERIC_FEATURES, *Q.CATS] and state["feature_columns"] == Q.MATRIX
     assert feats.count() == 5
+
+
+def _method_sizes(df) -> list[int]:
+    """Bytes of the longest method of every generated class of ``df``'s plan."""
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain("codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+
+
+def test_matrix_compiles_to_methods_that_the_jvm_compiles(spark, tmp_path):
+    numbers = {c: [1.0, 2.5, None, 4.0] for c in NUMERIC_FEATURES}
+    labels = {c: ["a", "b", None, "b"] for c in CATEGORICAL_FEATURES}
+    names = ["fare_key", *numbers, *labels]
+    rows = [tuple([f"k{i}", *[v[i] for v in numbers.values()], *[v[i] for v in labels.values()]]) for i in range(4)]
+    schema = "fare_key string, " + ", ".join(f"`{c}` {'double' if c in numbers else 'string'}" for c in names[1:])
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "features"))
+    feats = spark.read.parquet(str(tmp_path / "features"))
+    state = M.fit_matrix_state(feats)
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        matrix = M.transform_matrix(feats, state)
+        training = ML.assemble(M.split_rows(matrix), state["feature_columns"]).select("fare_key", "split", "features")
+        scored = SC.fitted_vector(feats, state)
+        sizes = [_method_sizes(df) for df in (matrix, training, scored)]
+        assert all(sizes) and max(map(max, sizes)) <= 8000
+        # absent and unseen values, and the same numbers on both ways
+        seen = spark.createDataFrame([("u", "zz", 3.0), ("v", None, None)], "fare_key string, airline string, year double")
+        got = {r["fare_key"]: r["_features"].toArray() for r in SC.fitted_vector(seen, state).collect()}
+        by_key = {r["fare_key"]: r for r in matrix.collect()}
+        vectors = {r["fare_key"]: r["features"].toArray().tolist() for r in training.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+    at = {c: i for i, c in enumerate(state["feature_columns"])}
+    # year: median 2.5, quartiles of (1, 2.5, 2.5, 4) are 2.125 and 2.875; airline: a=0, b=1, nan=2 (0, 1, 1, 2: quartiles 0.75, 1.25)
+    assert [by_key[f"k{i}"]["year"] for i in range(4)] == [-2.0, 0.0, 0.0, 2.0]
+    assert [by_key[f"k{i}"]["airline_encoded"] for i in range(4)] == [-2.0, 0.0, 2.0, 0.0]
+    assert all(vectors[k] == [by_key[k][c] for c in state["feature_columns"]] for k in by_key)
+    assert (got["u"][at["year"]], got["u"][at["airline_encoded"]]) == ((3.0 - 2.5) / 0.75, 4.0)
+    assert (got["v"][at["year"]], got["v"][at["airline_encoded"]], got["v"][at["from_encoded"]]) == (0.0, 2.0, 0.0)
