@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from farelens.constants import BOOKING_WINDOW_BANDS, WEEKDAY_NAMES
 from farelens.functions.bands import equal_width_bin, right_closed_band
 from farelens.functions.money import cents, mean_from_cents, mean_price
-from farelens.operators.stats import exact_quantiles, materialize, rank_intervals
+from farelens.operators.stats import exact_quantiles, materialize, shuffle_partitions
 
 
 def with_route(df: DataFrame, sep: str = "-") -> DataFrame:
@@ -379,35 +379,49 @@ def sequence_windows(df: DataFrame, by: list[str], order: list[str], feature_col
                      length: int = 30, bucket_rows: int = 100_000, persist: bool = True) -> DataFrame:
     """The previous ``length`` rows' features as one example; the label is the current row.
 
-    Rows get their exact position inside the group from ``rank_intervals``
-    (range-partitioned, no single-task gather). Positions are cut into buckets
+    Rows get their exact position inside the group from range partitions, written with
+    their number (no single-task gather). Positions are cut into buckets
     of ``bucket_rows``; the last ``length`` rows of each bucket are copied into
     the next bucket as a halo, so the sliding window runs per (group, bucket)
     and a hot group is spread over many tasks. Rows with fewer than
     ``length`` predecessors are dropped. With ``persist`` the input is written
-    once to the shared checkpoint folder, because the ranking and the position
-    join read it several times and must not re-run its plan.
+    once to the shared checkpoint folder, because the range
+    sample and the partitioning both read it and must not re-run its plan.
     """
     if not 0 < length <= bucket_rows:
         raise ValueError("length must lie between 1 and bucket_rows: the halo reaches one bucket back")
     key = "_okey"
-    base = df.withColumn(key, F.struct(*[F.col(c) for c in order]))
+    # the order columns travel inside the key only
+    inside = [c for c in order if c not in by]
+    base = df.select(*[c for c in df.columns if c not in inside], F.struct(*[F.col(c) for c in order]).alias(key))
+
+    def col(c: str) -> Column:
+        return F.col(key)[c] if c in inside else F.col(c)
+
+    # a null group has no position
+    for c in by:
+        base = base.where(F.col(c).isNotNull())
     if persist:
         base = materialize(base, "sequence-input")
-    hist = base.select(*by, key).groupBy(*by, key).agg(F.count(F.lit(1)).alias("cnt"))
-    ranks = rank_intervals(hist, list(by), key, groups_bounded=False).select(*by, key, F.col("_lo").alias("_pos"))
-    # order keys are unique within a group, so _lo is the row's position
-    pos = base.join(ranks, [*by, key])
+    keys = [*by, key]
+    ranged = materialize(base.repartitionByRange(shuffle_partitions(df), *keys).withColumn("_pid", F.spark_partition_id()), "ranged-sequence")
+    # position = rows of the group in earlier ranges + place inside the range
+    placed = ranged.withColumn("_at", F.rank().over(Window.partitionBy("_pid", *by).orderBy(key)))
+    earlier = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_tot")).select(
+        "_pid", *by, F.coalesce(F.sum("_tot").over(earlier), F.lit(0)).alias("_off"))
+    pos = placed.join(offsets, ["_pid", *by]).withColumn("_pos", F.col("_off") + F.col("_at") - F.lit(1)).drop("_pid", "_at", "_off")
     b = F.floor(F.col("_pos") / F.lit(bucket_rows)).cast("long")
     halo = (F.col("_pos") % F.lit(bucket_rows)) >= F.lit(bucket_rows - length)
     copies = F.when(halo, F.array(F.struct(b.alias("bucket"), F.lit(False).alias("is_halo")),
                                   F.struct((b + 1).alias("bucket"), F.lit(True).alias("is_halo")))) \
         .otherwise(F.array(F.struct(b.alias("bucket"), F.lit(False).alias("is_halo"))))
     spread = pos.withColumn("_c", F.explode(copies)).select("*", "_c.bucket", "_c.is_halo").drop("_c")
-    feat = F.array(*[F.col(c).cast("double") for c in feature_cols])
+    feat = F.array(*[col(c).cast("double") for c in feature_cols])
     w = Window.partitionBy(*by, "bucket").orderBy("_pos").rowsBetween(-length, -1)
     out = spread.withColumn("sequence", F.collect_list(feat).over(w)).where(~F.col("is_halo"))
-    return out.where(F.size("sequence") == length).drop("bucket", "is_halo", key)
+    rest = [c for c in df.columns if c not in by]
+    return out.where(F.size("sequence") == length).select(*by, *[col(c).alias(c) for c in rest], "_pos", "sequence")
 
 
 # ---------------------------------------------------------------- K9, K10, U3

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from farelens.constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from farelens.functions.text import format_duration
+from farelens.operators import analytics as A
 from farelens.operators import encode as M
 from farelens.operators import models as ML
 from farelens.operators import scoring as SC
@@ -144,3 +145,16 @@ def test_matrix_compiles_to_methods_that_the_jvm_compiles(spark, tmp_path):
     assert all(vectors[k] == [by_key[k][c] for c in state["feature_columns"]] for k in by_key)
     assert (got["u"][at["year"]], got["u"][at["airline_encoded"]]) == ((3.0 - 2.5) / 0.75, 4.0)
     assert (got["v"][at["year"]], got["v"][at["airline_encoded"]], got["v"][at["from_encoded"]]) == (0.0, 2.0, 0.0)
+
+
+def test_sequence_rows_carry_their_order_columns_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(A, "materialize", lambda df, name="table": written.append(df.columns) or S.materialize(df, name))
+    rows = [("r", d, f"k{d}", float(d), float(10 * d)) for d in range(5)] + [("q", 1, "k1", 7.0, 70.0)] + [(None, d, f"n{d}", 1.0, 1.0) for d in range(4)]
+    df = spark.createDataFrame(rows, "route string, day int, fare_key string, price double, duration double")
+    out = A.sequence_windows(df, ["route"], ["day", "fare_key"], ["price", "day"], "price", length=2, bucket_rows=2)
+    carried = ["route", "price", "duration", "_okey"]
+    assert written == [carried, [*carried, "_pid"]]
+    assert out.columns == ["route", "day", "fare_key", "price", "duration", "_pos", "sequence"]
+    got = sorted((r["day"], r["fare_key"], r["price"], r["duration"], r["_pos"], r["sequence"]) for r in out.collect())
+    assert got == [(d, f"k{d}", float(d), 10.0 * d, d, [[d - 2.0, d - 2.0], [d - 1.0, d - 1.0]]) for d in (2, 3, 4)]
