@@ -7,16 +7,17 @@ the clean-file row to the prediction: row features, labels numbered by their sor
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
                              MLWritable, MLWriter)
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from farelens.constants import NOTEBOOK_CATEGORICALS
 from farelens.operators import encode as M
 from farelens.operators.features import notebook_features
+from farelens.operators.stats import bounded_broadcast, code_boundary, materialize
 
 NOTEBOOK_NUMERIC = ["duration", "days_left", "departure_hour", "arrival_hour", "is_budget_airline", "has_stops", "is_premium_class",
                     "is_last_minute"]
@@ -102,4 +103,38 @@ def notebook_pipeline(regressor, features: str = "features") -> Pipeline:
                             VectorAssembler(inputCols=columns, outputCol=features), regressor])
 
 
-__all__ = ["NotebookFeatures", "SortedLabels", "SortedLabelsModel", "ZeroFill", "notebook_pipeline", "NOTEBOOK_NUMERIC"]
+def fit_written(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """``pipeline.fit(train)``; the regressor at its end, which passes over its rows twice, reads label and vector from a written table."""
+    *before, regressor = pipeline.getStages()
+    head = Pipeline(stages=before).fit(train)
+    written = materialize(head.transform(train).select(regressor.getLabelCol(), regressor.getFeaturesCol()), "assembled")
+    return PipelineModel([*head.stages, regressor.fit(written)])
+
+
+def compare_scorings(rows: DataFrame, model: PipelineModel, other: PipelineModel, key: str = "fare_key") -> DataFrame:
+    """``rows`` with ``same``: do the two pipelines predict alike for their key?
+
+    Rows whose key is theirs alone are scored by both in one pass and stay where they are. Only rows that share a key (found by
+    the hashes of the keys; one that two keys share costs time only) are shuffled: each is compared with every pair of rows of its
+    key, as a join of rows and scorings by key would, so a key of n rows gives n * n * n. Null keys meet nothing.
+    """
+    hashed = rows.where(F.col(key).isNotNull()).withColumn("_h", F.xxhash64(key))
+    shared = bounded_broadcast(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"))
+
+    def scored(how: str) -> DataFrame:
+        out = hashed.join(shared, "_h", how).select(*rows.columns)
+        for pipeline, name in ((model, "_p"), (other, "_q")):
+            # the zero fill of a pipeline overwrites columns of the row, so copies pass beside it
+            held = {f"_held{i}": c for i, c in enumerate(out.columns)}
+            scores = pipeline.transform(out.select("*", *[F.col(c).alias(h) for h, c in held.items()]))
+            out = code_boundary(scores.select(*[F.col(h).alias(c) for h, c in held.items()], F.col("prediction").alias(name)))
+        return out
+
+    alone = scored("left_anti").select(*rows.columns, (F.col("_p") == F.col("_q")).alias("same"))
+    pairs = F.collect_list(F.struct("_p", "_q")).over(Window.partitionBy(key))
+    same = F.flatten(F.transform("_pairs", lambda a: F.transform("_pairs", lambda b: a["_p"] == b["_q"])))
+    return alone.unionByName(scored("left_semi").withColumn("_pairs", pairs).select(*rows.columns, F.explode(same).alias("same")))
+
+
+__all__ = ["NotebookFeatures", "SortedLabels", "SortedLabelsModel", "ZeroFill", "notebook_pipeline", "fit_written", "compare_scorings",
+           "NOTEBOOK_NUMERIC"]
