@@ -46,6 +46,22 @@ def test_grid_marks_one_best_point_and_refits_it(frames):
     assert best["best_rmse"] == min(r.rmse for r in rows) and best["model"].getMaxDepth() == best["best_params"]["maxDepth"]
 
 
+def test_grid_runs_as_many_fits_as_memory_holds(spark, frames, monkeypatch):
+    train, val = (f.select("*") for f in frames)                    # not cached by the test itself
+    n, per_row = train.count(), 4 * 4 + 250
+    assert ML.fits_at_a_time(train, memory=3 * n * per_row) == 3 and ML.fits_at_a_time(train, memory=n) == 1
+    assert ML.fits_at_a_time(train) > 4 and ML.fits_at_a_time(train.limit(0)) == 1
+    pools, held, pool = [], [], ML.ThreadPool
+    grid = {"maxDepth": [1, 2], "maxIter": [2], "stepSize": [0.1, 0.3]}
+    several, _ = ML.grid_tune(train, val, grid=grid)
+    monkeypatch.setattr(ML, "ThreadPool", lambda k: pools.append(k) or held.append((train.is_cached, val.is_cached)) or pool(k))
+    monkeypatch.setattr(ML, "fits_at_a_time", lambda rows: 1)
+    single, _ = ML.grid_tune(train, val, grid=grid)
+    assert pools == [1] and held == [(False, False)]
+    key = lambda r: (r.grid_index, r.params, r.best, round(r.rmse, 6))
+    assert [*map(key, single.collect())] == [*map(key, several.collect())]
+
+
 def test_saved_model_keeps_predictions_metrics_and_parameters(spark, frames, tmp_path):
     train, val = frames
     model = ML.train_ridge(train)
