@@ -4,7 +4,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from farelens.operators import models as ML
+from pyspark.sql import functions as F
+
+from farelens.operators import boosting, models as ML
+from farelens.operators.boosting import Binned
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +93,52 @@ def test_importances_and_components(frames):
     _, out = ML.pca_reduce(train, k=2)
     m = np.array([r.pca_features.toArray() for r in out.select("pca_features").collect()])
     assert m.shape[1] == 2 and abs(np.corrcoef(m.T)[0, 1]) < 1e-6
+
+
+def test_boosted_trees_equal_the_library_s(frames):
+    train, val = frames
+    sizes = {"maxIter": 6, "maxDepth": 4, "stepSize": 0.3}
+    rows = Binned(train, "price")
+    grown = rows.fit([sizes, {**sizes, "maxDepth": 2}])
+    mine = [rows.to_model(trees, fit) for trees, fit in zip(grown, (sizes, {**sizes, "maxDepth": 2}))]
+    losses = rows.losses(val, [sizes], grown[:1])[0]
+    rows.close()
+    for model, depth in zip(mine, (4, 2)):
+        theirs = ML.GBTRegressor(labelCol="price", **{**sizes, "maxDepth": depth}).fit(train)
+        # splits that part the rows alike have equal gains, and either may be taken
+        assert np.allclose(model.featureImportances.toArray(), theirs.featureImportances.toArray(), atol=0.01)
+        assert model.getMaxDepth() == depth and list(model.treeWeights) == list(theirs.treeWeights)
+        a, b = ([r.prediction for r in m.transform(train).orderBy("fare_key").collect()] for m in (model, theirs))
+        assert np.allclose(a, b)
+    assert np.allclose(losses, mine[0].evaluateEachIteration(val, "squared"))
+
+
+def test_boosted_trees_sum_no_row_twice(spark, frames, monkeypatch):
+    """A level is one job over the binned rows that sums one child of each pair only; the library sums every row on every level."""
+    train, _ = frames
+    seen, sums = [], boosting._sums
+    monkeypatch.setattr(boosting, "_sums", lambda state, pieces, key, live: seen.append(
+        (len(pieces), [p[3].max() + 1 for p in pieces])) or sums(state, pieces, key, live))
+    ML.train_boosted(train, max_iter=2, max_depth=3, subsample=1.0, col_sample=1.0)
+    assert [k for _, (k,) in seen] == [1, 1, 2] * 2
+    seen.clear()
+    ML.grid_tune(train, train, grid={"maxDepth": [2], "maxIter": [2], "stepSize": [0.1, 0.2, 0.3]}, parallelism=1)
+    assert [n for n, _ in seen] == [3] * 4                            # the three fits share every job
+
+
+def test_results_over_the_limit_come_in_several_jobs(frames, monkeypatch):
+    train, val = frames
+    whole = ML.train_boosted(train, max_iter=3, max_depth=4)
+    monkeypatch.setattr(boosting, "RESULT_BYTES", 1)
+    pieces = ML.train_boosted(train, max_iter=3, max_depth=4)
+    key = lambda m: [r.prediction for r in m.transform(val).orderBy("fare_key").collect()]
+    assert np.allclose(key(whole), key(pieces), rtol=1e-12)
+
+
+def test_labels_must_be_numbers_and_constant_columns_do_not_split(spark, frames):
+    train, _ = frames
+    with pytest.raises(ValueError, match="labels"):
+        ML.train_boosted(train.withColumn("price", F.when(F.col("a") < 0, F.col("price"))), max_iter=1)
+    flat = ML.assemble(spark.createDataFrame([(1.0, float(i)) for i in range(8)], "x double, price double"), ["x"])
+    model = ML.train_boosted(flat, max_iter=2, max_depth=2, subsample=1.0)
+    assert {r.prediction for r in model.transform(flat).collect()} == {3.5}
