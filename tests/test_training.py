@@ -142,3 +142,10 @@ def test_labels_must_be_numbers_and_constant_columns_do_not_split(spark, frames)
     flat = ML.assemble(spark.createDataFrame([(1.0, float(i)) for i in range(8)], "x double, price double"), ["x"])
     model = ML.train_boosted(flat, max_iter=2, max_depth=2, subsample=1.0)
     assert {r.prediction for r in model.transform(flat).collect()} == {3.5}
+
+
+def test_the_registered_grid_is_the_whole_default_grid():
+    from farelens.plans import q_models
+    sizes = {k: len(v) for k, v in q_models.GRID.items()}
+    assert q_models.GRID is ML.DEFAULT_GRID and sizes == dict.fromkeys(["maxDepth", "stepSize", "maxIter", "subsamplingRate", "featureSubsetStrategy"], 3)
+    assert q_models._grid_rows().count("SELECT") == 243
